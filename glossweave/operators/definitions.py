@@ -6,6 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..constants import EXCLUDED_SECTIONS
 from ..functions.text import clean_text, contains_ci, let
@@ -22,10 +23,12 @@ def _range(n: Column) -> Column:
 
 def level_sections(below: Column, container: str = "details") -> Column:
     """Containers of level 3, then 2, then 4, each in document order."""
-    elements = F.filter(below, lambda n: has_tag(n, container))
-    return F.concat(
-        *[F.transform(F.filter(elements, lambda n, v=level: has_level(n, v)), _range) for level in _LEVELS]
-    )
+
+    def of_level(level: str) -> Column:
+        found = F.filter(below, lambda n: has_tag(n, container) & has_level(n, level))
+        return F.transform(found, _range)
+
+    return F.concat(*[of_level(level) for level in _LEVELS])
 
 
 def virtual_sections(nodes: Column, below: Column) -> Column:
@@ -221,3 +224,45 @@ def to_long(entries: DataFrame) -> DataFrame:
         "*", F.col("_part.pos").alias("pos"), F.posexplode_outer("_part.defs").alias("def_ord", "definition")
     )
     return rows.where(F.col("def_ord").isNotNull()).drop("definitions", "_part")
+
+
+# --- the same folds on rows, for definitions kept in long tables ------------
+
+def fold_rows(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: first ``ord`` and the ``defs`` of the last ``ord``.
+
+    Partial aggregation keeps one candidate per key and task, so a key with
+    very many rows is no burden.
+    """
+    return parts.groupBy(*keys).agg(
+        F.min("ord").alias("ord"), F.max_by("defs", "ord").alias("defs")
+    )
+
+
+def last_per_key(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Window form of :func:`fold_rows`, for when all columns of the last row matter."""
+    by_key = W.partitionBy(*keys)
+    latest = F.row_number().over(by_key.orderBy(F.desc("ord")))
+    return (
+        parts.withColumn("_n", latest)
+        .withColumn("first_ord", F.min("ord").over(by_key))
+        .where(F.col("_n") == 1)
+        .drop("_n")
+    )
+
+
+def section_ends(headings: DataFrame, page: str = "page_id") -> DataFrame:
+    """Add ``stop``: the next sibling heading that ends each ``h3`` or ``h4`` span.
+
+    Rows are read backwards, so the frame grows by one row at a time.
+    """
+    after = (
+        W.partitionBy(page, "parent")
+        .orderBy(F.desc("pre"))
+        .rowsBetween(W.unboundedPreceding, W.currentRow - 1)
+    )
+    upper = F.min(F.when(F.col("tag").isin("h2", "h3"), F.col("pre"))).over(after)
+    any_level = F.min(F.when(F.col("tag").isin("h2", "h3", "h4"), F.col("pre"))).over(after)
+    return headings.withColumn(
+        "stop", F.when(F.col("tag") == "h3", upper).when(F.col("tag") == "h4", any_level)
+    )

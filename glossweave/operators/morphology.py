@@ -40,11 +40,10 @@ def lemma_candidates(words: DataFrame, rules: DataFrame) -> DataFrame:
     distinct = words.select("lang", "word").distinct()
     usable = accepted_rules(rules)
     longest = usable.agg(F.max(F.length("tail"))).scalar()
-    tails = F.transform(
-        F.sequence(F.lit(0), F.least(F.length("word"), F.coalesce(longest, F.lit(0)))),
-        lambda k: F.right(F.col("word"), k),
+    sizes = F.sequence(F.lit(0), F.least(F.length("word"), F.coalesce(longest, F.lit(0))))
+    probes = distinct.select("lang", "word", F.explode(sizes).alias("_k")).select(
+        "lang", "word", F.right(F.col("word"), F.col("_k")).alias("tail")
     )
-    probes = distinct.select("lang", "word", F.explode(tails).alias("tail"))
     start = F.length("word") - F.col("size")
     fits = F.forall(
         F.transform(

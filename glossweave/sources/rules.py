@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..rule_texts import MORPHOLOGY
 
-BOM = "﻿"
+BOM = "\ufeff"
 
 
 def _read_rule_files(spark: SparkSession, path: str, file_name: str) -> DataFrame:
