@@ -80,3 +80,6 @@ SPACE_CLASS = (
     r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 )
+# Runs of white space other than one plain space: all that tidying has to touch.
+# The Unicode property is a cheaper test in Java than the list of ranges above.
+UNTIDY_SPACES = r"(?U)[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*| [\s\x1c-\x1f]+"

@@ -10,7 +10,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import LANGUAGE_NAMES, SPACE_CLASS, SPACES
+from ..constants import LANGUAGE_NAMES, SPACES, UNTIDY_SPACES
 
 # Order matters: the ampersand first.
 _MARKUP = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"))
@@ -48,7 +48,7 @@ def clean_text(text: Column) -> Column:
     then each look at one character, so no input makes them slow.
     """
     out = let(strip(text), _drop_tags)
-    out = F.regexp_replace(out, SPACE_CLASS + "+", " ")
+    out = F.regexp_replace(out, UNTIDY_SPACES, " ")
     out = F.replace(out, F.lit("( "), F.lit("("))
     out = F.replace(out, F.lit(" )"), F.lit(")"))
     out = F.regexp_replace(out, " (?=[,.;:!?])", "")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -208,9 +209,20 @@ def extract_definitions(
     )
 
 
-def with_definitions(df: DataFrame, name: str = "definitions", **options) -> DataFrame:
-    """Add definitions; needs ``nodes`` and ``section``."""
-    return once(df, name, extract_definitions(F.col("nodes"), F.col("section"), **options))
+@cache
+def _definitions_column(_application: str, options: tuple) -> Column:
+    """The whole expression; building it is much slower than using it again."""
+    return extract_definitions(F.col("nodes"), F.col("section"), **dict(options))
+
+
+def with_definitions(df: DataFrame, **options) -> DataFrame:
+    """Add ``definitions`` to rows with ``nodes`` and ``section``.
+
+    Options are those of :func:`extract_definitions`.
+    """
+    application = df.sparkSession.sparkContext.applicationId
+    chosen = {k: tuple(v) if isinstance(v, (list, set, frozenset)) else v for k, v in options.items()}
+    return once(df, "definitions", _definitions_column(application, tuple(sorted(chosen.items()))))
 
 
 def filter_has_definitions(df: DataFrame, name: str = "definitions") -> DataFrame:

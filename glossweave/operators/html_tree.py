@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable
 from html import unescape
 
 import pyarrow as pa
@@ -21,7 +21,7 @@ TEXT = "#text"
 _VOID = frozenset(
     "area base br col embed frame hr img input link meta param source track wbr".split()
 )
-_RAW_TEXT = frozenset(("script", "style"))
+_SHAPING = frozenset(("html", "head", "body"))
 _HEAD_ONLY = frozenset("base link meta script style title".split())
 _FONT_STYLE = frozenset("b big i s small strike tt u".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -48,185 +48,208 @@ _RANK = {
 }
 _DEFAULT_RANK = 100
 
+_ATTRIBUTES = r"""((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)"""
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)
-      | <[!?][^>]*+(?:>|\Z)
-      | </([a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)
-      | <([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>
-      | [^<]++
-      | <""",
+    rf"""([^<]++)
+      | </([a-zA-Z][^\s/>]*+)[^>]*+>?
+      | <((?i:script|style))(?=[\s/>]){_ATTRIBUTES}>(.*?)(?=</(?i:\3)[\s/>]|\Z)
+      | <([a-zA-Z][^\s/>]*+){_ATTRIBUTES}>
+      | <!--.*?(?:-->|\Z)
+      | <[!?][^>]*+>?
+      | (<)""",
     re.S | re.X,
 )
+_TEXT, _END, _RAW, _START, _BARE = 1, 2, 5, 7, 8
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 _SELF_CLOSED = re.compile(r"""(?:\A|[\s"'])/\s*\Z""")
 _KEPT_ATTRIBUTES = {"id": 0, "class": 1, "lang": 2, "data-level": 3}
-_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I) for tag in _RAW_TEXT}
-_NO_ATTRIBUTES = (None, None, None, None)
 
 
-def _attributes(source: str) -> tuple:
-    found = list(_NO_ATTRIBUTES)
+def _attributes(source: str) -> tuple | None:
+    """Kept attributes of a start tag, the first one where a name is repeated."""
+    found: list[str | None] = [None] * len(_KEPT_ATTRIBUTES)
     for name, double, single, bare in _ATTRIBUTE.findall(source):
         slot = _KEPT_ATTRIBUTES.get(name.lower())
         if slot is not None and found[slot] is None:
             found[slot] = unescape(double or single or bare)
-    return tuple(found)
+    return tuple(found) if any(v is not None for v in found) else None
 
 
-class _Tree:
-    """Nodes of one page as parallel columns, filled while tags are read."""
+class Nodes:
+    """Node columns of a batch of pages, filled page by page while tags are read."""
 
     def __init__(self, container: str) -> None:
         self.container = container
+        self.pre: list[int] = []
         self.fin: list[int] = []
         self.parent: list[int] = []
         self.depth: list[int] = []
         self.tag: list[str] = []
-        self.attrs: list[tuple] = []
         self.text: list[str | None] = []
         self.near: list[int | None] = []
-        self.open = [self._add("html", _NO_ATTRIBUTES, None, -1)]
-        self.pending = ""
+        self.attrs: dict[int, tuple] = {}
 
-    def _add(self, tag: str, attrs: tuple, text: str | None, parent: int) -> int:
-        pre = len(self.tag)
+    def _add(self, tag: str, text: str | None = None) -> int:
+        """Append a node below the innermost open element."""
+        pre = len(self.tag) - self.base
+        above = self.open[-1] if self.open else -1
+        self.pre.append(pre)
+        self.fin.append(pre)
+        self.parent.append(above)
+        self.depth.append(len(self.open))
         self.tag.append(tag)
-        self.attrs.append(attrs)
         self.text.append(text)
-        self.parent.append(parent)
-        self.depth.append(0 if parent < 0 else self.depth[parent] + 1)
-        self.fin.append(pre)
-        inherited = None if parent < 0 else self.near[parent]
-        self.near.append(pre if tag == self.container else inherited)
+        if tag == self.container:
+            self.near.append(pre)
+        else:
+            self.near.append(self.near[self.base + above] if above >= 0 else None)
         return pre
 
-    def pop(self) -> None:
-        self.fin[self.open.pop()] = len(self.tag) - 1
+    def _push(self, tag: str) -> int:
+        pre = self._add(tag)
+        self.open.append(pre)
+        self.names.append(tag)
+        return pre
+
+    def _pop(self) -> None:
+        self.names.pop()
+        self.fin[self.base + self.open.pop()] = len(self.tag) - self.base - 1
 
     def _enter_body(self) -> None:
-        """Content outside head and body opens a body."""
-        if len(self.open) > 1 and self.tag[self.open[1]] == "head":
-            self.pop()
-        if len(self.open) == 1:
-            self.open.append(self._add("body", _NO_ATTRIBUTES, None, 0))
-
-    def _in_head(self) -> bool:
-        return len(self.open) == 1 or self.tag[self.open[-1]] == "head"
-
-    def flush(self) -> None:
-        """Adjacent text becomes one node; text of white space only is dropped."""
-        text, self.pending = self.pending, ""
-        if text and not text.isspace():
-            if self._in_head():
+        while len(self.open) > 1:
+            self._pop()
+        self.body = self._push("body")
+
+    def _place(self, tag: str, source: str) -> bool:
+        """Handle the tags that shape the document; true if nothing is left to do."""
+        if tag == "html" or (tag == "body" and self.body is not None):
+            at = self.base + (0 if tag == "html" else self.body)
+            attrs = _attributes(source)
+            if attrs:
+                old = self.attrs.get(at, attrs)
+                self.attrs[at] = tuple(a if a is not None else b for a, b in zip(old, attrs))
+            return True
+        if self.body is None:
+            if tag == "body":
                 self._enter_body()
-            self._add(TEXT, _NO_ATTRIBUTES, text, self.open[-1])
-
-    def start(self, tag: str, source: str) -> bool:
-        """Open an element; true if it is still open afterwards."""
-        self.flush()
-        attrs = _attributes(source) if "=" in source else _NO_ATTRIBUTES
-        if tag in ("html", "body") and (tag == "html" or self._body_open()):
-            at = 0 if tag == "html" else self.open[1]
-            self.attrs[at] = tuple(a if a is not None else b for a, b in zip(self.attrs[at], attrs))
-            return False
-        if tag in ("head", "body"):
-            if len(self.open) > 1 and tag == "body":
-                self.pop()
-            if len(self.open) > 1:
-                return False
-        elif self._in_head():
+                attrs = _attributes(source)
+                if attrs:
+                    self.attrs[self.base + self.body] = attrs
+                return True
+            if tag == "head":
+                if not self.head:
+                    self.head = True
+                    self._push("head")
+                return True
             if tag not in _HEAD_ONLY:
                 self._enter_body()
-            elif len(self.open) == 1 and "head" not in self.tag:
-                self.open.append(self._add("head", _NO_ATTRIBUTES, None, 0))
+            elif not self.head:
+                self.head = True
+                self._push("head")
+        return tag == "head"
+
+    def _start(self, tag: str, source: str) -> bool:
+        """Open an element; true if it stays open."""
+        if (self.body is None or tag in _SHAPING) and self._place(tag, source):
+            return False
         closes = _IMPLIED_END.get(tag)
         if closes:
-            while self.tag[self.open[-1]] in closes:
-                self.pop()
-        pre = self._add(tag, attrs, None, self.open[-1])
-        if tag in _VOID or (source.endswith("/") and _SELF_CLOSED.search(source)):
-            return False
-        self.open.append(pre)
-        return True
-
-    def _body_open(self) -> bool:
-        return len(self.open) > 1 and self.tag[self.open[1]] == "body"
-
-    def end(self, tag: str) -> None:
-        self.flush()
+            while self.names[-1] in closes:
+                self._pop()
+        if tag in _VOID or (source and source[-1] == "/" and _SELF_CLOSED.search(source)):
+            pre, stays = self._add(tag), False
+        else:
+            pre, stays = self._push(tag), True
+        if "=" in source:
+            attrs = _attributes(source)
+            if attrs:
+                self.attrs[self.base + pre] = attrs
+        return stays
+
+    def _end(self, tag: str) -> None:
+        if self.names[-1] == tag and len(self.names) > 1 and tag != "body":
+            self._pop()
+            return
         if tag in ("html", "body"):
             return
         rank = _RANK.get(tag, _DEFAULT_RANK)
-        for at in range(len(self.open) - 1, 0, -1):
-            name = self.tag[self.open[at]]
-            if name == tag:
+        for at in range(len(self.names) - 1, 0, -1):
+            if self.names[at] == tag:
                 while len(self.open) > at:
-                    self.pop()
+                    self._pop()
                 return
-            if _RANK.get(name, _DEFAULT_RANK) > rank:
+            if _RANK.get(self.names[at], _DEFAULT_RANK) > rank:
                 return
 
-    def close(self) -> None:
-        self.flush()
+    def _text(self, text: str) -> None:
+        """Adjacent text is one node; text of white space only is dropped."""
+        if not text.isspace():
+            if self.body is None and self.names[-1] in ("html", "head"):
+                self._enter_body()
+            self._add(TEXT, text)
+
+    def read(self, page: str) -> None:
+        """Append the nodes of one page."""
+        self.base = len(self.tag)
+        self.open: list[int] = []
+        self.names: list[str] = []
+        self.head, self.body = False, None
+        self._push("html")
+        pending = ""
+        for token in _TOKEN.finditer(page):
+            kind = token.lastindex
+            if kind == _TEXT or kind == _BARE:
+                piece = token.group()
+                pending += unescape(piece) if "&" in piece else piece
+                continue
+            if kind is None:
+                continue
+            if pending:
+                self._text(pending)
+                pending = ""
+            if kind == _END:
+                self._end(token[2].lower())
+            elif kind == _START:
+                self._start(token[6].lower(), token[7])
+            elif self._start(token[3].lower(), token[4]):
+                pending = token[5]
+        if pending:
+            self._text(pending)
         while self.open:
-            self.pop()
-
-
-def build_tree(page: str | None, container: str = "details") -> _Tree | None:
-    """Tree of one page; None for a page without content."""
-    if not page or page.isspace():
-        return None
-    tree = _Tree(container)
-    at, size, match = 0, len(page), _TOKEN.match
-    while at < size:
-        token = match(page, at)
-        at = token.end()
-        kind = token.lastindex
-        if kind is None:
-            piece = token.group()
-            if piece[0] != "<" or piece == "<":
-                tree.pending += unescape(piece) if "&" in piece else piece
-        elif kind == 1:
-            tree.end(token.group(1).lower())
-        else:
-            tag = token.group(2).lower()
-            if tree.start(tag, token.group(3)) and tag in _RAW_TEXT:
-                closing = _RAW_END[tag].search(page, at)
-                stop = closing.start() if closing else size
-                tree.pending = page[at:stop]
-                at = stop
-    tree.close()
-    return tree
-
-
-def to_arrow(trees: Iterator[_Tree | None]) -> pa.Array:
-    """One list value per page, assembled column by column."""
-    offsets: list[int] = []
-    gaps: list[bool] = []
-    columns: dict[str, list] = {k: [] for k in ("pre", "fin", "parent", "depth", "tag", "text", "near")}
-    attrs: list[tuple] = []
-    total = 0
-    for tree in trees:
-        offsets.append(total)
-        gaps.append(tree is None)
-        if tree is None:
-            continue
-        count = len(tree.tag)
-        total += count
-        columns["pre"].extend(range(count))
-        for name in ("fin", "parent", "depth", "tag", "text", "near"):
-            columns[name].extend(getattr(tree, name))
-        attrs.extend(tree.attrs)
-    offsets.append(total)
-    ids, classes, langs, levels = zip(*attrs) if attrs else ((), (), (), ())
-    ints = {k: pa.array(columns[k], pa.int32()) for k in ("pre", "fin", "parent", "depth", "near")}
-    strings = {
-        "tag": columns["tag"], "id": ids, "cls": classes, "lang": langs,
-        "level": levels, "text": columns["text"],
+            self._pop()
+
+
+def pages_to_arrow(pages: Iterable[str | None], container: str) -> pa.Array:
+    """One list of nodes per page, null for a page without content."""
+    nodes = Nodes(container)
+    offsets, gaps = [0], []
+    for page in pages:
+        empty = not page or page.isspace()
+        gaps.append(empty)
+        if not empty:
+            nodes.read(page)
+        offsets.append(len(nodes.tag))
+    kept: list[list[str | None]] = [[None] * len(nodes.tag) for _ in _KEPT_ATTRIBUTES]
+    for at, values in nodes.attrs.items():
+        for column, value in zip(kept, values):
+            column[at] = value
+    ids, classes, langs, levels = kept
+    fields = {
+        "pre": (nodes.pre, pa.int32()),
+        "fin": (nodes.fin, pa.int32()),
+        "parent": (nodes.parent, pa.int32()),
+        "depth": (nodes.depth, pa.int32()),
+        "tag": (nodes.tag, pa.string()),
+        "id": (ids, pa.string()),
+        "cls": (classes, pa.string()),
+        "lang": (langs, pa.string()),
+        "level": (levels, pa.string()),
+        "text": (nodes.text, pa.string()),
+        "near": (nodes.near, pa.int32()),
     }
-    arrays = {**ints, **{k: pa.array(v, pa.string()) for k, v in strings.items()}}
-    order = ["pre", "fin", "parent", "depth", "tag", "id", "cls", "lang", "level", "text", "near"]
-    values = pa.StructArray.from_arrays([arrays[k] for k in order], names=order)
+    values = pa.StructArray.from_arrays(
+        [pa.array(column, kind) for column, kind in fields.values()], names=list(fields)
+    )
     return pa.ListArray.from_arrays(
         pa.array(offsets, pa.int32()), values, mask=pa.array(gaps, pa.bool_())
     )

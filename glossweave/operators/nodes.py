@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import limit_arrow_batches
-from .html_tree import TEXT, build_tree, to_arrow
+from .html_tree import TEXT, pages_to_arrow
 
 NODE_TYPE = (
     "array<struct<pre:int,fin:int,parent:int,depth:int,tag:string,"
@@ -27,7 +27,7 @@ def html_nodes(html: Column, container: str = "details") -> Column:
 
     @F.arrow_udf(NODE_TYPE)
     def parse(pages: pa.Array) -> pa.Array:
-        return to_arrow(build_tree(page.as_py(), container) for page in pages)
+        return pages_to_arrow(pages.to_pylist(), container)
 
     return parse(html)
 

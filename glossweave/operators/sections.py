@@ -7,6 +7,7 @@ and the first hit wins. All work on the node array of one page.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -173,32 +174,41 @@ class SectionFinder:
         return F.coalesce(*[m() for m in self.methods])
 
 
+@cache
+def _section_column(
+    _application: str, code: str | None, name: str | None, only: int | None, options: tuple
+) -> Column:
+    """The search expression; building it is much slower than using it again."""
+    if code is None:
+        columns = F.col("_language.code"), F.col("_language.name")
+    else:
+        columns = F.lit(code), F.lit(name).cast("string")
+    finder = SectionFinder(F.col("nodes"), *columns, **dict(options))
+    return finder.find() if only is None else finder.method(only)
+
+
 def with_section(
     df: DataFrame,
     code: str | Column,
     names: dict[str, str] | None = None,
     only: int | None = None,
-    section: str = "section",
     **options,
 ) -> DataFrame:
-    """Add the language section of each page, null where none is found.
+    """Add ``section`` to rows with ``nodes``, null where none is found.
 
     ``code`` may be a column, so that each page looks for its own language.
     ``only`` restricts the search to one method; other options are those of
     :class:`SectionFinder`.
     """
     names = LANGUAGE_NAMES if names is None else names
+    application = df.sparkSession.sparkContext.applicationId
+    chosen = tuple(sorted(options.items()))
     if isinstance(code, str):
-        finder = SectionFinder(F.col("nodes"), F.lit(code), F.lit(names.get(code)).cast("string"), **options)
-    else:
-        language = F.struct(
-            code.alias("code"), F.element_at(language_names(names), code).alias("name")
-        )
-        df = once(df, "_language", language)
-        finder = SectionFinder(F.col("nodes"), F.col("_language.code"), F.col("_language.name"), **options)
-    found = once(df, section, finder.find() if only is None else finder.method(only))
-    return found.drop("_language")
+        return once(df, "section", _section_column(application, code, names.get(code), only, chosen))
+    language = F.struct(code.alias("code"), F.element_at(language_names(names), code).alias("name"))
+    found = _section_column(application, None, None, only, chosen)
+    return once(once(df, "_language", language), "section", found).drop("_language")
 
 
-def filter_has_section(df: DataFrame, section: str = "section") -> DataFrame:
-    return df.where(F.col(section).isNotNull())
+def filter_has_section(df: DataFrame) -> DataFrame:
+    return df.where(F.col("section").isNotNull())

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scripts import in_scripts, is_page_name
-from ..operators.definitions import extract_definitions, filter_has_definitions
+from ..operators.definitions import filter_has_definitions, with_definitions
 from ..operators.headwords import limit_pages
-from ..operators.nodes import html_nodes, once, with_nodes
+from ..operators.nodes import html_nodes, with_nodes
 from ..operators.sections import filter_has_section, with_section
 from ..operators.stats import run_stats
 from ..params import ConvertParams
@@ -24,10 +24,10 @@ def select_pages(pages: DataFrame, params: ConvertParams) -> DataFrame:
 
 
 def _define(parsed: DataFrame, params: ConvertParams) -> DataFrame:
-    options = {"excluded": params.excluded_sections, "dedupe_nested": params.dedupe_nested}
-    return once(
-        parsed, "definitions", extract_definitions(F.col("nodes"), F.col("section"), **options)
-    ).select("page_id", "word", "definitions")
+    defined = with_definitions(
+        parsed, excluded=params.excluded_sections, dedupe_nested=params.dedupe_nested
+    )
+    return defined.select("page_id", "word", "definitions")
 
 
 def extract_entries(pages: DataFrame, params: ConvertParams, code=None) -> DataFrame:

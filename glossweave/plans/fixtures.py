@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import capitalize, html_escape, language_name
+from ..operators.nodes import once
 
 LANGUAGE, NAME = "lang", "lang_name"
 
@@ -46,7 +47,8 @@ def documents_as_words(documents: DataFrame) -> DataFrame:
 
 def _page(rows: DataFrame, body: Column) -> DataFrame:
     html = _join("<!DOCTYPE html><html><head><title>x</title></head><body>", body, "</body></html>")
-    return rows.select("page_id", "word", LANGUAGE, html.alias("html"))
+    # Built once: the list test of the parser would repeat the expression.
+    return once(rows, "html", html).select("page_id", "word", LANGUAGE, "html")
 
 
 def _other_language() -> Column:

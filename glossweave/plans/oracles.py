@@ -85,7 +85,7 @@ ORACLES["text_strip"] = f"SELECT doc_id, {strip('text')} AS stripped FROM docume
 
 # --- names and scripts ------------------------------------------------------
 _SEGMENTS = """
-SELECT page_id, generate_subscripts(string_split(url, '/'), 1) - 1 AS segment,
+SELECT page_id, CAST(generate_subscripts(string_split(url, '/'), 1) - 1 AS INTEGER) AS segment,
        unnest(string_split(url, '/')) AS name
 FROM pages
 """
@@ -119,7 +119,8 @@ def script_count(name: str) -> str:
     """Alphanumeric characters of the stem that are left after removing all others."""
     without = dict(SCRIPTS)["chinese"] if name == "japanese" else ()
     base = "regexp_replace(regexp_replace(word, '^(.+)\\.[^.]+$', '\\1'), '[^\\p{L}\\p{N}]', '', 'g')"
-    return f"length(regexp_replace({base}, '[^{_class_body(name, without)}]', '', 'g'))"
+    left = f"length(regexp_replace({base}, '[^{_class_body(name, without)}]', '', 'g'))"
+    return f"CAST({left} AS INTEGER)"
 
 
 _SCRIPT_NAMES = [name for name, _ in SCRIPTS]
@@ -162,7 +163,7 @@ WHERE NOT regexp_matches(word, '^.+\\.[^.]+$') AND NOT starts_with(word, '.')
 
 
 def tag_count(pattern: str) -> str:
-    return f"len(regexp_extract_all(html, '{pattern}'))"
+    return f"CAST(len(regexp_extract_all(html, '{pattern}')) AS INTEGER)"
 
 
 def tag_text(e: str) -> str:
@@ -182,7 +183,7 @@ FROM pages
 
 def _elements(pattern: str) -> str:
     return f"""
-SELECT page_id, generate_subscripts({extracted(pattern, 0)}, 1) AS ord, unnest({extracted(pattern, 0)}) AS e
+SELECT page_id, CAST(generate_subscripts({extracted(pattern, 0)}, 1) AS INTEGER) AS ord, unnest({extracted(pattern, 0)}) AS e
 FROM pages
 """
 
@@ -240,7 +241,7 @@ FROM ({_ROWS}) CROSS JOIN range(1, 9) AS m(method)
 """
 ORACLES["section_required"] = f"SELECT page_id, word FROM ({_ROWS}) WHERE lang = 'es'"
 
-_LINE_COUNT = "len(string_split(text, chr(10)))"
+_LINE_COUNT = "CAST(len(string_split(text, chr(10))) AS INTEGER)"
 # ord, heading, has list, items
 _RICH_PARTS = [
     ("'Noun (n)'", True, _LINE_COUNT),
@@ -285,7 +286,7 @@ def lines(column: str, pos_ord: int, pos: str, first: int | str = 0) -> str:
     """Definition rows of a list with one item per line of ``column``."""
     split = f"string_split({column}, chr(10))"
     return f"""
-SELECT page_id, word, {pos_ord} AS pos_ord, '{pos}' AS pos, n - 1 + {first} AS def_ord, {clean('line')} AS definition
+SELECT page_id, word, {pos_ord} AS pos_ord, '{pos}' AS pos, CAST(n - 1 + {first} AS INTEGER) AS def_ord, {clean('line')} AS definition
 FROM (SELECT *, generate_subscripts({split}, 1) AS n, unnest({split}) AS line FROM ({_ROWS}))
 """
 
@@ -322,7 +323,7 @@ ORACLES["flat_definitions"] = " UNION ALL ".join(
 )
 ORACLES["fold_last_wins"] = _REPEATED
 _LINE_PARTS = """
-SELECT doc_id, lang, n - 1 AS n, doc_id * 100000 + n - 1 AS ord, defs
+SELECT doc_id, lang, CAST(n - 1 AS INTEGER) AS n, doc_id * 100000 + n - 1 AS ord, defs
 FROM (SELECT doc_id, lang, generate_subscripts(string_split(text, chr(10)), 1) AS n,
              unnest(string_split(text, chr(10))) AS defs FROM documents)
 """
@@ -351,7 +352,7 @@ ORACLES["pages_with_definitions"] = (
     f"SELECT page_id, word, 3 AS parts FROM ({_ROWS}) WHERE lang = 'es'"
 )
 ORACLES["custom_exclusions"] = f"""
-SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos_ord) - 1 AS pos_ord, pos,
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos_ord) - 1 AS INTEGER) AS pos_ord, pos,
        CAST(n AS BIGINT) AS n FROM (
   SELECT page_id, 0 AS pos_ord, {clean("'Translations of ' || word")} AS pos, {_LINE_COUNT} AS n FROM ({_ROWS})
   UNION ALL SELECT page_id, 1, 'see ALSO', 1 FROM ({_ROWS})

@@ -35,7 +35,7 @@ from ..operators.axes import (
 from ..operators.sections import with_section
 from ..params import ConvertParams
 from ..session import new_scratch_path
-from ..sources.pages import scan_page_dir, scan_pages
+from ..sources.pages import scan_page_dir, scan_pages, spread
 from ..sources.rules import builtin_morphology
 from ..sources.sinks import frame_output, merge_dictionaries, write_dictionary
 from ..streaming.ingest import ingest_batches, read_outcomes
@@ -69,7 +69,8 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _rows(spark: SparkSession, sf: str) -> DataFrame:
-    return B.documents_as_words(_documents(spark, sf))
+    """Documents as the raw material of pages that are going to be parsed."""
+    return B.documents_as_words(spread(_documents(spark, sf)))
 
 
 def _own_language() -> Column:
@@ -213,7 +214,8 @@ def stage_counts(spark, sf):
 # --- nodes and axes ---------------------------------------------------------
 
 def _nodes(spark, sf, container):
-    return N.with_nodes(table(spark, sf, "pages"), container=container, required=None)
+    pages = spread(table(spark, sf, "pages"))
+    return N.with_nodes(pages, container=container, required=None)
 
 
 @query

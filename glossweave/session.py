@@ -22,6 +22,8 @@ def build_session(master: str | None = None, app_name: str = "glossweave", **con
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config(ARROW_BATCH_CONF, PAGES_PER_ARROW_BATCH)
+        # Records a call site per Column call, which large expressions feel.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master)

@@ -44,6 +44,20 @@ def scan_page_dir(spark: SparkSession, path: str) -> DataFrame:
     return files_to_pages(spark.read.format("binaryFile").load(path))
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Give a small scanned table one task per core before costly parsing.
+
+    A table that has fewer splits than cores leaves cores idle, all the more as
+    a file with one row group is read by one task. Larger tables are left as
+    they are, so nothing is shuffled where a shuffle would be expensive. Only
+    for a plain scan: counting its splits runs no job.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    if table.rdd.getNumPartitions() > 2 * cores:
+        return table
+    return table.repartition(2 * cores)
+
+
 def scan_pages(
     spark: SparkSession,
     path: str,
@@ -56,7 +70,7 @@ def scan_pages(
     def named(value: str | Column, name: str) -> Column:
         return (F.col(value) if isinstance(value, str) else value).alias(name)
 
-    table = spark.read.parquet(path)
+    table = spread(spark.read.parquet(path))
     return table.select(named(page_id, "page_id"), named(word, "word"), named(html, "html"))
 
 
