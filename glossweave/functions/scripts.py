@@ -8,6 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import SCRIPTS
+from .text import let
+
+SCRIPT_NAMES = tuple(name for name, _ in SCRIPTS)
 
 # Text from the last dot, when that dot is neither the first nor the last character.
 SUFFIX_PATTERN = r"^(.+)\.[^.]+$"
@@ -24,16 +27,6 @@ def script_class(scripts: Iterable[str]) -> str | None:
     return f"[{body}]" if body else None
 
 
-def _exclusive_ranges() -> list[tuple[str, list[tuple[int, int]]]]:
-    """Ranges without those an earlier script already took."""
-    taken: set[tuple[int, int]] = set()
-    result = []
-    for name, ranges in SCRIPTS:
-        result.append((name, [r for r in ranges if r not in taken]))
-        taken.update(ranges)
-    return result
-
-
 def is_in_script(char: Column, script: str) -> Column:
     """Whether the first character of ``char`` belongs to ``script``."""
     pattern = script_class([script])
@@ -48,23 +41,36 @@ def alphanumeric(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\p{L}\p{N}]", "")
 
 
-def script_counts(name: Column) -> dict[str, Column]:
-    """Alphanumeric characters of the stem per script, first matching script wins."""
-    base = stem(name)
-    return {
-        script: F.regexp_count(base, F.lit(rf"[\p{{L}}\p{{N}}&&[{_ranges(ranges)}]]"))
-        for script, ranges in _exclusive_ranges()
-    }
+def script_counts(name: Column) -> Column:
+    """Alphanumeric characters of the stem per script, an array in script order.
+
+    A character counts for the first script that lists it, so later scripts
+    are tested without ranges that an earlier one has.
+    """
+    taken: set[tuple[int, int]] = set()
+    classes = []
+    for _, ranges in SCRIPTS:
+        classes.append(f"[{_ranges(r for r in ranges if r not in taken)}]+")
+        taken.update(ranges)
+
+    def counts(word: Column) -> Column:
+        return F.array(
+            *[F.length(word) - F.length(F.regexp_replace(word, c, "")) for c in classes]
+        )
+
+    return let(alphanumeric(stem(name)), counts)
 
 
 def dominant_script(name: Column) -> Column:
     """Most frequent script; ties go to the earlier one; ``unknown`` if none."""
-    ranked = [
-        F.struct(count.alias("n"), F.lit(-order).alias("rank"), F.lit(script).alias("script"))
-        for order, (script, count) in enumerate(script_counts(name).items())
-    ]
-    unknown = F.struct(F.lit(0).alias("n"), F.lit(1).alias("rank"), F.lit("unknown").alias("script"))
-    return F.array_max(F.array(unknown, *ranked)).getField("script")
+    ranked = F.transform(
+        script_counts(name), lambda n, i: F.struct(n.alias("n"), (-i).alias("rank"))
+    )
+    names = F.array(*[F.lit(s) for s in SCRIPT_NAMES])
+    return let(
+        F.array_max(ranked),
+        lambda best: F.when(best["n"] > 0, F.get(names, -best["rank"])).otherwise("unknown"),
+    )
 
 
 def in_scripts(name: Column, scripts: Iterable[str]) -> Column:

@@ -31,8 +31,9 @@ def with_position(df: DataFrame, keys: list[Column], name: str = "position") ->
 
     A range-partitioned sort numbers the rows inside each partition; the rows
     are written once, and the partition sizes, one small row each, become
-    offsets. No task sees more than its own range. ``df`` should be narrow:
-    keys and an identifier, not page bodies.
+    offsets. No task sees more than its own range. ``df`` should be narrow
+    (keys and an identifier, not page bodies) and cheap to read twice, which
+    sampling for the sort does.
     """
     numbered = cut(df.orderBy(*keys).withColumn("_at", F.monotonically_increasing_id()), "sorted")
     part = F.shiftright(F.col("_at"), _INDEX_BITS)

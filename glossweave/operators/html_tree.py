@@ -182,8 +182,11 @@ class Nodes:
                 return
 
     def _text(self, text: str) -> None:
-        """Adjacent text is one node; text of white space only is dropped."""
-        if not text.isspace():
+        """Adjacent text is one node, also across a tag that was ignored; text of
+        white space only is dropped."""
+        if self.text[-1] is not None and self.parent[-1] == self.open[-1]:
+            self.text[-1] += text
+        elif not text.isspace():
             if self.body is None and self.names[-1] in ("html", "head"):
                 self._enter_body()
             self._add(TEXT, text)

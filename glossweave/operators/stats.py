@@ -7,14 +7,16 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scripts import in_scripts, is_page_name, script_counts
+from ..functions.scripts import SCRIPT_NAMES, in_scripts, is_page_name, script_counts
 from .headwords import assign_batches
+from .nodes import once
 
 
 def run_stats(outcomes: DataFrame, batch_size: int) -> DataFrame:
     """Pages processed and skipped per batch.
 
-    ``outcomes`` has ``word``, ``page_id`` and ``has_entry`` for every page.
+    ``outcomes`` has ``word``, ``page_id`` and ``has_entry`` for every page. It
+    should be a stored table: sorting reads it twice.
     """
     return (
         assign_batches(outcomes, batch_size)
@@ -38,6 +40,11 @@ def count_stages(files: DataFrame, scripts: Iterable[str], limit: int = 0) -> Da
 
 def script_histogram(words: DataFrame, word: str = "word") -> DataFrame:
     """Characters per script over all words: one row per script."""
-    counts = script_counts(F.col(word))
-    totals = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(s) for s, c in counts.items()])
-    return totals.unpivot([], list(counts), "script", "characters")
+    counted = once(words.select(word), "_counts", script_counts(F.col(word)))
+    totals = counted.agg(
+        *[
+            F.coalesce(F.sum(F.get("_counts", F.lit(i))), F.lit(0)).alias(name)
+            for i, name in enumerate(SCRIPT_NAMES)
+        ]
+    )
+    return totals.unpivot([], list(SCRIPT_NAMES), "script", "characters")

@@ -12,6 +12,7 @@ from ..functions import text as X
 from ..functions.collation import builtin_collation, collation_key
 from ..functions.render import render_dsl, render_xdxf
 from ..functions.scripts import (
+    SCRIPT_NAMES,
     alphanumeric,
     dominant_script,
     in_scripts,
@@ -34,7 +35,7 @@ from ..operators.axes import (
 )
 from ..operators.sections import with_section
 from ..params import ConvertParams
-from ..session import new_scratch_path
+from ..session import cut, new_scratch_path
 from ..sources.pages import scan_page_dir, scan_pages, spread
 from ..sources.rules import builtin_morphology
 from ..sources.sinks import frame_output, merge_dictionaries, write_dictionary
@@ -68,9 +69,14 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents")
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents for work that is costly per row."""
+    return spread(_documents(spark, sf))
+
+
 def _rows(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as the raw material of pages that are going to be parsed."""
-    return B.documents_as_words(spread(_documents(spark, sf)))
+    return B.documents_as_words(_texts(spark, sf))
 
 
 def _own_language() -> Column:
@@ -81,12 +87,13 @@ def _own_language() -> Column:
 
 @query
 def clean_text(spark, sf):
-    return _documents(spark, sf).select("doc_id", X.clean_text(F.col("text")).alias("cleaned"))
+    return _texts(spark, sf).select("doc_id", X.clean_text(F.col("text")).alias("cleaned"))
 
 
 @query
 def clean_html(spark, sf):
-    return table(spark, sf, "pages").select("page_id", X.clean_text(F.col("html")).alias("cleaned"))
+    pages = spread(table(spark, sf, "pages"))
+    return pages.select("page_id", X.clean_text(F.col("html")).alias("cleaned"))
 
 
 @query
@@ -161,7 +168,7 @@ def stem_name(spark, sf):
 
 @query
 def char_in_script(spark, sf):
-    words = B.words_in_scripts(_documents(spark, sf))
+    words = B.words_in_scripts(_texts(spark, sf))
     first = F.left(F.col("word"), F.lit(1))
     return words.select(
         "form", "word",
@@ -174,40 +181,41 @@ def char_in_script(spark, sf):
 
 @query
 def alphanumeric_part(spark, sf):
-    words = B.words_in_scripts(_documents(spark, sf))
+    words = B.words_in_scripts(_texts(spark, sf))
     return words.select("form", "word", alphanumeric(F.col("word")).alias("kept"))
 
 
 @query
 def word_script_counts(spark, sf):
-    counts = script_counts(F.col("word"))
+    words = B.words_in_scripts(_texts(spark, sf))
+    counted = N.once(words, "counts", script_counts(F.col("word")))
     chosen = ["latin", "cyrillic", "greek", "chinese", "japanese"]
-    return B.words_in_scripts(_documents(spark, sf)).select(
-        "form", "word", *[counts[name].alias(name) for name in chosen]
+    return counted.select(
+        "form", "word", *[F.get("counts", F.lit(SCRIPT_NAMES.index(name))).alias(name) for name in chosen]
     )
 
 
 @query
 def script_histogram(spark, sf):
-    return ST.script_histogram(B.words_in_scripts(_documents(spark, sf)))
+    return ST.script_histogram(B.words_in_scripts(_texts(spark, sf)))
 
 
 @query
 def word_dominant_script(spark, sf):
-    return B.words_in_scripts(_documents(spark, sf)).select(
+    return B.words_in_scripts(_texts(spark, sf)).select(
         "form", "word", dominant_script(F.col("word")).alias("script")
     )
 
 
 @query
 def script_filter(spark, sf):
-    words = B.words_in_scripts(_documents(spark, sf))
+    words = B.words_in_scripts(_texts(spark, sf))
     return words.where(in_scripts(F.col("word"), WANTED_SCRIPTS))
 
 
 @query
 def stage_counts(spark, sf):
-    words = B.words_in_scripts(_documents(spark, sf)).select("word")
+    words = B.words_in_scripts(_texts(spark, sf)).select("word")
     return ST.count_stages(words, WANTED_SCRIPTS, limit=1000)
 
 
@@ -554,7 +562,8 @@ def batch_assignment(spark, sf):
 def run_stats(spark, sf):
     asked = ConvertParams(source_lang="en", target_lang="en", entry_lang="es")
     outcomes = page_outcomes(B.rich_page(_rows(spark, sf)), asked)
-    return ST.run_stats(outcomes.select("page_id", "word", "has_entry"), BATCH_SIZE)
+    stored = cut(outcomes.select("page_id", "word", "has_entry"), "outcomes")
+    return ST.run_stats(stored, BATCH_SIZE)
 
 
 # --- collation and morphology -----------------------------------------------
@@ -563,7 +572,7 @@ def run_stats(spark, sf):
 def collation_keys(spark, sf):
     pairs = builtin_collation("eng")
     russian = builtin_collation("rus")
-    words = B.words_in_scripts(_documents(spark, sf))
+    words = B.words_in_scripts(_texts(spark, sf))
     return words.select(
         "form", "word",
         collation_key(F.col("word"), pairs).alias("latin_key"),
@@ -573,13 +582,13 @@ def collation_keys(spark, sf):
 
 @query
 def collation_order(spark, sf):
-    words = B.words_of(_documents(spark, sf))
+    words = B.words_of(_texts(spark, sf))
     keyed = words.select("word", collation_key(F.col("word"), builtin_collation("eng")).alias("key"))
     return H.with_position(keyed, [F.col("key"), F.col("word")])
 
 
 def _ruled_words(spark, sf) -> DataFrame:
-    words = B.letter_words(_documents(spark, sf))
+    words = B.letter_words(_texts(spark, sf))
     code = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in RULE_LANGUAGE.items()], "lang")
     return words.withColumn("lang", code)
 
@@ -627,7 +636,9 @@ def streamed_ingest(spark, sf):
         .parquet(sf)
     )
     out = new_scratch_path(spark, "outcomes")
-    pages = B.rich_page(B.documents_as_words(documents))
+    # One file with one row group would otherwise be parsed by one task.
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    pages = B.rich_page(B.documents_as_words(documents.repartition(tasks)))
     ingest_batches(pages, PARAMS, out, new_scratch_path(spark, "stream"), _own_language())
     done = read_outcomes(spark, out).where("has_entry")
     return D.to_long(done.select("page_id", "word", "definitions"))
