@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,35 +41,51 @@ def alphanumeric(text: Column) -> Column:
     return F.regexp_replace(text, r"[^\p{L}\p{N}]", "")
 
 
-def script_counts(name: Column) -> Column:
-    """Alphanumeric characters of the stem per script, an array in script order.
+def _by_script(
+    word: Column, single: Callable[[int], Column], mixed: Callable[[Column], Column]
+) -> Column:
+    """``single(k)`` if script number k has every character, else ``mixed`` of all counts.
 
-    A character counts for the first script that lists it, so later scripts
-    are tested without ranges that an earlier one has.
+    Most words are of one script, and one anchored match finds that out; only
+    the others are counted script by script. A character counts for the first
+    script that lists it, so later scripts are tested without shared ranges.
     """
     taken: set[tuple[int, int]] = set()
     classes = []
     for _, ranges in SCRIPTS:
         classes.append(f"[{_ranges(r for r in ranges if r not in taken)}]+")
         taken.update(ranges)
+    counts = F.array(*[F.length(word) - F.length(F.regexp_replace(word, c, "")) for c in classes])
+    pure = [F.when(word.rlike(f"^{c}$"), single(k)) for k, c in enumerate(classes)]
+    return F.coalesce(*pure, mixed(counts))
 
-    def counts(word: Column) -> Column:
-        return F.array(
-            *[F.length(word) - F.length(F.regexp_replace(word, c, "")) for c in classes]
-        )
 
-    return let(alphanumeric(stem(name)), counts)
+def script_counts(name: Column) -> Column:
+    """Alphanumeric characters of the stem per script, an array in script order."""
+
+    def count(word: Column) -> Column:
+        def single(k: int) -> Column:
+            return F.array(*[F.length(word) if i == k else F.lit(0) for i in range(len(SCRIPTS))])
+
+        return _by_script(word, single, lambda counts: counts)
+
+    return let(alphanumeric(stem(name)), count)
 
 
 def dominant_script(name: Column) -> Column:
     """Most frequent script; ties go to the earlier one; ``unknown`` if none."""
-    ranked = F.transform(
-        script_counts(name), lambda n, i: F.struct(n.alias("n"), (-i).alias("rank"))
-    )
     names = F.array(*[F.lit(s) for s in SCRIPT_NAMES])
+
+    def largest(counts: Column) -> Column:
+        ranked = F.transform(counts, lambda n, i: F.struct(n.alias("n"), (-i).alias("rank")))
+        return let(
+            F.array_max(ranked),
+            lambda best: F.when(best["n"] > 0, F.get(names, -best["rank"])).otherwise("unknown"),
+        )
+
     return let(
-        F.array_max(ranked),
-        lambda best: F.when(best["n"] > 0, F.get(names, -best["rank"])).otherwise("unknown"),
+        alphanumeric(stem(name)),
+        lambda word: _by_script(word, lambda k: F.lit(SCRIPT_NAMES[k]), largest),
     )
 
 

@@ -7,7 +7,10 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.collation import collation_key
+from ..functions.collation import MAX_RULES, collation_key
+
+ANY_LANGUAGE = "*"
+RULE_COLUMNS = ("lang", "rule_no", "left_no", "right_no", "replacement", "size", "head", "tail")
 
 
 def accepted_rules(rules: DataFrame) -> DataFrame:
@@ -28,21 +31,43 @@ def _base_form(word: Column, size: Column, replacement: Column) -> Column:
     return F.concat(F.left(word, kept), variant)
 
 
+def _compiled(rules: DataFrame) -> tuple[DataFrame, Column]:
+    """Usable rules plus the rule that keeps the word, and the longest tail.
+
+    Rule files have a few hundred rows. Up to ``MAX_RULES`` they are evaluated
+    once and marked for broadcast; a larger table stays a table to join with.
+    """
+    spark = rules.sparkSession
+    usable = accepted_rules(rules).select(*RULE_COLUMNS)
+    rows = usable.limit(MAX_RULES + 1).collect()
+    keep = (ANY_LANGUAGE, 0, 0, 0, "", 0, [], "")
+    if len(rows) <= MAX_RULES:
+        table = spark.createDataFrame([keep, *map(tuple, rows)], usable.schema)
+        return F.broadcast(table), F.lit(max((len(r.tail) for r in rows), default=0))
+    table = usable.unionByName(spark.createDataFrame([keep], usable.schema))
+    return table, usable.agg(F.max(F.length("tail"))).scalar()
+
+
 def lemma_candidates(words: DataFrame, rules: DataFrame) -> DataFrame:
     """Candidates per distinct ``(lang, word)``: the word itself, then variants.
 
     Priority is the order of ``rule_no``, ``left_no`` and ``right_no``; the
     word itself has zeros. Words meet rules by an equi join on the literal tail
-    of the ending, not by testing every rule. Rules are few, so Spark
-    broadcasts them when they are under its size threshold; otherwise a hot
-    tail is split by the adaptive skew join.
+    of the ending, not by testing every rule.
     """
-    distinct = words.select("lang", "word").distinct()
-    usable = accepted_rules(rules)
-    longest = usable.agg(F.max(F.length("tail"))).scalar()
-    sizes = F.sequence(F.lit(0), F.least(F.length("word"), F.coalesce(longest, F.lit(0))))
-    probes = distinct.select("lang", "word", F.explode(sizes).alias("_k")).select(
-        "lang", "word", F.right(F.col("word"), F.col("_k")).alias("tail")
+    table, longest = _compiled(rules)
+    # Length -1 stands for the rule of any language that keeps the word.
+    sizes = F.sequence(F.lit(-1), F.least(F.length("word"), longest))
+    probes = (
+        words.select("lang", "word")
+        .distinct()
+        .select("lang", "word", F.explode(sizes).alias("_k"))
+        .select(
+            F.col("lang").alias("word_lang"),
+            "word",
+            F.when(F.col("_k") < 0, ANY_LANGUAGE).otherwise(F.col("lang")).alias("lang"),
+            F.when(F.col("_k") < 0, "").otherwise(F.right(F.col("word"), F.col("_k"))).alias("tail"),
+        )
     )
     start = F.length("word") - F.col("size")
     fits = F.forall(
@@ -53,20 +78,14 @@ def lemma_candidates(words: DataFrame, rules: DataFrame) -> DataFrame:
         ),
         lambda ok: ok,
     )
-    found = (
-        probes.join(usable, ["lang", "tail"])
+    return (
+        probes.join(table, ["lang", "tail"])
         .where((F.length("word") >= F.col("size")) & fits)
         .select(
-            "lang", "word", "rule_no", "left_no", "right_no",
+            F.col("word_lang").alias("lang"), "word", "rule_no", "left_no", "right_no",
             _base_form(F.col("word"), F.col("size"), F.col("replacement")).alias("candidate"),
         )
     )
-    itself = distinct.select(
-        "lang", "word",
-        F.lit(0).alias("rule_no"), F.lit(0).alias("left_no"), F.lit(0).alias("right_no"),
-        F.col("word").alias("candidate"),
-    )
-    return itself.unionByName(found)
 
 
 def lemma_lookup(
