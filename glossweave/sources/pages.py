@@ -38,8 +38,9 @@ def files_to_pages(files: DataFrame) -> DataFrame:
 def scan_page_dir(spark: SparkSession, path: str) -> DataFrame:
     """One page per file directly below ``path``.
 
-    Spark leaves out files whose names start with an underscore or a dot; words
-    such as ``_under`` have to come through a packed table.
+    Spark leaves out files whose names start with an underscore or a dot, so
+    words such as ``_under`` have to come through a packed table. It also leaves
+    out files without content; they give no entry, but are not counted either.
     """
     return files_to_pages(spark.read.format("binaryFile").load(path))
 

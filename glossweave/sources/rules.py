@@ -12,9 +12,9 @@ BOM = "\ufeff"
 
 def _read_rule_files(spark: SparkSession, path: str, file_name: str) -> DataFrame:
     """``(lang, text)``: one row per language folder below ``path``."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", file_name
-    ).text(path)
+    files = spark.read.text(
+        path, wholetext=True, pathGlobFilter=file_name, recursiveFileLookup=True
+    )
     lang = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     return files.select(lang.alias("lang"), F.col("value").alias("text"))
 
