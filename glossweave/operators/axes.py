@@ -79,6 +79,7 @@ def explode_elements(df: DataFrame, *tags: str, nodes: str = "nodes", keep_nodes
             (i + 1).alias("ord"),
             n["pre"].alias("pre"),
             n["fin"].alias("fin"),
+            n["parent"].alias("parent"),
             n["depth"].alias("depth"),
             n["tag"].alias("tag"),
             n["id"].alias("id"),

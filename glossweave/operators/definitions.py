@@ -252,21 +252,22 @@ def fold_rows(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def last_per_key(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """Window form of :func:`fold_rows`, for when all columns of the last row matter."""
-    by_key = W.partitionBy(*keys)
-    latest = F.row_number().over(by_key.orderBy(F.desc("ord")))
-    return (
-        parts.withColumn("_n", latest)
-        .withColumn("first_ord", F.min("ord").over(by_key))
-        .where(F.col("_n") == 1)
-        .drop("_n")
-    )
+    """The whole last row per key, with the key's first ``ord`` as ``first_ord``.
+
+    What a window over each key would pick, by partial aggregation instead: no
+    task has to sort all rows of a key that occurs very often.
+    """
+    others = [c for c in parts.columns if c not in keys]
+    latest = F.max_by(F.struct(*others), "ord").alias("_row")
+    picked = parts.groupBy(*keys).agg(latest, F.min("ord").alias("first_ord"))
+    return picked.select(*keys, "_row.*", "first_ord")
 
 
 def section_ends(headings: DataFrame, page: str = "page_id") -> DataFrame:
     """Add ``stop``: the next sibling heading that ends each ``h3`` or ``h4`` span.
 
-    Rows are read backwards, so the frame grows by one row at a time.
+    A window holds the headings below one element of one page. Rows are read
+    backwards, so the frame grows by one row at a time.
     """
     after = (
         W.partitionBy(page, "parent")

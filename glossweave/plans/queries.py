@@ -404,8 +404,7 @@ def virtual_sections(spark, sf):
 def section_end(spark, sf):
     """Window form of the end of a virtual section, as text of the next heading."""
     headings = explode_elements(N.with_nodes(B.flat_page(_rows(spark, sf))), "h2", "h3", "h4")
-    parents = headings.withColumn("parent", F.col("depth"))
-    ends = D.section_ends(parents)
+    ends = D.section_ends(headings)
     stops = headings.select("page_id", F.col("pre").alias("stop"), F.col("content").alias("stopped_by"))
     return (
         ends.where(F.col("tag") != "h2")
