@@ -31,7 +31,7 @@ MAX_REPEAT = 3
 #: Schedule by weight: densities at equally spaced times, joined by straight lines.
 SCHEDULES: Mapping[int, Sequence[float]] = {5: (0.5, 1.0, 1.5), 2: (1.0, 1.0), 1: (1.5, 1.0, 0.5)}
 #: Rows of one block of the running sum; the number of blocks grows with the rows.
-BLOCK_ROWS = 200_000
+BLOCK_ROWS = 4_000
 
 
 def word_count(text: Column) -> Column:
