@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_scratch_path
-from . import host_rules, language, mixing, privacy, sharding, simhash, url_filter, warc
+from . import host_rules, language, mixing, privacy, sharding, simhash, suffix_dedup, url_filter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,11 @@ def op6_jump_sharding(spark, sf):
     return sharding.assign_shards(table(spark, sf, "documents"), SHARDS)
 
 
+@query
+def op7_cover_suffixes(spark, sf):
+    return suffix_dedup.deduplicate(table(spark, sf, "documents"))
+
+
 @query
 def op9_curriculum_mix(spark, sf):
     plan = mixing.training_plan(table(spark, sf, "documents"))
