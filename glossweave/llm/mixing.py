@@ -164,22 +164,36 @@ def mixed_documents(
 ) -> DataFrame:
     """The documents of the mix in training order, a row for every copy taken, columns as given.
 
-    Rows with the same key, source and size are told apart by a running number.
+    A document finds its places by key, source and size. Rows that agree in all
+    three are told apart by a running number, on a way of their own.
     """
     plan = training_plan(docs, key=key, text=text, source=source, **options)
-    stored = cut(plan.where("passes > 0").select(key, "source", "size", "positions"), "mix-plan")
+    stored = cut(plan.select(key, "source", "size", "passes", "positions"), "mix-plan")
     same = [key, "source", "size"]
-    numbered = stored.withColumn("_n", F.row_number().over(W.partitionBy(*same).orderBy(F.col("positions"))))
-    plans = numbered.select(*[F.col(c).alias(f"_plan_{i}") for i, c in enumerate(same)], "_n", "positions")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")).select(
+    names = [F.col(c).alias(f"_plan_{i}") for i, c in enumerate(same)]
+    groups = stored.groupBy(*same).agg(
+        F.count("*").alias("_n"), F.first("positions").alias("positions"), F.max("passes").alias("_most")
+    )
+    single = cut(groups.where("_n = 1 and _most > 0").select(*names, "positions"), "mix-single")
+    repeated = cut(groups.where("_n > 1").select(*names), "mix-repeated")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    rows = rows.select(
         "_doc", F.col("_doc")[key].alias("_key_0"), F.col("_doc")[source].alias("_key_1"),
         word_count(F.col("_doc")[text]).alias("_key_2"),
     )
-    own = W.partitionBy("_key_0", "_key_1", "_key_2").orderBy("_key_0")
-    rows = rows.withColumn("_m", F.row_number().over(own))
-    meet = F.col("_n") == F.col("_m")
-    for i in range(len(same)):
-        meet &= F.col(f"_key_{i}").eqNullSafe(F.col(f"_plan_{i}"))
-    copies = rows.join(plans, meet).select("_doc", F.posexplode("positions").alias("_pass", "_at"))
+
+    def meets() -> Column:
+        out = F.lit(True)
+        for i in range(len(same)):
+            out &= F.col(f"_key_{i}").eqNullSafe(F.col(f"_plan_{i}"))
+        return out
+
+    order = W.partitionBy(*same).orderBy("positions")
+    numbered = stored.withColumn("_n", F.row_number().over(order)).select(*names, "_n", "positions")
+    alike = W.partitionBy("_key_0", "_key_1", "_key_2").orderBy("_key_0")
+    several = rows.join(repeated, meets(), "left_semi").withColumn("_m", F.row_number().over(alike))
+    several = several.join(numbered, meets() & (F.col("_n") == F.col("_m")))
+    taken = rows.join(single, meets()).select("_doc", "positions").unionByName(several.select("_doc", "positions"))
+    copies = taken.select("_doc", F.posexplode("positions").alias("_pass", "_at"))
     ordered = copies.orderBy("_at", F.col("_doc")[source], F.col("_doc")[key], "_pass")
     return ordered.select("_doc.*")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_scratch_path
-from . import host_rules, language, mixing, privacy, sharding, simhash, suffix_dedup, url_filter, warc
+from . import host_rules, language, latent, mixing, privacy, sharding, simhash, suffix_dedup, url_filter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,11 @@ def op7_cover_suffixes(spark, sf):
     return suffix_dedup.deduplicate(table(spark, sf, "documents"))
 
 
+@query
+def op8_latent_retrieval(spark, sf):
+    return latent.find_leaks(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query
 def op9_curriculum_mix(spark, sf):
     plan = mixing.training_plan(table(spark, sf, "documents"))

@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -214,3 +215,22 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, key: str = "doc
 
 def digest_columns(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with one of every component left, that with the least key; columns as given.
+
+    Of rows with the same key and fingerprint one stays. Rows without a key cannot
+    be named and stay. Removed keys are few next to the documents, so these are
+    filtered against them.
+    """
+    found = cut(near_duplicates(docs, threshold, key, text), "components")
+    later = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
+    again = found.where(F.col(key).isNotNull()).groupBy(key, "fp").count().where("count > 1")
+    later, again = cut(later, "later"), cut(again.select(F.col(key).alias("_again")).distinct(), "again")
+    kept = docs.join(later, docs[key] == later["_gone"], "left_anti")
+    repeated = kept.join(again, kept[key] == again["_again"], "left_semi")
+    rows = repeated.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    number = F.row_number().over(W.partitionBy(F.col("_doc")[key], F.xxhash64(F.col("_doc")[text])).orderBy(F.lit(0)))
+    firsts = rows.withColumn("_n", number).where("_n = 1").select("_doc.*")
+    return kept.join(again, kept[key] == again["_again"], "left_anti").unionByName(firsts)
