@@ -141,7 +141,7 @@ def fit(languages: list[str], counts: np.ndarray) -> Model:
     without = down @ share / np.maximum(down.sum(axis=1, keepdims=True), 1)
     weights = np.log(with_bit / without).T if code.shape[1] else np.zeros((counts.shape[1], 0))
     expected = (share @ weights) * code
-    scale = 1 / np.maximum(np.abs(expected).mean(axis=0), 1e-9)
+    scale = 1 / np.maximum(np.abs(expected).sum(axis=0) / max(len(languages), 1), 1e-9)
     # A bit is as good as it is on the language it tells apart worst.
     trust = np.clip((expected * scale).min(axis=0), 0.05, None) if len(languages) else np.zeros(0)
     return Model(languages, code.astype(float), weights.astype(np.float32), scale, trust)
@@ -191,11 +191,13 @@ def decode(model: Model, margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """Columns ``keep`` with lang_pred, score and ambiguous. ``text`` alone decides."""
-    narrow = docs.select(F.col(text).alias("_text"), *[F.col(c) for c in keep])
+    read = keep if text in keep else [*keep, text]
+    narrow = docs.select(*read)
+    at = read.index(text)
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts = batch.column(at).to_pylist()
             known = [bool(model.languages) and t is not None and any(map(str.isalpha, t)) for t in texts]
             best, score, close = (
                 decode(model, margins(model, texts)) if model.languages and texts
@@ -203,22 +205,22 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
             )
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns[1:],
+                    *batch.columns[: len(keep)],
                     pa.array([model.languages[b] if k else UNKNOWN for b, k in zip(best, known)], pa.string()),
                     pa.array(np.where(known, score, 0.0), pa.float64()),
                     pa.array(np.asarray(known, bool) & close),
                 ],
-                names=[*batch.schema.names[1:], "lang_pred", "score", "ambiguous"],
+                names=[*keep, "lang_pred", "score", "ambiguous"],
             )
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[1:]]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[: len(keep)]]
     schema = ", ".join([*fields, "lang_pred string", "score double", "ambiguous boolean"])
     return narrow.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Rows (key, held_out, lang_pred, score, ambiguous); held-out rows are not learned from."""
-    rows = docs.withColumn("held_out", held_out(F.col(key)))
+    rows = docs.select(key, text, lang, held_out(F.col(key)).alias("held_out"))
     model = train(rows.where("not held_out"), text, lang)
     return predict(rows, model, [key, "held_out"], text)
 
@@ -226,5 +228,8 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 def accepted_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Documents in some language, without the ambiguous; the columns as given."""
     model = train(docs.where(~held_out(F.col(key))), text, lang)
-    judged = predict(docs, model, docs.columns, text)
-    return judged.where((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
+    # Numbered names cannot clash with those of the prediction.
+    numbered = [f"_{i}" for i in range(len(docs.columns))]
+    judged = predict(docs.toDF(*numbered), model, numbered, numbered[docs.columns.index(text)])
+    accepted = judged.where((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous"))
+    return accepted.select(*numbered).toDF(*docs.columns)
