@@ -14,7 +14,7 @@ def rows_by_name(rows, columns):
     return sorted(picked, key=lambda r: [(v is None, str(v)) for v in r])
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, duck, sf, name):
     frame = QUERIES[name](spark, sf)
     cursor = duck.execute(ORACLES[name])
