@@ -39,6 +39,10 @@ MIN_TERM = 3
 MIN_SUPPORT = 2
 GENERALISE = 0.75
 REMOVE = 0.9
+#: Words counted together, which bounds what a task holds.
+GROUP_WORDS = 200_000
+#: Terms whose counts a task holds before it hands them on.
+HELD_TERMS = 300_000
 EDGES = ".,;:!?()[]{}\"'`<>|*#$%&"
 
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
@@ -150,7 +154,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 def document_words(texts: list[str | None]) -> Iterator[tuple[list[str], np.ndarray]]:
     """Terms of groups of texts with the number of texts each is in."""
-    for _, words, _ in grouped_words(texts):
+    for _, words, _ in grouped_words(texts, GROUP_WORDS):
         lengths = np.array([len(w) for w in words], np.int64)
         if not lengths.sum():
             continue
@@ -168,7 +172,14 @@ def read_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Rows of three kinds from (row, same, text): spans of a document, a term near an
     entity, and in how many documents of a group a word occurs."""
 
+    def words(counts: dict[str, int]) -> pa.RecordBatch:
+        columns = [pa.nulls(len(counts), t) for t in _TYPES]
+        columns[0] = pa.array(np.full(len(counts), WORDS, np.int32))
+        columns[4], columns[7] = pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())
+        return pa.RecordBatch.from_arrays(columns, names=_NAMES)
+
     def run(batches):
+        totals: dict[str, int] = {}
         for batch in batches:
             texts = batch.column(2).to_pylist()
             rows = []
@@ -179,17 +190,18 @@ def read_texts(docs: DataFrame, text: str = "text") -> DataFrame:
                 for s, _, e in spans:
                     for term, first, last in near_terms(body, s, e, spans):
                         rows.append((NEAR, row, same, body[s:e], term, first, last, None, None))
-                if len(rows) >= 20_000:
+                if len(rows) >= 5_000:
                     yield _batch(rows)
                     rows = []
             if rows:
                 yield _batch(rows)
             for terms, counts in document_words(texts):
-                size = len(terms)
-                empty = [pa.nulls(size, t) for t in _TYPES]
-                empty[0] = pa.array(np.full(size, WORDS, np.int32))
-                empty[4], empty[7] = pa.array(terms, pa.string()), pa.array(counts)
-                yield pa.RecordBatch.from_arrays(empty, names=_NAMES)
+                for term, count in zip(terms, counts.tolist()):
+                    totals[term] = totals.get(term, 0) + count
+                if len(totals) > HELD_TERMS:
+                    yield words(totals)
+                    totals = {}
+        yield words(totals)
 
     return docs.select("row", "same", F.col(text)).mapInArrow(run, _ROWS)
 
