@@ -29,6 +29,8 @@ Only the named columns are read, so extra columns cannot clash, except in
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -42,30 +44,33 @@ from ..session import cut
 PASSAGE = 64
 STEP = PASSAGE // 2
 ITEMS = 2_000
-MAX_SHARE = 0.01
+MAX_SHARE = 0.003
 KEPT_TERMS = 12
 MIN_WEIGHT = 0.5
 RANK = 96
 OVERSAMPLE = 16
 MIN_COSINE = 0.4
+#: Share of an item passage's weighty terms that a candidate must have to be compared word by word.
+MIN_SHARED = 0.3
 #: Share of an item's words, in order, that makes a passage a copy; or, with as much of the answer, a paraphrase.
 COPY_SHARE = 0.8
 PARAPHRASE_SHARE = 0.6
 ANSWER_SHARE = 0.8
 SHORT = 8
 MIN_ANSWER = 3
-#: Row entries multiplied at a time.
-BLOCK_ENTRIES = 40_000
+#: Row entries held at a time, and made a dense block of.
+GROUP_ENTRIES = 20_000
+DENSE_ENTRIES = 2_000
 #: Partial products added up by one task at a time.
 FAN_IN = 64
 
 _PUNCTUATION = ".,;:!?()[]{}\"'`<>|*#$%&"
-_BLANKS = str.maketrans(dict.fromkeys(_PUNCTUATION, " "))
+_BLANKS = bytes.maketrans(_PUNCTUATION.encode(), b" " * len(_PUNCTUATION))
 
 
-def terms_of(text: str | None) -> list[str]:
-    """Lower-cased words without punctuation."""
-    return text.lower().translate(_BLANKS).split() if text else []
+def terms_of(text: str | None) -> list[bytes]:
+    """Lower-cased words without punctuation, in UTF-8."""
+    return text.lower().encode().translate(_BLANKS).split() if text else []
 
 
 class Item(NamedTuple):
@@ -75,7 +80,7 @@ class Item(NamedTuple):
 
 
 class Queries(NamedTuple):
-    vocabulary: dict[str, int]
+    vocabulary: dict[bytes, int]
     items: list[Item]
 
 
@@ -85,11 +90,11 @@ def build_queries(rows: list[tuple[int, str | None]]) -> Queries:
     for item_id, text in rows:
         if terms_of(text):
             by_text.setdefault(text, []).append(item_id)
-    vocabulary: dict[str, int] = {}
+    vocabulary: dict[bytes, int] = {}
     items = []
     for text, ids in sorted(by_text.items()):
         numbers = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in terms_of(text)], np.int64)
-        answer: list[str] = []
+        answer: list[bytes] = []
         for sentence in reversed(re.split(r"[.?!\n]+", text)):
             answer = terms_of(sentence) + answer
             if len(answer) >= MIN_ANSWER:
@@ -104,7 +109,7 @@ def build_queries(rows: list[tuple[int, str | None]]) -> Queries:
 _PLACES = "n int, at array<int>, term array<int>"
 
 
-def places_of_terms(docs: DataFrame, vocabulary: dict[str, int], key: str, text: str) -> DataFrame:
+def places_of_terms(docs: DataFrame, vocabulary: dict[bytes, int], key: str, text: str) -> DataFrame:
     """Rows (key, n words, places and numbers of benchmark terms) of whole texts."""
     narrow = docs.select(F.col(key).alias(key), F.col(text).alias("text"))
 
@@ -114,7 +119,7 @@ def places_of_terms(docs: DataFrame, vocabulary: dict[str, int], key: str, text:
             counts, offsets, ats, terms = [], [0], [], []
             for body in batch.column(1).to_pylist():
                 words = terms_of(body)
-                numbers = np.array([get(w, -1) for w in words], np.int32)
+                numbers = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
                 at = np.flatnonzero(numbers >= 0).astype(np.int32)
                 counts.append(len(words))
                 offsets.append(offsets[-1] + len(at))
@@ -145,7 +150,7 @@ class Places(NamedTuple):
         return np.maximum(-(-self.words // STEP) - 1, 1)
 
 
-def _groups(batch: pa.RecordBatch, n: int, at: int, term: int, kept: np.ndarray | None, limit: int = BLOCK_ENTRIES):
+def _groups(batch: pa.RecordBatch, n: int, at: int, term: int, kept: np.ndarray | None, limit: int = GROUP_ENTRIES):
     """Documents of a batch in groups of about ``limit`` entries that count in the rows."""
     lists = batch.column(at), batch.column(term)
     offsets = lists[0].offsets.to_numpy().astype(np.int64)
@@ -273,8 +278,8 @@ def product(stored: DataFrame, kept: np.ndarray, weights: np.ndarray, right: np.
         total = np.zeros((size, width), np.float32)
         for batch in batches:
             for places in _groups(batch, 0, 1, 2, kept):
-                rows = passage_rows(places, kept, size)
-                total += back_and_forth(rows, weights, right)
+                for _, terms, block in dense_blocks(passage_rows(places, kept, size), weights):
+                    total[terms] += block.T @ (block @ right[terms])
         task = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_pydict({
             "part": pa.array(range(parts), pa.int32()), "task": pa.array([task] * parts, pa.int32()),
@@ -289,18 +294,26 @@ def product(stored: DataFrame, kept: np.ndarray, weights: np.ndarray, right: np.
     return out
 
 
+def dense_blocks(rows: Rows, weights: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows in dense blocks of bounded size: numbers of rows, terms of the block, values."""
+    row, starts, values = weighted(rows, weights)
+    ends = np.append(starts, len(values))
+    first = 0
+    while first < len(row):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + DENSE_ENTRIES, side="right")) - 1)
+        part = slice(ends[first], ends[last])
+        terms, column = np.unique(rows.term[part], return_inverse=True)
+        block = np.zeros((last - first, len(terms)), np.float32)
+        block[np.repeat(np.arange(last - first), np.diff(ends[first:last + 1])), column] = values[part]
+        yield row[first:last], terms, block
+        first = last
+
+
 def back_and_forth(rows: Rows, weights: np.ndarray, right: np.ndarray) -> np.ndarray:
     """A'(A right) for the weighted rows A."""
     out = np.zeros(right.shape, np.float32)
-    _, starts, values = weighted(rows, weights)
-    if not len(starts):
-        return out
-    forth = np.add.reduceat(right[rows.term] * values[:, None], starts, axis=0)
-    of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(values))))
-    order = np.argsort(rows.term, kind="stable")
-    terms = rows.term[order]
-    begin = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]]))
-    out[terms[begin]] = np.add.reduceat(forth[of[order]] * values[order][:, None], begin, axis=0)
+    for _, terms, block in dense_blocks(rows, weights):
+        out[terms] += block.T @ (block @ right[terms])
     return out
 
 
@@ -328,13 +341,23 @@ def latent_space(stored: DataFrame, queries: Queries, passages: int, kept: np.nd
     return (basis @ vectors[:, best]).astype(np.float32)
 
 
+def shared_terms(rows: Rows, row: np.ndarray, of: np.ndarray, query: np.ndarray, holds: np.ndarray) -> np.ndarray:
+    """For pairs of a row (its index among ``row``) and a query, the terms both have; ``holds`` is [query, term]."""
+    starts = np.searchsorted(rows.row, row)
+    lengths = np.diff(np.append(starts, len(rows.row)))[of]
+    begin = np.cumsum(lengths) - lengths
+    entries = np.repeat(starts[of] - begin, lengths) + np.arange(int(lengths.sum()))
+    both = holds[np.repeat(query, lengths), rows.term[entries]]
+    return np.add.reduceat(both.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
+
+
 def latent_rows(rows: Rows, weights: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows with a term, and their unit vectors in the latent space."""
-    row, starts, values = weighted(rows, weights)
-    if not len(starts):
-        return row, np.zeros((0, space.shape[1]), np.float32)
-    vectors = np.add.reduceat(space[rows.term] * values[:, None], starts, axis=0)
-    return row, vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    found = [(row, block @ space[terms]) for row, terms, block in dense_blocks(rows, weights)]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros((0, space.shape[1]), np.float32)
+    vectors = np.concatenate([v for _, v in found])
+    return np.concatenate([r for r, _ in found]), vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
 
 
 # --- checks -----------------------------------------------------------------
@@ -398,7 +421,10 @@ _FOUND = "item int, cosine double, share double, answer double"
 def search(stored: DataFrame, queries: Queries, kept: np.ndarray, weights: np.ndarray, space: np.ndarray, key: str) -> DataFrame:
     """Rows (key, item number, cosine, shares) of documents in which an item is found."""
     own, rows, _, _ = item_rows(queries, kept, weights)
-    _, asked = latent_rows(rows, weights, space)
+    distinct, asked = latent_rows(rows, weights, space)
+    holds = np.zeros((len(distinct), len(kept)), bool)
+    holds[np.searchsorted(distinct, rows.row), rows.term] = True
+    needed = np.maximum(1, np.ceil(MIN_SHARED * holds.sum(axis=1)))
     asked = np.ascontiguousarray(asked.T)
     size = len(kept)
 
@@ -416,6 +442,8 @@ def search(stored: DataFrame, queries: Queries, kept: np.ndarray, weights: np.nd
                 for part in range(0, len(row), 8192):
                     near = vectors[part:part + 8192] @ asked
                     where, query = np.nonzero(near >= MIN_COSINE)
+                    enough = shared_terms(entries, row, part + where, query, holds) >= needed[query]
+                    where, query = where[enough], query[enough]
                     document = np.searchsorted(firsts, row[part + where], side="right") - 1
                     for d, p, q, c in zip(
                         document.tolist(), (row[part + where] - firsts[document]).tolist(),

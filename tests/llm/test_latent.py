@@ -22,8 +22,8 @@ def test_common_length():
 
 
 def verbatim(docs, items):
-    asked = {i: f" {' '.join(latent.terms_of(t))} " for i, t in items if latent.terms_of(t)}
-    return {(d, i) for d, t in docs for i, q in asked.items() if q in f" {' '.join(latent.terms_of(t))} "}
+    asked = {i: b" %s " % b" ".join(latent.terms_of(t)) for i, t in items if latent.terms_of(t)}
+    return {(d, i) for d, t in docs for i, q in asked.items() if q in b" %s " % b" ".join(latent.terms_of(t))}
 
 
 def test_whole_table_finds_all_verbatim_items(tables):
