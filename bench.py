@@ -13,7 +13,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from glossweave.plans.queries import QUERIES  # noqa: E402
-from glossweave.session import build_session  # noqa: E402
+from glossweave.session import build_session, name_scratch  # noqa: E402
 
 HEADLINE = (
     "definitions_long",
@@ -48,6 +48,7 @@ def main() -> None:
         spark__sql__shuffle__partitions=cpus,
     )
     spark.sparkContext.setLogLevel("ERROR")
+    name_scratch(spark)
     # Workers and code paths are warm before the first measurement.
     QUERIES["definitions_long"](spark, sf_dir).write.format("noop").mode("overwrite").save()
     seconds: dict[str, float] = {}

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from functools import cache
-from string import ascii_lowercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..rule_texts import CYRILLIC, IGNORED, LATIN_EXTRA, LATIN_UNCHANGED
+from ..rule_texts import CYRILLIC, IGNORED, LATIN
 
-# Rule tables of this size are compiled into one expression.
-MAX_RULES = 10_000
 Pairs = tuple[tuple[str, str], ...]
 
 
@@ -27,14 +23,7 @@ def _pairs(text: str) -> list[tuple[str, str]]:
 
 @cache
 def latin_collation() -> Pairs:
-    """Lower case and accented letters by their canonical base letter."""
-    pairs = [(c, "") for c in IGNORED] + [(c, c.upper()) for c in ascii_lowercase]
-    for code in range(0xC0, 0x234):
-        char = chr(code)
-        base = unicodedata.normalize("NFD", char)
-        if len(base) > 1 and base[0].isascii() and char not in LATIN_UNCHANGED:
-            pairs.append((char, base[0].upper()))
-    return tuple(pairs + _pairs(LATIN_EXTRA))
+    return tuple([(c, "") for c in IGNORED] + _pairs(LATIN))
 
 
 @cache
@@ -47,11 +36,9 @@ def builtin_collation(language: str) -> Pairs:
 
 
 def collation_pairs(rules: DataFrame) -> Pairs:
-    """Rules of one language from a ``(ch, target)`` table, which must be small."""
-    rows = rules.select("ch", "target").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"a collation has at most {MAX_RULES} characters")
-    return tuple((r.ch, r.target) for r in rows)
+    """Rules of one language from a ``(ch, target)`` table: a row per character, so
+    their number is bounded by that of code points."""
+    return tuple((r.ch, r.target) for r in rules.select("ch", "target").distinct().toLocalIterator())
 
 
 def translate_arguments(pairs: Iterable[tuple[str, str]]) -> tuple[str, str]:
@@ -70,5 +57,13 @@ def collation_key(word: Column, pairs: Iterable[tuple[str, str]]) -> Column:
     return F.translate(word, source, target)
 
 
+def language_key(lang: Column, word: Column, collations: Mapping[str, Iterable[tuple[str, str]]]) -> Column:
+    """Key by the collation of the row's language; the word itself for a language without one."""
+    key = word
+    for name, pairs in collations.items():
+        key = F.when(lang == name, collation_key(word, pairs)).otherwise(key)
+    return key
+
+
 def sort_by_collation(df: DataFrame, pairs: Iterable[tuple[str, str]], word: str = "word") -> DataFrame:
     return df.orderBy(collation_key(F.col(word), pairs), F.col(word))

@@ -38,7 +38,8 @@ def stem(name: Column) -> Column:
 
 
 def alphanumeric(text: Column) -> Column:
-    return F.regexp_replace(text, r"[^\p{L}\p{N}]", "")
+    """Letters and digits alone. Three ideographs are newer than the JVM's tables."""
+    return F.regexp_replace(text, r"[^\p{L}\p{N}\x{9FFD}-\x{9FFF}]", "")
 
 
 def _by_script(

@@ -172,7 +172,11 @@ def dsl_quote(text: Column) -> Column:
 
 
 def capitalize(text: Column) -> Column:
-    """First character upper case, the rest lower case."""
+    """First character upper case, the rest lower case.
+
+    For language codes: the few characters whose title case is not their upper
+    case, such as a sharp s or a digraph, get upper case here.
+    """
     return F.concat(F.upper(F.left(text, F.lit(1))), F.lower(F.substr(text, F.lit(2))))
 
 

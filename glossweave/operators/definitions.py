@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import cache
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -209,7 +209,7 @@ def extract_definitions(
     )
 
 
-@cache
+@lru_cache(maxsize=64)
 def _definitions_column(_application: str, options: tuple) -> Column:
     """The whole expression; building it is much slower than using it again."""
     return extract_definitions(F.col("nodes"), F.col("section"), **dict(options))
@@ -264,7 +264,8 @@ def last_per_key(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def section_ends(headings: DataFrame, page: str = "page_id") -> DataFrame:
-    """Add ``stop``: the next sibling heading that ends each ``h3`` or ``h4`` span.
+    """Add ``stop`` and ``stopped_by``: number and text of the next sibling heading
+    that ends each ``h3`` or ``h4`` span.
 
     A window holds the headings below one element of one page. Rows are read
     backwards, so the frame grows by one row at a time.
@@ -274,8 +275,8 @@ def section_ends(headings: DataFrame, page: str = "page_id") -> DataFrame:
         .orderBy(F.desc("pre"))
         .rowsBetween(W.unboundedPreceding, W.currentRow - 1)
     )
-    upper = F.min(F.when(F.col("tag").isin("h2", "h3"), F.col("pre"))).over(after)
-    any_level = F.min(F.when(F.col("tag").isin("h2", "h3", "h4"), F.col("pre"))).over(after)
-    return headings.withColumn(
-        "stop", F.when(F.col("tag") == "h3", upper).when(F.col("tag") == "h4", any_level)
-    )
+    heading = F.struct("pre", "content")
+    upper = F.min(F.when(F.col("tag").isin("h2", "h3"), heading)).over(after)
+    any_level = F.min(F.when(F.col("tag").isin("h2", "h3", "h4"), heading)).over(after)
+    found = headings.withColumn("_stop", F.when(F.col("tag") == "h3", upper).when(F.col("tag") == "h4", any_level))
+    return found.withColumns({"stop": F.col("_stop.pre"), "stopped_by": F.col("_stop.content")}).drop("_stop")

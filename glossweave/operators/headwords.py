@@ -12,8 +12,6 @@ from pyspark.sql import Window as W
 
 from ..session import cut
 
-# Largest limit answered by a top-n; beyond it n rows in one task are too many.
-TOP_N_BOUND = 100_000
 _INDEX_BITS = 33
 
 
@@ -59,8 +57,9 @@ def assign_batches(df: DataFrame, size: int, word: str = "word", tie: str | None
 def limit_pages(pages: DataFrame, n: int, word: str = "word", tie: str = "page_id") -> DataFrame:
     """First ``n`` pages in headword order; no limit when ``n`` is not positive.
 
-    Only names are sorted to find the last kept name. Page bodies are scanned
-    once, behind a filter on it, and never shuffled.
+    Names are sorted and numbered to find the last kept name, whatever ``n`` is,
+    so no task gathers ``n`` rows. Page bodies are scanned once, behind a filter
+    on that name, and never shuffled.
     """
     if n <= 0:
         return pages
@@ -68,10 +67,6 @@ def limit_pages(pages: DataFrame, n: int, word: str = "word", tie: str = "page_i
     rank = F.struct(
         keys[0].alias("lowered"), keys[1].alias("word"), keys[2].alias("tie")
     )
-    names = pages.select(word, tie)
-    if n <= TOP_N_BOUND:
-        kept = names.orderBy(*keys).limit(n)
-    else:
-        kept = with_position(names, keys).where(F.col("position") == n - 1)
+    kept = with_position(pages.select(word, tie), keys).where(F.col("position") == n - 1)
     last = kept.agg(F.max(rank).alias("last")).scalar()
     return pages.where(last.isNull() | (rank <= last))

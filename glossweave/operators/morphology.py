@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.collation import MAX_RULES, collation_key
+from ..functions.collation import language_key
 
-ANY_LANGUAGE = "*"
+# Slices of the words of a language in the join with its rules.
+SALTS = 16
 RULE_COLUMNS = ("lang", "rule_no", "left_no", "right_no", "replacement", "size", "head", "tail")
 
 
@@ -31,44 +32,22 @@ def _base_form(word: Column, size: Column, replacement: Column) -> Column:
     return F.concat(F.left(word, kept), variant)
 
 
-def _compiled(rules: DataFrame) -> tuple[DataFrame, Column]:
-    """Usable rules plus the rule that keeps the word, and the longest tail.
-
-    Rule files have a few hundred rows. Up to ``MAX_RULES`` they are evaluated
-    once and marked for broadcast; a larger table stays a table to join with.
-    """
-    spark = rules.sparkSession
-    usable = accepted_rules(rules).select(*RULE_COLUMNS)
-    rows = usable.limit(MAX_RULES + 1).collect()
-    keep = (ANY_LANGUAGE, 0, 0, 0, "", 0, [], "")
-    if len(rows) <= MAX_RULES:
-        table = spark.createDataFrame([keep, *map(tuple, rows)], usable.schema)
-        return F.broadcast(table), F.lit(max((len(r.tail) for r in rows), default=0))
-    table = usable.unionByName(spark.createDataFrame([keep], usable.schema))
-    return table, usable.agg(F.max(F.length("tail"))).scalar()
-
-
 def lemma_candidates(words: DataFrame, rules: DataFrame) -> DataFrame:
     """Candidates per distinct ``(lang, word)``: the word itself, then variants.
 
-    Priority is the order of ``rule_no``, ``left_no`` and ``right_no``; the
-    word itself has zeros. Words meet rules by an equi join on the literal tail
-    of the ending, not by testing every rule.
+    Priority is the order of ``rule_no``, ``left_no`` and ``right_no``; the word
+    itself has zeros. Words meet rules by an equi join on the literal tail of the
+    ending, not by testing every rule. Tails such as the empty one are shared by
+    all words of a language, so rules are repeated for ``SALTS`` slices of words.
     """
-    table, longest = _compiled(rules)
-    # Length -1 stands for the rule of any language that keeps the word.
-    sizes = F.sequence(F.lit(-1), F.least(F.length("word"), longest))
-    probes = (
-        words.select("lang", "word")
-        .distinct()
-        .select("lang", "word", F.explode(sizes).alias("_k"))
-        .select(
-            F.col("lang").alias("word_lang"),
-            "word",
-            F.when(F.col("_k") < 0, ANY_LANGUAGE).otherwise(F.col("lang")).alias("lang"),
-            F.when(F.col("_k") < 0, "").otherwise(F.right(F.col("word"), F.col("_k"))).alias("tail"),
-        )
-    )
+    usable = accepted_rules(rules).select(*RULE_COLUMNS)
+    longest = F.coalesce(usable.agg(F.max(F.length("tail"))).scalar(), F.lit(0))
+    table = usable.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    distinct = words.select("lang", "word").distinct()
+    sizes = F.sequence(F.lit(0), F.least(F.length("word"), longest))
+    probes = distinct.select(
+        "lang", "word", F.pmod(F.xxhash64("word"), F.lit(SALTS)).cast("int").alias("_salt"), F.explode(sizes).alias("_k")
+    ).withColumn("tail", F.right(F.col("word"), F.col("_k")))
     start = F.length("word") - F.col("size")
     fits = F.forall(
         F.transform(
@@ -78,34 +57,40 @@ def lemma_candidates(words: DataFrame, rules: DataFrame) -> DataFrame:
         ),
         lambda ok: ok,
     )
-    return (
-        probes.join(table, ["lang", "tail"])
+    variants = (
+        probes.join(table, ["lang", "tail", "_salt"])
         .where((F.length("word") >= F.col("size")) & fits)
         .select(
-            F.col("word_lang").alias("lang"), "word", "rule_no", "left_no", "right_no",
+            "lang", "word", "rule_no", "left_no", "right_no",
             _base_form(F.col("word"), F.col("size"), F.col("replacement")).alias("candidate"),
         )
     )
+    zero = F.lit(0)
+    itself = distinct.select(
+        "lang", "word", zero.alias("rule_no"), zero.alias("left_no"), zero.alias("right_no"),
+        F.col("word").alias("candidate"),
+    )
+    return itself.unionByName(variants)
 
 
 def lemma_lookup(
-    candidates: DataFrame, headwords: DataFrame, pairs: Iterable[tuple[str, str]]
+    candidates: DataFrame, headwords: DataFrame, collations: Mapping[str, Iterable[tuple[str, str]]]
 ) -> DataFrame:
     """Best headword per word: the first candidate that names one.
 
-    Candidate and headword match when their collation keys are equal. Of the
-    headwords with one key the smallest stands for all, so the right side has
-    one row per key and the join never multiplies rows.
+    Candidate and headword match when their keys by the language's collation are
+    equal. Of the headwords with one key the smallest stands for all, so the right
+    side has one row per key and the join never multiplies rows. Words of ignored
+    characters alone have no key and match nothing.
     """
-    pairs = tuple(pairs)
-    listed = (
-        headwords.select("lang", "word")
-        .groupBy("lang", collation_key(F.col("word"), pairs).alias("key"))
-        .agg(F.min("word").alias("headword"))
-    )
-    hits = candidates.withColumn("key", collation_key(F.col("candidate"), pairs)).join(
-        listed, ["lang", "key"]
-    )
+    collations = {lang: tuple(pairs) for lang, pairs in collations.items()}
+
+    def keyed(df: DataFrame, word: str) -> DataFrame:
+        key = language_key(F.col("lang"), F.col(word), collations)
+        return df.withColumn("key", key).where(F.col("key") != "")
+
+    listed = keyed(headwords.select("lang", "word"), "word").groupBy("lang", "key").agg(F.min("word").alias("headword"))
+    hits = keyed(candidates, "candidate").join(listed, ["lang", "key"])
     rank = F.struct("rule_no", "left_no", "right_no")
     return hits.groupBy("lang", "word").agg(
         F.min_by("headword", rank).alias("headword"), F.min(rank).alias("rank")

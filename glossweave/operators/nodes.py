@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import limit_arrow_batches
 from .html_tree import TEXT, pages_to_arrow
 
 NODE_TYPE = (
@@ -40,7 +39,6 @@ def with_nodes(
     Pages that cannot hold the ``required`` tag are dropped before they reach
     Python; the test is a necessary condition, so no result is lost.
     """
-    limit_arrow_batches(pages.sparkSession)
     if required:
         pages = pages.where(F.col("html").rlike(rf"(?i)<{required}[\s/>]"))
     return pages.withColumn(nodes, html_nodes(F.col("html"), container)).drop("html")

@@ -7,7 +7,7 @@ and the first hit wins. All work on the node array of one page.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cache
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +37,11 @@ class SectionFinder:
         container: str = "details",
         content_tag: str = "div",
         content_class: str | None = "mw-parser-output",
+        candidates: Column | None = None,
     ) -> None:
         self.nodes = nodes
+        # What the methods look for, filtered once per page by the caller.
+        self.candidates = nodes if candidates is None else candidates
         self.code = code
         self.name = name
         self.strict = strict
@@ -59,7 +62,7 @@ class SectionFinder:
     # -- helpers -----------------------------------------------------------
 
     def _select(self, test: Callable[[Column], Column]) -> Column:
-        return F.filter(self.nodes, test)
+        return F.filter(self.candidates, test)
 
     def _first(self, elements: Column, test: Callable[[Column], Column] | None = None) -> Column:
         return F.get(F.filter(elements, test) if test else elements, F.lit(0))
@@ -174,7 +177,7 @@ class SectionFinder:
         return F.coalesce(*[m() for m in self.methods])
 
 
-@cache
+@lru_cache(maxsize=64)
 def _section_column(
     _application: str, code: str | None, name: str | None, only: int | None, options: tuple
 ) -> Column:
@@ -183,7 +186,7 @@ def _section_column(
         columns = F.col("_language.code"), F.col("_language.name")
     else:
         columns = F.lit(code), F.lit(name).cast("string")
-    finder = SectionFinder(F.col("nodes"), *columns, **dict(options))
+    finder = SectionFinder(F.col("nodes"), *columns, candidates=F.col("_candidates"), **dict(options))
     return finder.find() if only is None else finder.method(only)
 
 
@@ -203,11 +206,13 @@ def with_section(
     names = LANGUAGE_NAMES if names is None else names
     application = df.sparkSession.sparkContext.applicationId
     chosen = tuple(sorted(options.items()))
+    tags = ("span", "h2", "h3", "div", options.get("container", "details"), options.get("content_tag", "div"))
+    df = once(df, "_candidates", F.filter("nodes", lambda n: n["tag"].isin(*dict.fromkeys(tags))))
     if isinstance(code, str):
-        return once(df, "section", _section_column(application, code, names.get(code), only, chosen))
+        return once(df, "section", _section_column(application, code, names.get(code), only, chosen)).drop("_candidates")
     language = F.struct(code.alias("code"), F.element_at(language_names(names), code).alias("name"))
     found = _section_column(application, None, None, only, chosen)
-    return once(once(df, "_language", language), "section", found).drop("_language")
+    return once(once(df, "_language", language), "section", found).drop("_language", "_candidates")
 
 
 def filter_has_section(df: DataFrame) -> DataFrame:

@@ -46,9 +46,8 @@ def documents_as_words(documents: DataFrame) -> DataFrame:
 
 
 def _page(rows: DataFrame, body: Column) -> DataFrame:
-    html = _join("<!DOCTYPE html><html><head><title>x</title></head><body>", body, "</body></html>")
     # Built once: the list test of the parser would repeat the expression.
-    return once(rows, "html", html).select("page_id", "word", LANGUAGE, "html")
+    return once(rows, "html", _html(body)).select("page_id", "word", LANGUAGE, "html")
 
 
 def _other_language() -> Column:
@@ -64,8 +63,8 @@ def _language_page(heading: Column, body: Column) -> Column:
     return _join(_other_language(), opened, body, "</details>")
 
 
-def section_page(rows: DataFrame, method: int) -> DataFrame:
-    """Pages on which only the given method finds the section of the document's language."""
+def section_body(method: int) -> Column:
+    """Body on which only the given method finds the section of the document's language."""
     code, name = F.col(LANGUAGE), F.col(NAME)
     noun = part(3, "Noun", ordered(F.col("text")))
     if method == 1:
@@ -89,7 +88,23 @@ def section_page(rows: DataFrame, method: int) -> DataFrame:
     else:
         block = _join("<details><h3>", name, "</h3>", noun, "</details>")
         body = _join(_other_language(), block)
-    return _page(rows, body)
+    return body
+
+
+def section_page(rows: DataFrame, method: int) -> DataFrame:
+    return _page(rows, section_body(method))
+
+
+def _html(body: Column) -> Column:
+    return _join("<!DOCTYPE html><html><head><title>x</title></head><body>", body, "</body></html>")
+
+
+def several_pages(rows: DataFrame, bodies: list[Column], words: list[Column] | None = None) -> DataFrame:
+    """A page per row and body, from one reading of the rows; ``page_no`` counts bodies from 0."""
+    words = words or [F.col("word")] * len(bodies)
+    pages = [F.struct(w.alias("word"), _html(b).alias("html")) for w, b in zip(words, bodies)]
+    exploded = rows.select("page_id", LANGUAGE, F.posexplode(F.array(*pages)).alias("page_no", "_page"))
+    return exploded.select("page_id", "_page.word", LANGUAGE, "page_no", "_page.html")
 
 
 def _in_language(body: Column) -> Column:
@@ -97,7 +112,7 @@ def _in_language(body: Column) -> Column:
     return _language_page(heading, body)
 
 
-def rich_page(rows: DataFrame) -> DataFrame:
+def rich_body() -> Column:
     """Sections of all levels, excluded ones, and ones that give nothing."""
     text, source, word = F.col("text"), F.col("source"), F.col("word")
     nested = _join("<ol><li>outer<ol>", items(source), "</ol></li></ol>")
@@ -111,7 +126,11 @@ def rich_page(rows: DataFrame) -> DataFrame:
         part(3, "Bare", "<ol></ol>"),
         part(3, "see ALSO", ordered(source)),
     )
-    return _page(rows, _in_language(body))
+    return _in_language(body)
+
+
+def rich_page(rows: DataFrame) -> DataFrame:
+    return _page(rows, rich_body())
 
 
 def etymology_page(rows: DataFrame) -> DataFrame:
@@ -125,14 +144,18 @@ def etymology_page(rows: DataFrame) -> DataFrame:
     return _page(rows, _in_language(part(3, "Etymology", inner)))
 
 
-def repeated_page(rows: DataFrame) -> DataFrame:
+def repeated_body() -> Column:
     """Two sections with the same heading."""
     body = _join(
         part(3, "Noun", ordered(F.col("text"))),
         part(3, "Verb", ordered(F.col("source"))),
         part(3, "Noun", ordered(F.col("word"))),
     )
-    return _page(rows, _in_language(body))
+    return _in_language(body)
+
+
+def repeated_page(rows: DataFrame) -> DataFrame:
+    return _page(rows, repeated_body())
 
 
 def flat_page(rows: DataFrame) -> DataFrame:
@@ -150,9 +173,10 @@ def flat_page(rows: DataFrame) -> DataFrame:
     return _page(rows, body)
 
 
-def write_page_files(pages: DataFrame, path: str) -> None:
+def write_page_files(pages: DataFrame, path: str, folders: bool = False, name: str = "") -> None:
     """One file per page, named by its word: the layout :func:`scan_page_dir` reads.
 
+    With ``folders`` the word is a folder and ``name`` the file in it, as rule files are.
     Each task writes its own rows; a repeated task writes the same files again.
     """
 
@@ -165,7 +189,10 @@ def write_page_files(pages: DataFrame, path: str) -> None:
         system.create_dir(folder, recursive=True)
         for batch in batches:
             for word, html in zip(batch.column("word"), batch.column("html")):
-                with system.open_output_stream(f"{folder}/{word.as_py()}") as out:
+                at = f"{folder}/{word.as_py()}"
+                if folders:
+                    system.create_dir(at, recursive=True)
+                with system.open_output_stream(f"{at}/{name}" if folders else at, compression=None) as out:
                     out.write(html.as_py().encode())
             yield RecordBatch.from_arrays([array([batch.num_rows], "int64")], ["written"])
 
@@ -188,6 +215,16 @@ VOWELS = "aeiou"
 MIXED_SIGNS = "漢字かなカ"
 
 
+def word_by_language(word: Column) -> Column:
+    """Words of French documents in Cyrillic letters, of German ones in Greek letters."""
+    lowered = F.lower(word)
+    return (
+        F.when(F.col(LANGUAGE) == "fr", F.translate(lowered, ALPHABET, CYRILLIC_ALPHABET))
+        .when(F.col(LANGUAGE) == "de", F.translate(lowered, ALPHABET, GREEK_ALPHABET))
+        .otherwise(word)
+    )
+
+
 def words_in_scripts(documents: DataFrame) -> DataFrame:
     """Each distinct token as it is, in Cyrillic, in Greek, and with vowels replaced."""
     word = F.col("word")

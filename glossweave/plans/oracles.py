@@ -10,7 +10,7 @@ from ..constants import LANGUAGE_NAMES, SCRIPTS, SPACE_CLASS
 from ..functions.collation import builtin_collation, translate_arguments
 from ..rule_texts import MORPHOLOGY
 from . import fixtures as B
-from .queries import BATCH_SIZE, PAGE_LIMIT, RULE_LANGUAGE, WANTED_SCRIPTS
+from .queries import BATCH_SIZE, CONVERT_LIMIT, CONVERT_XDXF, PAGE_LIMIT, RULE_LANGUAGES, STREAM_BATCHES, WANTED_SCRIPTS
 
 ORACLES: dict[str, str] = {}
 
@@ -124,33 +124,41 @@ def script_count(name: str) -> str:
 
 
 _SCRIPT_NAMES = [name for name, _ in SCRIPTS]
-_COUNTED = (
-    "SELECT form, word, "
-    + ", ".join(f"{script_count(n)} AS {n}" for n in _SCRIPT_NAMES)
-    + f" FROM ({_FORMS})"
-)
+
+
+def counted(rows: str, columns: str) -> str:
+    """Rows with the counts of all scripts in ``word``."""
+    return f"SELECT {columns}, " + ", ".join(f"{script_count(n)} AS {n}" for n in _SCRIPT_NAMES) + f" FROM ({rows})"
+
+
+_COUNTED = counted(_FORMS, "form, word")
 _DOMINANT = (
     f"CASE WHEN greatest({', '.join(_SCRIPT_NAMES)}) = 0 THEN 'unknown' "
     + " ".join(f"WHEN {n} = greatest({', '.join(_SCRIPT_NAMES)}) THEN '{n}'" for n in _SCRIPT_NAMES)
     + " END"
 )
 ORACLES["char_in_script"] = "SELECT form, word, " + ", ".join(
-    f"regexp_matches(word, '^[{_class_body(n)}]') AS {n}" for n in ("latin", "cyrillic", "japanese")
+    f"regexp_matches(word, '^[{_class_body(n)}]') AS {n}" for n in _SCRIPT_NAMES
 ) + f", false AS unlisted FROM ({_FORMS})"
 ORACLES["alphanumeric_part"] = (
     f"SELECT form, word, regexp_replace(word, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS kept FROM ({_FORMS})"
 )
 ORACLES["word_script_counts"] = (
-    f"SELECT form, word, latin, cyrillic, greek, chinese, japanese FROM ({_COUNTED})"
+    f"SELECT form, word, {', '.join(_SCRIPT_NAMES)} FROM ({_COUNTED})"
 )
 ORACLES["script_histogram"] = " UNION ALL ".join(
     f"SELECT '{n}' AS script, CAST(coalesce(sum({n}), 0) AS BIGINT) AS characters FROM ({_COUNTED})"
     for n in _SCRIPT_NAMES
 )
 ORACLES["word_dominant_script"] = f"SELECT form, word, {_DOMINANT} AS script FROM ({_COUNTED})"
-_IN_SCRIPTS = "regexp_matches(word, '^[{}]') OR {} IN ({})".format(
-    "".join(_class_body(n) for n in WANTED_SCRIPTS), _DOMINANT, ", ".join(f"'{n}'" for n in WANTED_SCRIPTS)
-)
+
+
+def in_scripts(scripts) -> str:
+    names = ", ".join(f"'{n}'" for n in scripts)
+    return f"(regexp_matches(word, '^[{''.join(_class_body(n) for n in scripts)}]') OR {_DOMINANT} IN ({names}))"
+
+
+_IN_SCRIPTS = in_scripts(WANTED_SCRIPTS)
 ORACLES["script_filter"] = f"SELECT form, word FROM ({_COUNTED}) WHERE {_IN_SCRIPTS}"
 ORACLES["stage_counts"] = f"""
 SELECT count(*) AS found, count(*) FILTER (WHERE {_IN_SCRIPTS}) AS in_scripts,
@@ -239,6 +247,10 @@ ORACLES["section_cascade"] = f"""
 SELECT page_id, CAST(method AS INTEGER) AS method, {_SECTION_TEXT} AS section_text
 FROM ({_ROWS}) CROSS JOIN range(1, 9) AS m(method)
 """
+ORACLES["section_strict"] = f"""
+SELECT page_id, CAST(page_no AS INTEGER) AS page_no, CASE page_no WHEN 0 THEN 1 ELSE 4 END AS method
+FROM ({_ROWS}) CROSS JOIN range(0, 3) AS p(page_no)
+"""
 ORACLES["section_required"] = f"SELECT page_id, word FROM ({_ROWS}) WHERE lang = 'es'"
 
 _LINE_COUNT = "CAST(len(string_split(text, chr(10))) AS INTEGER)"
@@ -291,6 +303,7 @@ FROM (SELECT *, generate_subscripts({split}, 1) AS n, unnest({split}) AS line FR
 """
 
 
+_ADJECTIVE = [("'outer ' || source", 0), ("source", 1), ("source", 2)]
 _RICH = " UNION ALL ".join(
     [
         lines("text", 0, "Noun (n)"),
@@ -302,7 +315,6 @@ _RICH = " UNION ALL ".join(
 )
 _REPEATED = " UNION ALL ".join([lines("word", 0, "Noun"), lines("source", 1, "Verb")])
 ORACLES["definitions_long"] = _RICH
-ORACLES["streamed_ingest"] = _RICH
 ORACLES["nested_items"] = " UNION ALL ".join(
     [
         lines("text", 0, "Etymology"),
@@ -323,7 +335,7 @@ ORACLES["flat_definitions"] = " UNION ALL ".join(
 )
 ORACLES["fold_last_wins"] = _REPEATED
 _LINE_PARTS = """
-SELECT doc_id, lang, CAST(n - 1 AS INTEGER) AS n, doc_id * 100000 + n - 1 AS ord, defs
+SELECT doc_id, lang, CAST(n - 1 AS INTEGER) AS n, CAST(n - 1 AS INTEGER) AS ord, defs
 FROM (SELECT doc_id, lang, generate_subscripts(string_split(text, chr(10)), 1) AS n,
              unnest(string_split(text, chr(10))) AS defs FROM documents)
 """
@@ -359,10 +371,14 @@ SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos_ord) -
   UNION ALL SELECT page_id, 2, 'Adjective', 3 FROM ({_ROWS}))
 WHERE NOT contains(lower(pos), 'noun') AND NOT contains(lower(pos), 'verb')
 """
-ORACLES["deduped_nested"] = f"""
-SELECT page_id, 0 AS def_ord, 'outer ' || source AS definition FROM ({_ROWS})
-UNION ALL SELECT page_id, 1, source FROM ({_ROWS})
-"""
+ORACLES["deduped_nested"] = " UNION ALL ".join(
+    [
+        lines("text", 0, "Noun (n)"),
+        lines("source", 1, "Verb"),
+        lines("'outer ' || source", 2, "Adjective"),
+        lines("source", 2, "Adjective", 1),
+    ]
+)
 
 # --- output -----------------------------------------------------------------
 _NL = "chr(10)"
@@ -422,7 +438,7 @@ def framed(body: str, header: list[str], footer: list[str]) -> str:
     values = ", ".join(f"({s}, {i}, '', NULL, {_quote(v)})" for s, i, v in fixed)
     return f"""
 SELECT section, line, word, page_id, value FROM (VALUES {values}) AS t(section, line, word, page_id, value)
-UNION ALL SELECT 1, 0, word, CAST(page_id AS VARCHAR), value FROM ({body})
+UNION ALL SELECT 1, 0, word, page_id, value FROM ({body})
 """
 
 
@@ -432,12 +448,85 @@ ORACLES["framed_xdxf"] = _FRAMED_XDXF
 ORACLES["framed_dsl"] = _FRAMED_DSL
 ORACLES["written_xdxf"] = f"SELECT unnest(string_split(value, {_NL})) AS value FROM ({_FRAMED_XDXF})"
 ORACLES["written_dsl"] = f"SELECT unnest(string_split(value, {_NL})) AS value FROM ({_FRAMED_DSL})"
+_LETTER_RUNS = "regexp_extract_all(text, '\\p{L}+')"
+_RUN_WORDS = f"""
+SELECT page_id, coalesce(lower({_LETTER_RUNS}[1]), '') AS first_word, coalesce(lower({_LETTER_RUNS}[2]), '') AS second_word
+FROM ({_ROWS})
+"""
 ORACLES["merged_dictionary"] = f"""
-SELECT arg_max(page_id, k) AS page_id, word, arg_max(parts, k) AS parts
-FROM (SELECT CAST(page_id AS VARCHAR) AS page_id, word, 3 AS parts, '0' || CAST(page_id AS VARCHAR) AS k FROM ({_ROWS})
-      UNION ALL
-      SELECT CAST(page_id AS VARCHAR), word, 2, '1' || CAST(page_id AS VARCHAR) FROM ({_ROWS}) WHERE lang = 'fr')
-GROUP BY word
+SELECT page_id, second_word AS word, 2 AS parts FROM ({_RUN_WORDS})
+UNION ALL
+SELECT page_id, first_word, 3 FROM ({_RUN_WORDS})
+WHERE first_word NOT IN (SELECT second_word FROM ({_RUN_WORDS}))
+"""
+
+# --- the whole conversion ---------------------------------------------------
+
+
+def by_language(e: str) -> str:
+    return f"""CASE lang WHEN 'fr' THEN translate(lower({e}), '{B.ALPHABET}', '{B.CYRILLIC_ALPHABET}')
+        WHEN 'de' THEN translate(lower({e}), '{B.ALPHABET}', '{B.GREEK_ALPHABET}') ELSE {e} END"""
+
+
+_NAMED = f"SELECT page_id, {by_language('word')} AS word, text, lang, source FROM ({_ROWS})"
+
+
+def selected(scripts, limit: int) -> str:
+    """Pages that pass the script test, the first ``limit`` of them in headword order."""
+    rows = counted(_NAMED, "page_id, word, text, lang, source")
+    return f"""
+SELECT page_id, word, text, lang, source FROM ({rows}) WHERE {in_scripts(scripts)}
+ORDER BY lower(word), word, page_id LIMIT {limit}
+"""
+
+
+def without_noun_and_verb(rows: str) -> str:
+    """Definition rows of rich pages whose noun and verb sections are excluded."""
+    split = "string_split(text, chr(10))"
+    return f"""
+SELECT page_id, word, 0 AS pos_ord, {clean("'Translations of ' || word")} AS pos, n - 1 AS def_ord, {clean('line')} AS definition
+FROM (SELECT *, generate_subscripts({split}, 1) AS n, unnest({split}) AS line FROM ({rows}))
+UNION ALL SELECT page_id, word, 1, 'see ALSO', 0, source FROM ({rows})
+UNION ALL SELECT page_id, word, 2, 'Adjective', 0, 'outer ' || source FROM ({rows})
+UNION ALL SELECT page_id, word, 2, 'Adjective', 1, source FROM ({rows})
+UNION ALL SELECT page_id, word, 2, 'Adjective', 2, source FROM ({rows})
+"""
+
+
+def dsl_escaped(e: str) -> str:
+    return f"regexp_replace({e}, '([\\\\\\[\\]{{}}~@^#()])', '\\\\\\1', 'g')"
+
+
+_XDXF_PAGES = f"SELECT * FROM ({selected(CONVERT_XDXF.scripts, CONVERT_LIMIT)}) WHERE lang = 'fr'"
+_DSL_PAGES = f"SELECT * FROM ({selected(('greek',), CONVERT_LIMIT)}) WHERE lang = 'de'"
+_CONVERTED_XDXF = framed(
+    xdxf(without_noun_and_verb(_XDXF_PAGES)),
+    [line.replace("spanish", "russian").replace("English-Spanish", "Français-Russian").replace(" &amp; more", " &amp; more") for line in _XDXF_HEADER],
+    _XDXF_FOOTER,
+)
+_CONVERTED_DSL = framed(
+    rendered(
+        without_noun_and_verb(_DSL_PAGES),
+        f"'  [c]' || {dsl_escaped('pos')} || '[/c]'", f"'  ' || {dsl_escaped('definition')}",
+        dsl_escaped("replace(word, '_', ' ')"), "",
+    ),
+    [line.replace("Français-Xx", "German-Xx") for line in _DSL_HEADER],
+    [],
+)
+ORACLES["converted_xdxf"] = f"SELECT unnest(string_split(value, {_NL})) AS value FROM ({_CONVERTED_XDXF})"
+ORACLES["converted_dsl"] = f"SELECT unnest(string_split(value, {_NL})) AS value FROM ({_CONVERTED_DSL})"
+_CONVERT_PLACED = f"""
+SELECT lang, CAST((row_number() OVER (ORDER BY {"lower(word), word, page_id"}) - 1) // {CONVERT_XDXF.batch_size} AS INTEGER) AS batch
+FROM ({selected(CONVERT_XDXF.scripts, CONVERT_LIMIT)})
+"""
+ORACLES["conversion_counts"] = f"""
+SELECT 'found' AS stage, CAST(NULL AS INTEGER) AS batch, count(*) AS pages FROM ({_NAMED})
+UNION ALL SELECT 'in_scripts', NULL, count(*) FROM ({selected(CONVERT_XDXF.scripts, 1 << 60)})
+UNION ALL SELECT 'after_limit', NULL, count(*) FROM ({selected(CONVERT_XDXF.scripts, CONVERT_LIMIT)})
+UNION ALL SELECT 'processed', batch, count(*) FILTER (WHERE lang = 'fr') FROM ({_CONVERT_PLACED}) GROUP BY batch
+UNION ALL SELECT 'skipped', batch, count(*) FILTER (WHERE lang <> 'fr') FROM ({_CONVERT_PLACED}) GROUP BY batch
+UNION ALL SELECT 'processed', NULL, count(*) FILTER (WHERE lang = 'fr') FROM ({_CONVERT_PLACED})
+UNION ALL SELECT 'skipped', NULL, count(*) FILTER (WHERE lang <> 'fr') FROM ({_CONVERT_PLACED})
 """
 
 # --- order, limit, batches, counts ------------------------------------------
@@ -488,38 +577,91 @@ def rule_values(language: str) -> str:
             groups = "".join(
                 "(.)" if c in "?." else f"([{classes[c]}])" if c.isdigit() else f"({c})" for c in ending
             )
+            if not ending.strip("?.") or any(c.isdigit() and c not in classes for c in ending):
+                continue
             for j, variant in enumerate(right.split("/"), 1):
-                target = "\\1" + "".join(f"\\{k + 2}" if c == "." else c for k, c in enumerate(variant))
+                if variant.count(".") > 1:
+                    continue
+                signs = [f"\\{k + 2}" if k < len(ending) else "" for k in range(len(variant))]
+                target = "\\1" + "".join(signs[k] if c == "." else c for k, c in enumerate(variant))
                 rows.append(
                     f"({_quote(language)}, {number}, {i}, {j}, {_quote('^(.*)' + groups + '$')}, {_quote(target)})"
                 )
     return ", ".join(rows)
 
 
-_CODE = "CASE lang " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in RULE_LANGUAGE.items()) + " ELSE lang END"
 _LETTERS = "unnest(regexp_extract_all(lower(text), '\\p{L}+'))"
-_RULED = f"SELECT DISTINCT {_CODE} AS lang, {_LETTERS} AS word FROM documents"
+
+
+def ruled(rows: str) -> str:
+    """Letter runs of rows (lang, text) by rule language, Cyrillic ones for ``rus``."""
+    codes = ", ".join(f"('{lang}', '{code}')" for lang, many in RULE_LANGUAGES.items() for code in many)
+    return f"""
+SELECT DISTINCT code AS lang,
+       CASE code WHEN 'rus' THEN translate(word, '{B.ALPHABET}', '{B.CYRILLIC_ALPHABET}') ELSE word END AS word
+FROM (SELECT lang, {_LETTERS} AS word FROM ({rows})) JOIN (VALUES {codes}) AS c(doc_lang, code) ON lang = doc_lang
+"""
+
+
+_RULED = ruled("SELECT lang, text FROM documents")
 _CANDIDATES = f"""
 SELECT lang, word, 0 AS rule_no, 0 AS left_no, 0 AS right_no, word AS candidate FROM ({_RULED})
 UNION ALL
 SELECT w.lang, w.word, r.rule_no, r.left_no, r.right_no, regexp_replace(w.word, r.pattern, r.variant)
 FROM ({_RULED}) AS w
-JOIN (VALUES {', '.join(rule_values(x) for x in RULE_LANGUAGE.values())})
+JOIN (VALUES {', '.join(filter(None, map(rule_values, MORPHOLOGY)))})
   AS r(lang, rule_no, left_no, right_no, pattern, variant)
   ON w.lang = r.lang AND regexp_matches(w.word, r.pattern)
 """
 ORACLES["lemma_candidates"] = _CANDIDATES
-_HEADWORDS = " UNION ALL ".join(
-    f"SELECT '{code}' AS lang, {_LETTERS} AS word FROM benchmark" for code in RULE_LANGUAGE.values()
-)
+_EVERY_LANGUAGE = ", ".join(f"('{lang}')" for lang in RULE_LANGUAGES)
+_HEADWORDS = ruled(f"SELECT l.lang, b.text FROM benchmark b CROSS JOIN (VALUES {_EVERY_LANGUAGE}) AS l(lang)")
+
+
+def keyed(e: str) -> str:
+    return f"CASE lang WHEN 'rus' THEN {translated(e, 'rus')} ELSE {translated(e, 'eng')} END"
+
+
+ORACLES["scanned_collation"] = f"SELECT lang, word, {keyed('word')} AS key FROM ({_RULED})"
 ORACLES["lemma_lookup"] = f"""
 SELECT c.lang, c.word, h.headword, c.rule_no, c.left_no, c.right_no
-FROM (SELECT *, {translated('candidate', 'eng')} AS key FROM ({_CANDIDATES})) AS c
-JOIN (SELECT lang, {translated('word', 'eng')} AS key, min(word) AS headword FROM ({_HEADWORDS}) GROUP BY ALL) AS h
-  ON c.lang = h.lang AND c.key = h.key
+FROM (SELECT *, {keyed('candidate')} AS key FROM ({_CANDIDATES})) AS c
+JOIN (SELECT lang, {keyed('word')} AS key, min(word) AS headword FROM ({_HEADWORDS}) GROUP BY ALL) AS h
+  ON c.lang = h.lang AND c.key = h.key AND c.key <> ''
 QUALIFY row_number() OVER (PARTITION BY c.lang, c.word ORDER BY c.rule_no, c.left_no, c.right_no) = 1
 """
 
 # --- sources ----------------------------------------------------------------
 ORACLES["packed_scan"] = "SELECT page_id, url AS word, html FROM pages"
-ORACLES["page_dir_roundtrip"] = "SELECT 'word ' || page_id AS word, html FROM pages"
+ORACLES["page_dir_roundtrip"] = """
+SELECT 'word ' || page_id AS word, html FROM pages
+UNION ALL SELECT '_' || page_id, html FROM pages
+UNION ALL SELECT 'nothing', ''
+"""
+_FILES = f"SELECT page_id, {by_language("word || '_' || page_id")} AS word, text, lang, source FROM ({_ROWS})"
+_SLICED = f"""
+SELECT *, (row_number() OVER (ORDER BY word) - 1) // (SELECT (count(*) + {STREAM_BATCHES} - 1) // {STREAM_BATCHES} FROM documents) AS slice
+FROM ({_FILES})
+"""
+_STREAMED = f"""
+SELECT * FROM ({counted(_SLICED, "page_id, word, text, lang, source, slice")}) WHERE {in_scripts(("cyrillic", "latin"))}
+"""
+_FRENCH = f"SELECT page_id, word, text, source FROM ({_STREAMED}) WHERE lang = 'fr'"
+
+
+def french_lines(column: str, pos_ord: int, pos: str, first: int = 0) -> str:
+    split = f"string_split({column}, chr(10))"
+    return f"""
+SELECT word, {pos_ord} AS pos_ord, '{pos}' AS pos, CAST(n - 1 + {first} AS INTEGER) AS def_ord, {clean('line')} AS definition
+FROM (SELECT *, generate_subscripts({split}, 1) AS n, unnest({split}) AS line FROM ({_FRENCH}))
+"""
+
+
+ORACLES["streamed_ingest"] = " UNION ALL ".join(
+    [french_lines("text", 0, "Noun (n)"), french_lines("source", 1, "Verb")]
+    + [french_lines(e, 2, "Adjective", first) for e, first in _ADJECTIVE]
+)
+ORACLES["streamed_counts"] = f"""
+SELECT slice, count(*) FILTER (WHERE lang = 'fr') AS processed, count(*) FILTER (WHERE lang <> 'fr') AS skipped
+FROM ({_STREAMED}) GROUP BY slice
+"""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.collation import builtin_collation, collation_key
+from ..functions.collation import builtin_collation, collation_key, collation_pairs, language_key
 from ..functions.render import render_dsl, render_xdxf
 from ..functions.scripts import (
     SCRIPT_NAMES,
@@ -36,12 +36,14 @@ from ..operators.axes import (
 from ..operators.sections import with_section
 from ..params import ConvertParams
 from ..session import cut, new_scratch_path
-from ..sources.pages import scan_page_dir, scan_pages, spread
-from ..sources.rules import builtin_morphology
+from ..rule_texts import MORPHOLOGY
+from ..sources.pages import scan_page_dir, scan_pages, spread, stream_page_dir
+from ..sources.rules import builtin_morphology, scan_collation, scan_morphology
 from ..sources.sinks import frame_output, merge_dictionaries, write_dictionary
-from ..streaming.ingest import ingest_batches, read_outcomes
+from ..streaming.ingest import batch_stats, ingest_batches, read_outcomes
 from . import fixtures as B
-from .convert import extract_entries, page_outcomes
+from .convert import conversion_counts as count_conversion
+from .convert import convert, extract_entries, page_outcomes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,7 +55,20 @@ DSL_PARAMS = ConvertParams(
 BATCH_SIZE = 100
 PAGE_LIMIT = 50
 WANTED_SCRIPTS = ("cyrillic", "japanese")
-RULE_LANGUAGE = {"en": "eng", "es": "es"}
+# Which rules words of a document language meet; French ones as they are and in Cyrillic letters.
+RULE_LANGUAGES = {"en": ("eng",), "es": ("es",), "de": ("oc",), "fr": ("ca", "rus")}
+# Tasks for the costly work on tables of few splits.
+MIN_TASKS = 16
+STREAM_BATCHES = 4
+CONVERT_LIMIT = 150
+CONVERT_XDXF = ConvertParams(
+    source_lang="en", target_lang="ru", entry_lang="fr", name='My "Dictionary" & more', limit=CONVERT_LIMIT,
+    scripts=("cyrillic", "greek"), excluded_sections=("noun", "VERB"), batch_size=40,
+)
+CONVERT_DSL = ConvertParams(
+    source_lang="en", target_lang="xx", entry_lang="de", name='My "Dictionary"', fmt="lingvo", limit=CONVERT_LIMIT,
+    scripts=("greek",), excluded_sections=("noun", "VERB"), escape_dsl=True,
+)
 
 
 def query(function: Query) -> Query:
@@ -71,7 +86,7 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
     """Documents for work that is costly per row."""
-    return spread(_documents(spark, sf))
+    return spread(_documents(spark, sf), MIN_TASKS)
 
 
 def _rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,7 +107,7 @@ def clean_text(spark, sf):
 
 @query
 def clean_html(spark, sf):
-    pages = spread(table(spark, sf, "pages"))
+    pages = spread(table(spark, sf, "pages"), MIN_TASKS)
     return pages.select("page_id", X.clean_text(F.col("html")).alias("cleaned"))
 
 
@@ -170,13 +185,8 @@ def stem_name(spark, sf):
 def char_in_script(spark, sf):
     words = B.words_in_scripts(_texts(spark, sf))
     first = F.left(F.col("word"), F.lit(1))
-    return words.select(
-        "form", "word",
-        is_in_script(first, "latin").alias("latin"),
-        is_in_script(first, "cyrillic").alias("cyrillic"),
-        is_in_script(first, "japanese").alias("japanese"),
-        is_in_script(first, "klingon").alias("unlisted"),
-    )
+    listed = [is_in_script(first, name).alias(name) for name in SCRIPT_NAMES]
+    return words.select("form", "word", *listed, is_in_script(first, "klingon").alias("unlisted"))
 
 
 @query
@@ -189,9 +199,8 @@ def alphanumeric_part(spark, sf):
 def word_script_counts(spark, sf):
     words = B.words_in_scripts(_texts(spark, sf))
     counted = N.once(words, "counts", script_counts(F.col("word")))
-    chosen = ["latin", "cyrillic", "greek", "chinese", "japanese"]
     return counted.select(
-        "form", "word", *[F.get("counts", F.lit(SCRIPT_NAMES.index(name))).alias(name) for name in chosen]
+        "form", "word", *[F.get("counts", F.lit(i)).alias(name) for i, name in enumerate(SCRIPT_NAMES)]
     )
 
 
@@ -222,7 +231,7 @@ def stage_counts(spark, sf):
 # --- nodes and axes ---------------------------------------------------------
 
 def _nodes(spark, sf, container):
-    pages = spread(table(spark, sf, "pages"))
+    pages = spread(table(spark, sf, "pages"), MIN_TASKS)
     return N.with_nodes(pages, container=container, required=None)
 
 
@@ -331,9 +340,16 @@ for _method in range(1, 9):
 
 @query
 def section_cascade(spark, sf):
-    rows = _rows(spark, sf)
-    pages = [B.section_page(rows, m) for m in range(1, 9)]
-    return _sections(reduce(DataFrame.unionByName, pages), None)
+    """All layouts of every document, from one reading of the documents."""
+    return _sections(B.several_pages(_rows(spark, sf), [B.section_body(m) for m in range(1, 9)]), None)
+
+
+@query
+def section_strict(spark, sf):
+    """Layouts that name another language's code or name inside a word, by whole words only."""
+    pages = B.several_pages(_rows(spark, sf), [B.section_body(m) for m in (1, 3, 4)])
+    found = with_section(N.with_nodes(pages), _own_language(), strict=True)
+    return found.where(F.col("section").isNotNull()).select("page_id", "page_no", F.col("section.method").alias("method"))
 
 
 @query
@@ -404,13 +420,8 @@ def virtual_sections(spark, sf):
 def section_end(spark, sf):
     """Window form of the end of a virtual section, as text of the next heading."""
     headings = explode_elements(N.with_nodes(B.flat_page(_rows(spark, sf))), "h2", "h3", "h4")
-    ends = D.section_ends(headings)
-    stops = headings.select("page_id", F.col("pre").alias("stop"), F.col("content").alias("stopped_by"))
-    return (
-        ends.where(F.col("tag") != "h2")
-        .join(stops, ["page_id", "stop"], "left")
-        .select("page_id", "tag", F.col("content").alias("heading"), "stopped_by")
-    )
+    ends = D.section_ends(headings).where(F.col("tag") != "h2")
+    return ends.select("page_id", "tag", F.col("content").alias("heading"), "stopped_by")
 
 
 # --- definitions ------------------------------------------------------------
@@ -442,9 +453,7 @@ def fold_last_wins(spark, sf):
 def _line_parts(spark, sf) -> DataFrame:
     """Lines of documents as repeated parts of the document's language."""
     lines = F.posexplode(F.split("text", "\n"))
-    return _documents(spark, sf).select("doc_id", "lang", lines.alias("n", "defs")).withColumn(
-        "ord", F.col("doc_id") * 100_000 + F.col("n")
-    )
+    return _documents(spark, sf).select("doc_id", "lang", lines.alias("n", "defs")).withColumn("ord", F.col("n"))
 
 
 @query
@@ -486,7 +495,7 @@ def custom_exclusions(spark, sf):
 def deduped_nested(spark, sf):
     asked = ConvertParams("en", "en", dedupe_nested=True)
     found = extract_entries(B.rich_page(_rows(spark, sf)), asked, _own_language())
-    return D.to_long(found).where(F.col("pos") == "Adjective").select("page_id", "def_ord", "definition")
+    return D.to_long(found)
 
 
 # --- output -----------------------------------------------------------------
@@ -533,11 +542,44 @@ def written_dsl(spark, sf):
 
 @query
 def merged_dictionary(spark, sf):
+    """Two runs over all documents, under the first and the second word of the text; words overlap in part."""
+    letters = F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))
+    words = [F.coalesce(F.lower(F.get(letters, F.lit(i))), F.lit("")) for i in range(2)]
+    pages = B.several_pages(_rows(spark, sf), [B.rich_body(), B.repeated_body()], words)
+    entries = cut(extract_entries(pages, PARAMS, _own_language(), keep=("page_no",)), "runs")
+    runs = [entries.where(F.col("page_no") == i) for i in range(2)]
+    return merge_dictionaries(runs).select("page_id", "word", F.size("definitions").alias("parts"))
+
+
+# --- the whole conversion ---------------------------------------------------
+
+def _dictionary_pages(spark, sf) -> DataFrame:
+    """A page of every document, its word in the letters its language stands for."""
     rows = _rows(spark, sf)
-    first = _entries(B.rich_page(rows))
-    second = _entries(B.repeated_page(rows.where(F.col("lang") == "fr")))
-    merged = merge_dictionaries([first, second])
-    return merged.select("page_id", "word", F.size("definitions").alias("parts"))
+    return B.rich_page(rows.withColumn("word", B.word_by_language(F.col("word"))))
+
+
+def _converted(spark, sf, params) -> DataFrame:
+    path = new_scratch_path(spark, "converted")
+    convert(_dictionary_pages(spark, sf), params, path)
+    return spark.read.text(path)
+
+
+@query
+def converted_xdxf(spark, sf):
+    return _converted(spark, sf, CONVERT_XDXF)
+
+
+@query
+def converted_dsl(spark, sf):
+    return _converted(spark, sf, CONVERT_DSL)
+
+
+@query
+def conversion_counts(spark, sf):
+    pages = _dictionary_pages(spark, sf)
+    stats = convert(pages, CONVERT_XDXF, new_scratch_path(spark, "converted"))
+    return count_conversion(pages, CONVERT_XDXF, stats)
 
 
 # --- order, limit, batches, counts ------------------------------------------
@@ -586,26 +628,61 @@ def collation_order(spark, sf):
     return H.with_position(keyed, [F.col("key"), F.col("word")])
 
 
-def _ruled_words(spark, sf) -> DataFrame:
-    words = B.letter_words(_texts(spark, sf))
-    code = F.coalesce(*[F.when(F.col("lang") == k, F.lit(v)) for k, v in RULE_LANGUAGE.items()], "lang")
-    return words.withColumn("lang", code)
+def _ruled_words(spark, sf, texts: DataFrame) -> DataFrame:
+    """Letter runs by rule language; ``rus`` gets them in Cyrillic letters."""
+    codes = F.create_map(*[F.lit(x) if isinstance(x, str) else F.array(*map(F.lit, x)) for p in RULE_LANGUAGES.items() for x in p])
+    ruled = texts.select("text", F.explode(F.element_at(codes, F.col("lang"))).alias("lang"))
+    words = B.letter_words(ruled)
+    cyrillic = F.translate(F.col("word"), B.ALPHABET, B.CYRILLIC_ALPHABET)
+    return words.select("lang", F.when(F.col("lang") == "rus", cyrillic).otherwise(F.col("word")).alias("word"))
+
+
+def _all_rule_languages(texts: DataFrame) -> DataFrame:
+    """Every text once for each language of documents."""
+    return texts.select("text", F.explode(F.array(*map(F.lit, RULE_LANGUAGES))).alias("lang"))
+
+
+def _collation_text(language: str) -> str:
+    """A collation as the lines of a rule file: characters, an equals sign, their target."""
+    targets: dict[str, str] = {}
+    for char, target in builtin_collation(language):
+        targets[target] = targets.get(target, "") + char
+    return "\ufeff" + "\r\n".join(f"{chars}={target}" for target, chars in targets.items())
+
+
+@query
+def scanned_collation(spark, sf):
+    """Keys of headwords by collations that were written to files and read back."""
+    texts = {lang: _collation_text(lang) for lang in MORPHOLOGY}
+    path = new_scratch_path(spark, "rule-files")
+    B.write_page_files(_rule_rows(spark, texts), path, folders=True, name="collates.txt")
+    rules = scan_collation(spark, path)
+    pairs = {lang: collation_pairs(rules.where(F.col("lang") == lang)) for lang in texts}
+    words = _ruled_words(spark, sf, _texts(spark, sf)).distinct()
+    return words.select("lang", "word", language_key(F.col("lang"), F.col("word"), pairs).alias("key"))
+
+
+def _rule_rows(spark, texts: dict[str, str]) -> DataFrame:
+    return spark.createDataFrame(list(texts.items()), "word string, html string")
+
+
+def _scanned_rules(spark) -> DataFrame:
+    path = new_scratch_path(spark, "rule-files")
+    B.write_page_files(_rule_rows(spark, {k: v.strip("\n") for k, v in MORPHOLOGY.items()}), path, folders=True, name="morphems.txt")
+    return scan_morphology(spark, path)
 
 
 @query
 def lemma_candidates(spark, sf):
-    return M.lemma_candidates(_ruled_words(spark, sf), builtin_morphology(spark))
+    """Base forms of all words by the rules of five languages, read from files."""
+    return M.lemma_candidates(_ruled_words(spark, sf, _texts(spark, sf)), cut(_scanned_rules(spark), "rules"))
 
 
 @query
 def lemma_lookup(spark, sf):
-    candidates = M.lemma_candidates(_ruled_words(spark, sf), builtin_morphology(spark))
-    passages = table(spark, sf, "benchmark")
-    headwords = reduce(
-        DataFrame.unionByName,
-        [B.letter_words(passages, F.lit(code)) for code in RULE_LANGUAGE.values()],
-    )
-    return M.lemma_lookup(candidates, headwords, builtin_collation("eng"))
+    candidates = M.lemma_candidates(_ruled_words(spark, sf, _texts(spark, sf)), builtin_morphology(spark))
+    headwords = _ruled_words(spark, sf, _all_rule_languages(table(spark, sf, "benchmark")))
+    return M.lemma_lookup(candidates, headwords, {lang: builtin_collation(lang) for lang in MORPHOLOGY})
 
 
 # --- sources and stream -----------------------------------------------------
@@ -617,27 +694,37 @@ def packed_scan(spark, sf):
 
 @query
 def page_dir_roundtrip(spark, sf):
+    """Plain names, names with an underscore first, names with a suffix (no pages), and a file without content."""
     path = new_scratch_path(spark, "page-files")
-    name = F.concat(F.lit("word "), F.col("page_id"))
     pages = table(spark, sf, "pages")
-    B.write_page_files(pages.select(name.alias("word"), "html"), path)
-    B.write_page_files(pages.select(F.concat(name, F.lit(".html")).alias("word"), "html"), path)
+    for name in (F.concat(F.lit("word "), "page_id"), F.concat(F.lit("_"), "page_id"), F.concat("page_id", F.lit(".html"))):
+        B.write_page_files(pages.select(name.alias("word"), "html"), path)
+    B.write_page_files(spark.range(1).select(F.lit("nothing").alias("word"), F.lit("").alias("html")), path)
     return scan_page_dir(spark, path).select("word", "html")
 
 
+def _streamed(spark, sf) -> DataFrame:
+    """Outcomes of a stream of page files in slices of names, Greek names left out."""
+    documents = _documents(spark, sf)
+    rows = _rows(spark, sf)
+    name = F.concat_ws("_", "word", "page_id")
+    folder = new_scratch_path(spark, "page-files")
+    pages = B.rich_page(rows.withColumn("word", B.word_by_language(name)))
+    B.write_page_files(pages.select("word", "html"), folder)
+    size = -(-documents.count() // STREAM_BATCHES)
+    stream = stream_page_dir(spark, folder, size, new_scratch_path(spark, "names"))
+    out = new_scratch_path(spark, "outcomes")
+    asked = ConvertParams(source_lang="en", target_lang="en", entry_lang="fr", scripts=("cyrillic", "latin"))
+    ingest_batches(stream, asked, out, new_scratch_path(spark, "stream"), keep=("slice",))
+    return read_outcomes(spark, out)
+
+
 @query
 def streamed_ingest(spark, sf):
-    schema = _documents(spark, sf).schema
-    documents = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(sf)
-    )
-    out = new_scratch_path(spark, "outcomes")
-    # One file with one row group would otherwise be parsed by one task.
-    tasks = 2 * spark.sparkContext.defaultParallelism
-    pages = B.rich_page(B.documents_as_words(documents.repartition(tasks)))
-    ingest_batches(pages, PARAMS, out, new_scratch_path(spark, "stream"), _own_language())
-    done = read_outcomes(spark, out).where("has_entry")
-    return D.to_long(done.select("page_id", "word", "definitions"))
+    done = _streamed(spark, sf).where("has_entry").select(F.col("word").alias("page_id"), "word", "definitions")
+    return D.to_long(done).drop("page_id")
+
+
+@query
+def streamed_counts(spark, sf):
+    return batch_stats(_streamed(spark, sf), "slice")

@@ -148,10 +148,10 @@ MORPHOLOGY = {
 ^2е/2И/2у/2ы/2ой/2ам/2/ами=.а
 ^ок=ка
 
-; прилагательные,причастия: быстрый чёткий летний большой нашедший
+;
 ^2ая/2яя/2ую/2юю/2ой/2ей/2ое/2ее/2ые/2ие/2ого/2его/2ой/2ей/2ому/2ему/2ых/2их/2ым/2им=.ый/.ой/.ий
 
-; глаголы: ловить сидеть стоять чихать 
+;
 ^1л/1ла/1ло/1шь/1т/1те/1м/и=.ть/ать/ять/ить/ыть/еть
 ^1лся/1лась/1лось/1шься/1тся/ись=.ть/ать/ять/ить/ыть/еть
 """,
@@ -160,35 +160,36 @@ MORPHOLOGY = {
 # --- fixed values: characters a dictionary order ignores --------------------
 IGNORED = ".,-_ '`!?:;­´\"()[]<>{}/\\*«»‘’‚‛“”„‟…"
 
-# --- fixed values: Latin letters that sort like a base letter although they do
-# not decompose into it ------------------------------------------------------
-LATIN_EXTRA = """
-ÆǢǼæǣǽ=A
-ƀƁƂƃƄƅ=B
-ƆƇƈ=C
-ĐƉƊƋđƌƍ=D
-ƎƏƐ=E
-Ƒƒ=F
-ƓǤǥ=G
-ĦǶħƕǷ=H
-ĲƖıĳƗ=I
-Ƙĸƙ=K
-ĿŁŀłƛƚ=L
-Ɯµ=M
-ŊƝŉŋƞ=N
-ØŒƟƢǾøœƣǿ=O
-Ƥƥ=P
-Ʀ=R
-ßƧƩƨƪ=S
-ŦƬƮŧƫƭ=T
-ƱƲ=U
-Ƴƴ=Y
-ƵƷƹƻǮȤƶƸƺǯȥ=Z
+# --- fixed values: Latin letters and the capital they sort as ---------------
+LATIN = """
+aÀÁÂÃÄÅÆĀĂĄǠǢǍǞǺǼȀȂȦàáâãäåæāăąǡǣǎǟǻǽȁȃȧ=A
+bƀƁƂƃƄƅ=B
+cÇĆĈĊČƆƇçćĉċčƈ=C
+dĎĐƉƊƋďđƌƍ=D
+eÈÉÊËĒĔĖĘĚƎƏƐȄȆȨèéêëēĕėęěȅȇȩ=E
+fƑƒ=F
+gĜĞĠĢƓǤǦǴĝğġģǥǧǵ=G
+hĤĦǶȞĥħƕǷȟ=H
+iÌÍÎÏĨĪĬĮİĲƖȈȊìíîïĩīĭįıĳƗȉȋ=I
+jĴĵ=J
+kĶƘǨķĸƙǩ=K
+lĹĻĽĿŁĺļľŀłƛƚ=L
+mƜµ=M
+nÑŃŅŇŊƝñńņňŉŋƞ=N
+oÒÓÔÕÖØŌŎŐŒƟƠƢǑǪǬǾȌȎȪȬȮȰòóôõöøōŏőœơƣǒǫǭǿȍȏȫȭȯȱ=O
+pƤƥ=P
+q=Q
+rŔŖŘƦȐȒŕŗřȑȓ=R
+sßŚŜŞŠƧƩȘśŝşšƨƪș=S
+tŢŤŦƬƮȚţťŧƫƭț=T
+uÙÚÛÜŨŪŬŮŰŲƯƱǓǕǗǙǛȔȖùúûüũūŭůűųưƲǔǖǘǚǜȕȗ=U
+v=V
+wŴŵ=W
+x=X
+yÝŶŸƳȲýÿŷƴȳ=Y
+zŹŻŽƵƷƹƻǮȤźżžƶƸƺǯȥ=Z
 """
 
-# --- fixed values: accented Latin letters that keep their own place ---------
-LATIN_UNCHANGED = "ǏǐǰǸǹ"
-
 # --- fixed values: Cyrillic letters and the capital they sort as ------------
 CYRILLIC = """
 а=А

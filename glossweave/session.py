@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
-ARROW_BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
-ARROW_BATCH_DEFAULT = "10000"
-# Pages are large rows: a batch of 10,000 would hold gigabytes on both sides.
-PAGES_PER_ARROW_BATCH = "64"
+WAREHOUSE_CONF = "spark.sql.warehouse.dir"
+# Pages are large rows: a batch by number alone would hold gigabytes on both sides.
+ARROW_BATCH_BYTES = str(16 << 20)
+
+# Folder of the run by application.
+_runs: dict[str, str] = {}
 
 
 def build_session(master: str | None = None, app_name: str = "glossweave", **conf: str) -> SparkSession:
@@ -21,7 +24,7 @@ def build_session(master: str | None = None, app_name: str = "glossweave", **con
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config(ARROW_BATCH_CONF, PAGES_PER_ARROW_BATCH)
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES)
         # Records a call site per Column call, which large expressions feel.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
@@ -32,25 +35,40 @@ def build_session(master: str | None = None, app_name: str = "glossweave", **con
     return builder.getOrCreate()
 
 
-def limit_arrow_batches(spark: SparkSession) -> None:
-    """Lower the Arrow batch size for page rows, unless the user chose one."""
-    if spark.conf.get(ARROW_BATCH_CONF) == ARROW_BATCH_DEFAULT:
-        spark.conf.set(ARROW_BATCH_CONF, PAGES_PER_ARROW_BATCH)
+def name_scratch(spark: SparkSession) -> None:
+    """Name a folder for intermediate tables where the session names none: one in the
+    warehouse, which all executors reach as well."""
+    if not (spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()):
+        spark.conf.set(CHECKPOINT_CONF, spark.conf.get(WAREHOUSE_CONF).rstrip("/") + "/_scratch")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: the one the cluster names.
+    """Folder of this run for intermediate tables, below the shared one that the session names.
 
-    A machine-local folder is only used where the master is local as well.
+    It is removed when the process ends, or by :func:`remove_scratch`.
     """
-    shared = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
-    if shared:
-        return shared.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
-    local = tempfile.mkdtemp(prefix="glossweave-")
-    spark.conf.set(CHECKPOINT_CONF, local)
-    return local
+    application = spark.sparkContext.applicationId
+    if application not in _runs:
+        shared = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
+        if not shared:
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
+        _runs[application] = f"{shared.rstrip('/')}/run-{uuid.uuid4().hex}"
+        atexit.register(_remove_at_exit, spark)
+    return _runs[application]
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete what this run has written for itself; its tables cannot be read afterwards."""
+    folder = _runs.pop(spark.sparkContext.applicationId, None)
+    if folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _remove_at_exit(spark: SparkSession) -> None:
+    # The session may have been stopped before.
+    with suppress(Exception):
+        remove_scratch(spark)
 
 
 def new_scratch_path(spark: SparkSession, label: str) -> str:

@@ -73,7 +73,7 @@ def parse_morphology(texts: DataFrame) -> DataFrame:
     classes = (
         lines.where(F.col("line").rlike("^%[0-9]="))
         .groupBy("lang", F.substring("line", 2, 1).alias("digit"))
-        .agg(F.max_by(F.substring("line", 4, 1 << 20), "line_no").alias("chars"))
+        .agg(F.max_by(F.substr("line", F.lit(4)), "line_no").alias("chars"))
         .groupBy("lang")
         .agg(F.map_from_entries(F.collect_list(F.struct("digit", "chars"))).alias("classes"))
     )

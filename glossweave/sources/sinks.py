@@ -62,11 +62,11 @@ def footer_lines(params: ConvertParams) -> list[Column]:
     return [F.lit("</xdxf_body>"), F.lit("</xdxf>")]
 
 
-def _fixed_rows(spark: SparkSession, section: int, lines: list[Column]) -> DataFrame:
+def _fixed_rows(spark: SparkSession, section: int, lines: list[Column], id_type: str) -> DataFrame:
     rows = spark.range(1).select(F.posexplode(F.array(*lines)).alias("line", "value"))
     return rows.select(
         F.lit(section).alias("section"), "line", F.lit("").alias("word"),
-        F.lit(None).cast("string").alias("page_id"), "value",
+        F.lit(None).cast(id_type).alias("page_id"), "value",
     )
 
 
@@ -77,14 +77,13 @@ def frame_output(entries: DataFrame, params: ConvertParams) -> DataFrame:
     """
     value = render_entry(F.col("word"), F.col("definitions"), params.fmt, params.escape_dsl)
     body = entries.select(
-        F.lit(BODY).alias("section"), F.lit(0).alias("line"), "word",
-        F.col("page_id").cast("string").alias("page_id"), value.alias("value"),
+        F.lit(BODY).alias("section"), F.lit(0).alias("line"), "word", "page_id", value.alias("value"),
     )
-    spark = entries.sparkSession
-    parts = [_fixed_rows(spark, HEADER, header_lines(params)), body]
+    spark, id_type = entries.sparkSession, dict(entries.dtypes)["page_id"]
+    parts = [_fixed_rows(spark, HEADER, header_lines(params), id_type), body]
     footer = footer_lines(params)
     if footer:
-        parts.append(_fixed_rows(spark, FOOTER, footer))
+        parts.append(_fixed_rows(spark, FOOTER, footer, id_type))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -108,14 +107,15 @@ def write_dictionary(
 
 
 def merge_dictionaries(runs: list[DataFrame]) -> DataFrame:
-    """One entry table out of several runs; a later run's entry replaces an earlier one's."""
-    numbered = [
-        run.select(
-            F.col("page_id").cast("string").alias("page_id"), "word", "definitions",
-            F.lit(i).alias("run"),
-        )
-        for i, run in enumerate(runs)
-    ]
-    newest = F.max_by(F.struct("page_id", "definitions"), F.struct("run", "page_id"))
-    merged = reduce(DataFrame.unionByName, numbered).groupBy("word").agg(newest.alias("entry"))
-    return merged.select("entry.page_id", "word", "entry.definitions")
+    """One entry table out of several runs: the entries of a word are those of the last run that has it.
+
+    All of that run's entries of the word stay. Definitions of the last run are
+    not shuffled, those of earlier runs once for each run after them. A run is
+    read again for its words, so runs should be stored tables.
+    """
+    columns = ["page_id", "word", "definitions"]
+    merged = runs[0].select(*columns)
+    for run in runs[1:]:
+        later = run.select("word").distinct()
+        merged = merged.join(later, "word", "left_anti").select(*columns).unionByName(run.select(*columns))
+    return merged

@@ -15,13 +15,14 @@ TABLES = (
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "local[8]",
         app_name="tests",
         spark__ui__enabled="false",
         spark__sql__shuffle__partitions="8",
         spark__driver__memory="6g",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("scratch")),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

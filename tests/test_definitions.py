@@ -95,7 +95,7 @@ def test_virtual_spans_agree_with_window_form(spark, pages):
             expected[pre] = later[0] - 1 if later else nodes[parent].fin
     assert spans == expected
     table = spark.createDataFrame([(0, *h) for h in heads], "page_id int, pre int, parent int, tag string")
-    for r in D.section_ends(table).where("tag <> 'h2'").collect():
+    for r in D.section_ends(table.withColumn("content", F.col("tag"))).where("tag <> 'h2'").collect():
         assert (r.stop - 1 if r.stop is not None else nodes[r.parent].fin) == expected[r.pre]
 
 

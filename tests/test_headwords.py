@@ -32,15 +32,18 @@ def test_sort(words):
     assert got == expected_order(words)
 
 
-@pytest.mark.parametrize("bound", [H.TOP_N_BOUND, 0])
 @pytest.mark.parametrize("n", [1, 1500, 3000, 5000])
-def test_limit(words, monkeypatch, bound, n):
-    """Both ways of finding the last kept row give the same rows."""
-    monkeypatch.setattr(H, "TOP_N_BOUND", bound)
+def test_limit(words, n):
     kept = {r.page_id for r in H.limit_pages(words, n).collect()}
     assert kept == {i for _, _, i in expected_order(words)[:n]}
 
 
+def test_no_task_gathers_the_rows_of_a_limit(words):
+    """One plan for every limit: nothing takes the first n rows into one task."""
+    plans = [H.limit_pages(words, n)._jdf.queryExecution().executedPlan().toString() for n in (2, 2_000_000_000)]
+    assert not any(op in plan for plan in plans for op in ("TakeOrdered", "GlobalLimit", "CollectLimit"))
+
+
 def test_no_limit(words):
     assert H.limit_pages(words, 0) is words
 

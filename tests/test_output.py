@@ -110,19 +110,28 @@ def test_many_entries_stay_in_order(spark, tmp_path, uncoalesced):
     write_dictionary(rows, ConvertParams("en", "en", fmt="lingvo"), str(tmp_path / "out"))
     lines = joined_parts(tmp_path / "out").split("\n")
     heads = lines[5::3][:20000]
-    expected = sorted(((r.word.lower(), r.word, str(r.page_id)) for r in rows.collect()))
+    expected = sorted(((r.word.lower(), r.word, r.page_id) for r in rows.collect()))
     assert heads == [w for _, w, _ in expected]
-    assert [d.strip() for d in lines[7::3]][:20000] == [i for _, _, i in expected]
+    assert [d.strip() for d in lines[7::3]][:20000] == [str(i) for _, _, i in expected]
     # A third of the rows is one word, yet no part holds more than a share of it.
     hot = [open(p).read().count("hot\n") for p in glob.glob(f"{tmp_path}/out/part-*")]
     assert sum(hot) == 6667 and max(hot) < 6667
 
 
 def test_merge_keeps_the_later_run(spark):
-    first = spark.createDataFrame(ENTRIES, TYPE)
-    second = spark.createDataFrame([(9, "apple", [("Verb", ["new"])]), (8, "pear", [("Noun", ["p"])])], TYPE)
-    merged = {r.word: [d.pos for d in r.definitions] for r in merge_dictionaries([first, second]).collect()}
-    assert merged == {"zebra": ["Noun"], "Ice_cream": ["Noun", "Verb [v]"], "apple": ["Verb"], "pear": ["Noun"]}
+    first = spark.createDataFrame([*ENTRIES, (10, "zebra", [("Noun", ["again"])])], TYPE)
+    second = spark.createDataFrame([(9, "apple", [("Verb", ["new"])]), (8, "pear", [("Noun", ["p"])]), (10, "apple", [])], TYPE)
+    third = spark.createDataFrame([(1, "pear", [("Noun", ["q"])])], TYPE)
+
+    def merged(*runs):
+        frame = merge_dictionaries(list(runs))
+        assert dict(frame.dtypes)["page_id"] == "bigint"
+        return sorted((r.word, r.page_id) for r in frame.collect())
+
+    kept = [("Ice_cream", 1), ("apple", 9), ("apple", 10), ("pear", 8), ("zebra", 3), ("zebra", 10)]
+    assert merged(first, second) == kept
+    assert merged(first, second, third) == sorted([*(k for k in kept if k[0] != "pear"), ("pear", 1)])
+    assert merged(second) == [("apple", 9), ("apple", 10), ("pear", 8)]
 
 
 def test_convert_directory(spark, tmp_path):
@@ -136,16 +145,17 @@ def test_convert_directory(spark, tmp_path):
         (source / name).write_text(page.format(name.replace("<", "")), encoding="utf-8")
     (source / "broken").write_bytes(b"\xff\xfe<ol>")
     (source / "empty").write_bytes(b"")
+    (source / "_under").write_text(page.format("u"))
     (source / "sub").mkdir()
     (source / "sub" / "deep").write_text(page.format("deep"))
     params = ConvertParams("en", "en", fmt="lingvo", scripts=("latin",), batch_size=3)
     stats = convert(scan_page_dir(spark, str(source)), params, str(tmp_path / "out"))
     assert joined_parts(tmp_path / "out").split("\n")[5:] == [
-        "a b", "  [c]Noun[/c]", "  a b", "Alpha b", "  [c]Noun[/c]", "  Alpha_b",
+        " under", "  [c]Noun[/c]", "  u", "a b", "  [c]Noun[/c]", "  a b", "Alpha b", "  [c]Noun[/c]", "  Alpha_b",
         "beta", "  [c]Noun[/c]", "  beta", "e.g.", "  [c]Noun[/c]", "  e.g.", "",
     ]
-    # "broken" has no text to show; Spark does not list the empty file at all.
-    assert {(r.batch, r.processed, r.skipped) for r in stats.collect()} == {(0, 3, 0), (1, 1, 1)}
+    # "broken" and "empty" have no text to show.
+    assert {(r.batch, r.processed, r.skipped) for r in stats.collect()} == {(0, 3, 0), (1, 2, 1), (2, 0, 1)}
     limited = ConvertParams("en", "en", fmt="lingvo", limit=2)
     convert(scan_page_dir(spark, str(source)), limited, str(tmp_path / "two"))
     # "100%" is first in the order of names, then "a b".

@@ -82,9 +82,26 @@ def test_morphology_file(spark, tmp_path):
     ]
 
 
+def test_hot_tails_and_words_without_a_key(spark):
+    """Rules with an empty tail meet every word of the language; signs alone match no headword."""
+    rules = R.parse_morphology(spark.createDataFrame([("t", "%1=ab\n^1=.x")], "lang string, text string"))
+    words = spark.createDataFrame([("t", f"w{i}a") for i in range(500)] + [("t", "...")], "lang string, word string")
+    found = M.lemma_candidates(words, rules)
+    assert found.where("rule_no > 0").count() == 500 and found.where("rule_no = 0").count() == 501
+    heads = spark.createDataFrame([("t", "-"), ("t", "W7AX")], "lang string, word string")
+    hits = M.lemma_lookup(found, heads, {"t": C.latin_collation()}).collect()
+    assert [(r.word, r.headword, r.rule_no) for r in hits] == [("w7a", "W7AX", 2)]
+
+
+def test_collation_per_language(spark):
+    rows = spark.createDataFrame([("rus", "ёж"), ("eng", "ÉA"), ("zz", "é")], "lang string, word string")
+    key = C.language_key(F.col("lang"), F.col("word"), {"rus": C.cyrillic_collation(), "eng": C.latin_collation()})
+    assert [r.key for r in rows.select(key.alias("key")).collect()] == ["ЕЖ", "EA", "é"]
+
+
 def test_lookup_prefers_the_word_itself(spark):
     words = spark.createDataFrame([("eng", "cats"), ("eng", "flies"), ("eng", "zzz")], "lang string, word string")
     heads = spark.createDataFrame([("eng", "Cat"), ("eng", "CATS"), ("eng", "fly")], "lang string, word string")
-    found = M.lemma_lookup(M.lemma_candidates(words, R.builtin_morphology(spark)), heads, C.latin_collation())
+    found = M.lemma_lookup(M.lemma_candidates(words, R.builtin_morphology(spark)), heads, {"eng": C.latin_collation()})
     # Capitals are not folded by the rules, only lower case and accents are.
     assert {(r.word, r.headword) for r in found.collect()} == {("cats", "CATS"), ("flies", "fly")}

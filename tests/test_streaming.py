@@ -17,9 +17,10 @@ def test_slices_and_resume(spark, tmp_path):
         (source / f"word{i}").write_text(PAGE.format(i) if i else "nothing")
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "checkpoint")
     params = ConvertParams("en", "en")
+    names = str(tmp_path / "names")
 
     def run():
-        ingest_batches(stream_page_dir(spark, str(source), 2), params, out, checkpoint)
+        ingest_batches(stream_page_dir(spark, str(source), 2, names), params, out, checkpoint)
         return read_outcomes(spark, out)
 
     stats = batch_stats(run()).collect()
@@ -31,3 +32,17 @@ def test_slices_and_resume(spark, tmp_path):
     assert outcomes.count() == 6
     late = outcomes.where(F.col("word") == "word9").select("definitions").first()[0]
     assert late[0].defs == ["nine"]
+
+
+def test_selection_comes_before_batches(spark, tmp_path):
+    source = tmp_path / "pages"
+    source.mkdir()
+    for name in ("word", "слово", "zeta", "_under", "x.html", "alpha"):
+        (source / name).write_text(PAGE.format(name), encoding="utf-8")
+    (source / "none").write_text("")
+    out = str(tmp_path / "out")
+    params = ConvertParams("en", "en", scripts=("latin",))
+    ingest_batches(stream_page_dir(spark, str(source), 3, str(tmp_path / "names")), params, out, str(tmp_path / "checkpoint"))
+    rows = {r.word: r.has_entry for r in read_outcomes(spark, out).collect()}
+    assert rows == {"word": True, "zeta": True, "_under": True, "alpha": True, "none": False}
+    assert {r.word for r in read_outcomes(spark, out, limit=2).collect()} == {"_under", "alpha"}
