@@ -4,7 +4,122 @@ from __future__ import annotations
 
 WORDS = r"len(regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+'))"
 
+# The letters of base32, five bits each; and the table of the CRC-32 polynomial.
+BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+def crc_table() -> list[int]:
+    out = []
+    for value in range(256):
+        for _ in range(8):
+            value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+        out.append(value)
+    return out
+
+
+def base32(digest: str) -> str:
+    """Base32 of a SHA-1 in hexadecimal: eight times five digits, four letters each."""
+    part = f"('0x' || substr({digest}, 5 * i + 1, 5))::BIGINT"
+    letters = " || ".join(f"substr('{BASE32}', CAST(({part} >> {shift}) & 31 AS BIGINT) + 1, 1)" for shift in (15, 10, 5, 0))
+    return f"array_to_string(list_transform(range(0, 8), lambda i: {letters}), '')"
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of the UTF-8 bytes of a text; ``crc_table`` is a column of the query."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)"
+    step = "xor(a >> 8, list_extract(crc_table, (xor(a, b) & 255) + 1))"
+    return f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda a, b: {step}))"
+
+
 ORACLES: dict[str, str] = {
+    "op1_warc_dictionary": f"""
+    WITH same AS (
+        SELECT page_id, coalesce(html, '') AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS response_id
+        FROM pages),
+    digests AS (SELECT *, sha1(payload) AS sha FROM same)
+    SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, {base32("sha")} AS payload_digest,
+        CASE WHEN page_id = response_id THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id <> response_id THEN response_id END AS refers_to
+    FROM digests
+    """,
+    "op2_host_rules": r"""
+    WITH docs AS (
+        SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+        FROM documents),
+    windows AS (
+        SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS shown
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM docs)),
+    repeated AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, shown) > 1),
+    covered AS (
+        SELECT doc_id, count(DISTINCT i + k) AS n FROM repeated CROSS JOIN range(0, 5) AS t(k) GROUP BY doc_id),
+    measured AS (
+        SELECT d.doc_id, source, CAST(len(words) AS BIGINT) AS n_words,
+            CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+            CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+            list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+            coalesce(c.n, 0) AS n_repeat_words
+        FROM docs d LEFT JOIN covered c ON d.doc_id = c.doc_id),
+    judged AS (
+        SELECT doc_id, source, n_words, word_chars, n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
+            CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+            n_words < 10 OR n_repeat_words * 100 > n_words * 20 AS base_failed
+        FROM measured),
+    hosts AS (
+        SELECT source, count(*) AS n,
+            count(*) FILTER (WHERE base_failed OR n_symbols * 100 > word_chars * 10 OR n_dup_lines * 100 > n_lines * 30) AS failed
+        FROM judged WHERE source IS NOT NULL GROUP BY source),
+    sums AS (
+        SELECT CAST(sum(n) AS DOUBLE) AS n, CAST(sum(failed) AS DOUBLE) / sum(n) AS mean, count(*) AS hosts,
+            sum(CAST(failed AS DOUBLE) * failed / n) AS squares FROM hosts),
+    spread AS (SELECT *, mean * (1 - mean) AS one, squares / n - mean * mean - mean * (1 - mean) * (hosts - 1) / n AS two FROM sums),
+    prior AS (SELECT mean, CASE WHEN two > 0 AND one > 0 THEN least(n, one / two) ELSE n END AS weight FROM spread),
+    rates AS (SELECT source, (failed + mean * weight) / (n + weight) AS host_rate FROM hosts CROSS JOIN prior)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed,
+        round(host_rate, 6) AS host_rate, NOT base_failed AND coalesce(host_rate <= 0.5, true) AS kept
+    FROM judged j LEFT JOIN rates r ON j.source = r.source
+    """,
+    "op6_jump_sharding": f"""
+    WITH RECURSIVE steps AS (
+        SELECT doc_id, n, CASE WHEN doc_id < 0 THEN CAST(doc_id AS HUGEINT) + 18446744073709551616 ELSE CAST(doc_id AS HUGEINT) END AS state,
+            CAST(-1 AS BIGINT) AS bucket, CAST(0 AS BIGINT) AS ahead
+        FROM documents CROSS JOIN (VALUES (8), (9)) AS s(n)
+        UNION ALL
+        SELECT doc_id, n, state, ahead,
+            CAST(floor((ahead + 1) * (2147483648.0::DOUBLE / CAST(state // 8589934592 + 1 AS DOUBLE))) AS BIGINT)
+        FROM (SELECT doc_id, n, ahead, (state * 2862933555777941757 + 1) % 18446744073709551616 AS state FROM steps WHERE ahead < n)),
+    placed AS (
+        SELECT doc_id, CAST(max(bucket) FILTER (WHERE n = 8) AS INTEGER) AS shard,
+            CAST(max(bucket) FILTER (WHERE n = 9) AS INTEGER) AS grown_shard
+        FROM steps WHERE ahead >= n GROUP BY doc_id),
+    sized AS (
+        SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, {crc32("coalesce(text, '')")} AS text_crc32
+        FROM documents CROSS JOIN (SELECT {crc_table()}::BIGINT[] AS crc_table))
+    SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+        row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard
+    FROM sized JOIN placed USING (doc_id)
+    """,
+    "op7_cover_suffixes": """
+    WITH coded AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+    strings AS (
+        SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM coded)),
+    later AS (SELECT doc_id, i FROM strings QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+    begun AS (
+        SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS new FROM later),
+    numbered AS (SELECT doc_id, i, sum(CAST(new AS INTEGER)) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM begun),
+    spans AS (SELECT doc_id, span, min(i) AS start, max(i) + 100 AS stop FROM numbered GROUP BY doc_id, span),
+    pieces AS (
+        SELECT s.doc_id, start, stop,
+            substr(h, 2 * coalesce(lag(stop) OVER before, 0) + 1, 2 * (start - coalesce(lag(stop) OVER before, 0))) AS piece, h, n
+        FROM spans s JOIN coded c ON s.doc_id = c.doc_id
+        WINDOW before AS (PARTITION BY s.doc_id ORDER BY start)),
+    joined AS (
+        SELECT doc_id, sum(stop - start) AS n_removed, count(*) AS n_spans,
+            string_agg(piece, '' ORDER BY start) || substr(any_value(h), 2 * max(stop) + 1) AS kept
+        FROM pieces GROUP BY doc_id)
+    SELECT c.doc_id, CAST(c.n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+        CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+    FROM coded c LEFT JOIN joined j ON c.doc_id = j.doc_id
+    """,
     "op9_curriculum_mix": f"""
     WITH sized AS (
         SELECT doc_id, source, CAST({WORDS.format(text="text")} AS BIGINT) AS size,

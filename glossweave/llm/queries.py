@@ -35,7 +35,8 @@ def op1_warc_dictionary(spark, sf):
 
 @query
 def op2_host_rules(spark, sf):
-    return host_rules.judge_documents(table(spark, sf, "documents"))
+    judged = host_rules.judge_documents(table(spark, sf, "documents"))
+    return judged.withColumn("host_rate", F.round("host_rate", 6))
 
 
 @query
