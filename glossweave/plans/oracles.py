@@ -665,3 +665,14 @@ ORACLES["streamed_counts"] = f"""
 SELECT slice, count(*) FILTER (WHERE lang = 'fr') AS processed, count(*) FILTER (WHERE lang <> 'fr') AS skipped
 FROM ({_STREAMED}) GROUP BY slice
 """
+
+# --- SQL names --------------------------------------------------------------
+ORACLES["sql_functions"] = f"""
+SELECT doc_id, {strip('text')} AS stripped, {escape('text')} AS escaped, source || ' x' AS word, source || '\\"' AS quoted,
+    {capitalized('source')} AS capitalized, contains(lower(text), 'the') AS has_the, {lang_name('lang')} AS language,
+    source || ' (' || {lang_name('lang')} || '-Russian)' AS title, source AS stem,
+    regexp_replace(text, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS letters, true AS is_page,
+    {translated('text', 'eng')} AS latin_key, {translated('text', 'rus')} AS cyrillic_key,
+    regexp_matches(text, '^[{_class_body('latin')}]') AS latin, regexp_matches(text, '^[{_class_body('greek')}]') AS greek
+FROM documents
+"""

@@ -21,6 +21,7 @@ from ..functions.scripts import (
     script_counts,
     stem,
 )
+from ..functions.sql_names import register_functions
 from ..operators import definitions as D
 from ..operators import headwords as H
 from ..operators import morphology as M
@@ -167,6 +168,25 @@ def text_strip(spark, sf):
     return _documents(spark, sf).select("doc_id", X.strip(padded).alias("stripped"))
 
 
+@query
+def sql_functions(spark, sf):
+    """The scalar functions called by their SQL names."""
+    register_functions(spark)
+    return spark.sql(
+        """
+        SELECT doc_id, gw_strip(text) AS stripped, gw_html_escape(text) AS escaped,
+            gw_headword(concat(source, '_x')) AS word, gw_dsl_quote(concat(source, '"')) AS quoted,
+            gw_capitalize(source) AS capitalized, gw_contains_ci(text, 'THE') AS has_the,
+            gw_language_name(lang) AS language, gw_dictionary_name(source, lang, 'ru', '') AS title,
+            gw_stem(concat(source, '.x')) AS stem, gw_alphanumeric(text) AS letters,
+            gw_is_page_name(source) AS is_page, gw_latin_key(text) AS latin_key,
+            gw_cyrillic_key(text) AS cyrillic_key, gw_is_latin(text) AS latin, gw_is_greek(text) AS greek
+        FROM {documents}
+        """,
+        documents=_documents(spark, sf),
+    )
+
+
 # --- names and scripts ------------------------------------------------------
 
 @query
