@@ -12,7 +12,7 @@ columns cannot clash.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,12 +31,12 @@ MAX_HOST_RATE = 0.5
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 SYMBOLS = b"#*$%&|<>"
 #: Words measured together; a longer document is measured alone.
-GROUP_WORDS = 1_000_000
+GROUP_WORDS = 200_000
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
-def grouped_words(texts: list[str | None], limit: int = GROUP_WORDS) -> Iterator[tuple[int, list[list[bytes]], list[bytes]]]:
+def grouped_words(texts: Iterable[str | None], limit: int = GROUP_WORDS) -> Iterator[tuple[int, list[list[bytes]], list[bytes]]]:
     """Runs of texts of about ``limit`` words: first index, words of each, UTF-8 of each."""
     first, words, coded, count = 0, [], [], 0
     for i, text in enumerate(texts):

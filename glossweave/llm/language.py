@@ -38,7 +38,7 @@ SMOOTHING = 0.5
 AMBIGUITY = 0.05
 #: Steepness of the score over losses.
 STEEPNESS = 4.0
-GROUP_WORDS = 500_000
+GROUP_WORDS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,7 +97,7 @@ def word_cells(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _numbered(texts: list[str | None]):
     """Groups of texts: first index, number of texts, distinct words, word and text of every word."""
-    for first, words, _ in grouped_words([t.lower() if t else t for t in texts], GROUP_WORDS):
+    for first, words, _ in grouped_words((t.lower() if t else t for t in texts), GROUP_WORDS):
         lengths = np.array([len(w) for w in words], np.int64)
         flat = np.empty(int(lengths.sum()), object)
         flat[:] = [w for own in words for w in own]

@@ -226,7 +226,7 @@ def passage_counts(stored: DataFrame, size: int) -> tuple[int, np.ndarray]:
     def count(batches):
         total, with_term = 0, np.zeros(size, np.int64)
         for batch in batches:
-            for places in _groups(batch, 0, 1, 2, None, 1_000_000):
+            for places in _groups(batch, 0, 1, 2, None, 200_000):
                 rows = passage_rows(places, None, size)
                 total += rows.rows
                 with_term += np.bincount(rows.term, minlength=size)
