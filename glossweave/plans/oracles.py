@@ -633,6 +633,7 @@ QUALIFY row_number() OVER (PARTITION BY c.lang, c.word ORDER BY c.rule_no, c.lef
 
 # --- sources ----------------------------------------------------------------
 ORACLES["packed_scan"] = "SELECT page_id, url AS word, html FROM pages"
+ORACLES["packed_selection"] = f"SELECT page_id, word FROM ({selected(CONVERT_XDXF.scripts, CONVERT_LIMIT)})"
 ORACLES["page_dir_roundtrip"] = """
 SELECT 'word ' || page_id AS word, html FROM pages
 UNION ALL SELECT '_' || page_id, html FROM pages

@@ -38,6 +38,7 @@ from ..operators.sections import with_section
 from ..params import ConvertParams
 from ..session import cut, new_scratch_path
 from ..rule_texts import MORPHOLOGY
+from ..sources.packed import pack_pages, scan_packed
 from ..sources.pages import scan_page_dir, scan_pages, spread, stream_page_dir
 from ..sources.rules import builtin_morphology, scan_collation, scan_morphology
 from ..sources.sinks import frame_output, merge_dictionaries, write_dictionary
@@ -712,6 +713,15 @@ def packed_scan(spark, sf):
     return scan_pages(spark, f"{sf}/pages.parquet", word="url")
 
 
+@query
+def packed_selection(spark, sf):
+    """Pages of two scripts and a limit from a packed table, found by its layout."""
+    path = new_scratch_path(spark, "packed")
+    pack_pages(_dictionary_pages(spark, sf), path)
+    found = scan_packed(spark, path, CONVERT_XDXF.scripts, CONVERT_LIMIT)
+    return found.select("page_id", "word")
+
+
 @query
 def page_dir_roundtrip(spark, sf):
     """Plain names, names with an underscore first, names with a suffix (no pages), and a file without content."""

@@ -5,6 +5,7 @@ import pytest
 from glossweave import ConvertParams
 from glossweave.plans.convert import select_pages
 from glossweave.plans.queries import QUERIES
+from glossweave.sources.packed import pack_pages, scan_packed
 from glossweave.sources.pages import scan_page_dir, spread
 
 
@@ -29,6 +30,27 @@ def test_names_are_tested_before_bodies_are_read(spark, tmp_path):
     assert [r.word for r in pages.collect()] == ["слово"]
 
 
+def test_packed_tables_skip_what_names_exclude(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    word = F.when(F.col("id") % 2 == 0, F.concat(F.lit("слово"), F.lpad(F.col("id").cast("string"), 6, "0"))).otherwise(
+        F.concat(F.lit("word"), F.col("id").cast("string"))
+    )
+    pages = spark.range(20_000).select(F.col("id").alias("page_id"), word.alias("word"), F.sha2(F.col("id").cast("string"), 512).alias("html"))
+    path = str(tmp_path / "packed")
+    pack_pages(pages, path, row_group_bytes=64 << 10)
+    found = scan_packed(spark, path, ["cyrillic"], 100)
+    assert sorted(r.page_id for r in found.collect()) == list(range(0, 200, 2))
+    plan = plan_of(found)
+    assert "PartitionFilters: [(arrays_overlap" in plan and "scripts" in plan
+    assert scan_packed(spark, path, ["all"]).count() == 20_000
+    assert scan_packed(spark, path, ["greek"], 5).count() == 0
+    # By statistics alone: the bound on the stored column leaves few row groups.
+    bound = spark.read.parquet(path).where("lowered <= 'слово000200' and lowered > 'слово'")
+    metrics = bound._jdf.queryExecution()
+    assert "PushedFilters" in metrics.executedPlan().toString() and "LessThanOrEqual(lowered" in metrics.executedPlan().toString()
+
+
 def test_spread_is_off_by_default_and_bounded(spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     assert spread(table) is table
