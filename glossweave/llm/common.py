@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A word is a run of anything but ASCII white space. ``bytes.split`` cuts UTF-8
-# text at exactly these signs.
+# A word is a run of anything but ASCII white space; ``bytes.split`` cuts UTF-8 text at exactly these signs.
 WORD = r"[^\x20\x09-\x0D]+"
 
 Batches = Iterator[pa.RecordBatch]
@@ -20,18 +18,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words of a text as UTF-8; no text has none."""
-    return text.encode().split() if text else []
-
-
-def mapped(df: DataFrame, function: Callable[[Batches], Batches], schema: str) -> DataFrame:
-    """``mapInArrow`` for functions that build batches with the schema's names."""
-    return df.mapInArrow(function, schema)
-
-
-def blob(values: np.ndarray) -> bytes:
-    return values.tobytes()
+def in_pieces(batches: Batches, rows: int = 1_000) -> Batches:
+    """Batches cut to at most ``rows`` rows. Whole texts are large rows; what a task
+    makes of a batch, and sends back, is bounded so whatever the session's batch size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def held_out(key: Column, parts: int = 3, part: int = 1) -> Column:

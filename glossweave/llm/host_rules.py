@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .common import in_pieces
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -104,7 +105,7 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", source: s
     kinds = dict(narrow.dtypes)
 
     def run(batches):
-        for batch in batches:
+        for batch in in_pieces(batches):
             for first, words, coded in grouped_words(batch.column(2).to_pylist()):
                 kept = batch.slice(first, len(words))
                 found = measure(words, coded)

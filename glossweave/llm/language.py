@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, in_pieces
 from .host_rules import grouped_words
 
 UNKNOWN = "und"
@@ -110,7 +110,7 @@ def count_ngrams(rows: DataFrame) -> DataFrame:
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in in_pieces(batches):
             langs = batch.column(0).to_pylist()
             for first, n, distinct, codes, of in _numbered(batch.column(1).to_pylist()):
                 if not len(distinct):
@@ -196,7 +196,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
     at = read.index(text)
 
     def run(batches):
-        for batch in batches:
+        for batch in in_pieces(batches):
             texts = batch.column(at).to_pylist()
             known = [bool(model.languages) and t is not None and any(map(str.isalpha, t)) for t in texts]
             best, score, close = (

@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .common import in_pieces
 
 PASSAGE = 64
 STEP = PASSAGE // 2
@@ -115,7 +116,7 @@ def places_of_terms(docs: DataFrame, vocabulary: dict[bytes, int], key: str, tex
 
     def run(batches):
         get = vocabulary.get
-        for batch in batches:
+        for batch in in_pieces(batches):
             counts, offsets, ats, terms = [], [0], [], []
             for body in batch.column(1).to_pylist():
                 words = terms_of(body)

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .common import in_pieces
 from .host_rules import grouped_words
 
 # In the order in which kinds are listed.
@@ -178,7 +179,7 @@ def read_texts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches):
         totals: dict[str, int] = {}
-        for batch in batches:
+        for batch in in_pieces(batches):
             texts = batch.column(2).to_pylist()
             rows = []
             for row, same, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
@@ -303,7 +304,7 @@ def sanitise(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str =
     rows = docs.select(key, F.col(text).alias("text")).join(one, key, "left")
 
     def run(batches):
-        for batch in batches:
+        for batch in in_pieces(batches):
             texts = []
             for body, spans, terms in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3))):
                 cuts = [(s["start"], s["stop"], f"[{KINDS[s['kind']].upper()}]") for s in spans or []]

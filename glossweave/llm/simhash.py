@@ -36,6 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .common import in_pieces
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -76,7 +77,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     narrow = docs.select(F.col(key).alias(key), F.col(text).alias("text"))
 
     def run(batches):
-        for batch in batches:
+        for batch in in_pieces(batches):
             values = []
             for body in batch.column(1).to_pylist():
                 # Bytes are lower-cased in A-Z alone.
