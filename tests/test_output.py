@@ -158,5 +158,5 @@ def test_convert_directory(spark, tmp_path):
     assert {(r.batch, r.processed, r.skipped) for r in stats.collect()} == {(0, 3, 0), (1, 2, 1), (2, 0, 1)}
     limited = ConvertParams("en", "en", fmt="lingvo", limit=2)
     convert(scan_page_dir(spark, str(source)), limited, str(tmp_path / "two"))
-    # "100%" is first in the order of names, then "a b".
-    assert joined_parts(tmp_path / "two").split("\n")[5::3][:2] == ["100%", "a b"]
+    # "100%" is first in the order of names, then "_under".
+    assert joined_parts(tmp_path / "two").split("\n")[5::3][:2] == ["100%", " under"]

@@ -5,7 +5,7 @@ import pytest
 import __spark_entry__ as contract
 
 QUERIES, ORACLES = contract.queries(), contract.oracle_sql()
-TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "BOOLEAN": "boolean"}
+TYPES = {"BIGINT": "bigint", "INTEGER": "int", "VARCHAR": "string", "BOOLEAN": "boolean", "DOUBLE": "double"}
 
 
 def rows_by_name(rows, columns):
