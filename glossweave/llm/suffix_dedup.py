@@ -310,8 +310,10 @@ def later_suffixes(group: pa.Table) -> pa.Table:
     starts = np.cumsum(lengths) - lengths
     taken = lengths[order]
     place = np.repeat(starts[order], taken) + np.arange(len(key)) - np.repeat(np.cumsum(taken) - taken, taken)
-    later = np.empty(len(key), bool)
-    later[place] = pd.Series(key[place]).duplicated(keep="first").to_numpy()
+    # Stable, so that equal keys stay in the order of documents.
+    ranked = place[np.argsort(key[place], kind="stable")]
+    later = np.zeros(len(key), bool)
+    later[ranked[1:]] = key[ranked[1:]] == key[ranked[:-1]]
     edges = np.cumsum([0, *map(len, keys)])
     return _reply(numbers, group["bucket"][0].as_py(), [later[s:e] for s, e in zip(edges, edges[1:])])
 
