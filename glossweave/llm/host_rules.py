@@ -164,7 +164,8 @@ def judge_documents(
 ) -> DataFrame:
     """Rows (key, measures..., base_failed, host_rate, kept)."""
     rows = cut(measured(docs, key, text, source), "measured")
-    rates = host_rates(rows).select("source", F.col("rate").alias("host_rate"))
+    # A table of known size: few hosts are broadcast, and rows are not dealt out by host for them.
+    rates = cut(host_rates(rows).select("source", F.col("rate").alias("host_rate")), "host-rates")
     rejected = F.coalesce(F.col("host_rate") > max_host_rate, F.lit(False))
     return rows.join(rates, "source", "left").select(
         key, *MEASURES, base_failed().alias("base_failed"), "host_rate",

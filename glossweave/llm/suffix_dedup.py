@@ -132,7 +132,9 @@ def whole_copies(chunks: DataFrame) -> DataFrame:
     )
     place = F.struct("id", "chunk", "at")
     first = rows.groupBy("digest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return rows.join(first.select("digest", "first"), "digest").where(place != F.col("first")).select("chunk", "at")
+    # Written first, so that the join may split a digest that very many documents share.
+    first = cut(first.select("digest", "first"), "copied-digests")
+    return rows.join(first, "digest").where(place != F.col("first")).select("chunk", "at")
 
 
 # --- looking up answers -----------------------------------------------------
