@@ -701,7 +701,7 @@ def lemma_candidates(spark, sf):
 
 @query
 def lemma_lookup(spark, sf):
-    candidates = M.lemma_candidates(_ruled_words(spark, sf, _texts(spark, sf)), builtin_morphology(spark))
+    candidates = M.lemma_candidates(_ruled_words(spark, sf, _texts(spark, sf)), cut(builtin_morphology(spark), "rules"))
     headwords = _ruled_words(spark, sf, _all_rule_languages(table(spark, sf, "benchmark")))
     return M.lemma_lookup(candidates, headwords, {lang: builtin_collation(lang) for lang in MORPHOLOGY})
 

@@ -16,7 +16,7 @@ from ..session import cut
 
 # Bytes and files of one task that reads page files.
 TASK_BYTES = 32 << 20
-TASK_FILES = 1_000
+TASK_FILES = 250
 NAMES = "word string, length long"
 
 
@@ -134,4 +134,5 @@ def stream_page_dir(spark: SparkSession, path: str, files_per_batch: int, names:
     slices = placed.select("word", (F.floor(F.col("position") / files_per_batch) + start).cast("long").alias("slice"))
     slices.repartition("slice").write.mode("append").partitionBy("slice").parquet(names)
     stream = spark.readStream.schema("word string, slice long").option("maxFilesPerTrigger", 1).parquet(names)
-    return _with_bodies(stream, path, "slice")
+    # A slice of names is one file; its pages are read and parsed by several tasks.
+    return _with_bodies(stream.repartition(ceil(files_per_batch / TASK_FILES)), path, "slice")
