@@ -54,7 +54,7 @@ PERIOD = 73
 # Every difference modulo 73 is one of these less another.
 COVER = (0, 1, 3, 7, 15, 31, 36, 54, 63)
 SAMPLE_LENGTH = LENGTH - PERIOD + 1
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
 KEY_BYTES = 7
 NO_ID = -(1 << 63)

@@ -33,7 +33,7 @@ def test_cover_has_every_difference():
     assert {(a - b) % S.PERIOD for a in S.COVER for b in S.COVER} == set(range(S.PERIOD))
 
 
-@pytest.mark.parametrize("sizes", [(4 << 20, 16 << 20), (20_000, 30_000), (1, 5_000)])
+@pytest.mark.parametrize("sizes", [(2 << 20, 16 << 20), (20_000, 30_000), (1, 5_000)])
 def test_whole_table(tables, monkeypatch, sizes):
     monkeypatch.setattr(S, "CHUNK_BYTES", sizes[0])
     monkeypatch.setattr(S, "BUCKET_BYTES", sizes[1])
