@@ -57,6 +57,8 @@ SAMPLE_LENGTH = LENGTH - PERIOD + 1
 CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 16 << 20
 KEY_BYTES = 7
+#: Chunks whose answers share a file.
+SLOT_CHUNKS = 8
 NO_ID = -(1 << 63)
 
 _BASE = 0x9E3779B97F4A7C15
@@ -139,21 +141,33 @@ def whole_copies(chunks: DataFrame) -> DataFrame:
 
 # --- looking up answers -----------------------------------------------------
 
-def store_by_chunk(df: DataFrame, label: str) -> str:
-    """Write rows in the order of chunks, so that a task can read those of its own."""
-    path = new_scratch_path(df.sparkSession, label)
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    df.repartitionByRange(parts, "chunk").sortWithinPartitions("chunk").write.parquet(path)
-    return path
+class Answers(NamedTuple):
+    """A table whose rows a task can look up by chunk: a folder, and one file in it for each slot of chunks."""
+    path: str
+    slots: int
+
+    def of(self, chunk: int) -> list[dict]:
+        """Rows of a chunk: one file is opened, and read as far as its statistics say."""
+        store, root = fs.FileSystem.from_uri(self.path)
+        folder = f"{root}/slot={slot_of(chunk, self.slots)}"
+        if store.get_file_info(folder).type == fs.FileType.NotFound:
+            return []
+        found = pads.dataset(folder, filesystem=store, format="parquet")
+        return found.to_table(filter=pads.field("chunk") == chunk).to_pylist()
+
 
+def slot_of(chunk, slots: int):
+    """Slot of a chunk, of a number or a column: partition and running number mixed."""
+    if isinstance(chunk, int):
+        return ((chunk >> 32) * 31 + (chunk & 0xFFFFFFFF)) % slots
+    return F.pmod(F.shiftright(chunk, 32) * 31 + chunk.bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(slots))
 
-def rows_of_chunk(path: str, chunk: int) -> list[dict]:
-    """Rows of a chunk from a table of :func:`store_by_chunk`, by the files' statistics."""
-    store, root = fs.FileSystem.from_uri(path)
-    found = pads.dataset(root, filesystem=store, format="parquet", exclude_invalid_files=False)
-    if "chunk" not in found.schema.names:
-        return []
-    return found.to_table(filter=pads.field("chunk") == chunk).to_pylist()
+
+def store_by_chunk(df: DataFrame, label: str, slots: int) -> Answers:
+    path = new_scratch_path(df.sparkSession, label)
+    rows = df.withColumn("slot", slot_of(F.col("chunk"), slots)).repartition("slot")
+    rows.sortWithinPartitions("slot", "chunk").write.partitionBy("slot").parquet(path)
+    return Answers(path, slots)
 
 
 # --- fingerprints of strings ------------------------------------------------
@@ -263,13 +277,13 @@ def _chunks(batches) -> Iterator[Chunk]:
             )
 
 
-def _copies(path: str, chunk: int) -> set[int]:
-    return {row["at"] for row in rows_of_chunk(path, chunk)}
+def _copies(places: Answers, chunk: int) -> set[int]:
+    return {row["at"] for row in places.of(chunk)}
 
 
-def _bits(path: str, chunk: int, keys: np.ndarray, bits: int) -> np.ndarray:
+def _bits(stored: Answers, chunk: int, keys: np.ndarray, bits: int) -> np.ndarray:
     """A chunk's answers, in the order of its keys."""
-    answers = {row["bucket"]: row["bits"] for row in rows_of_chunk(path, chunk)}
+    answers = {row["bucket"]: row["bits"] for row in stored.of(chunk)}
     out = np.zeros(len(keys), bool)
     for bucket, part in _by_bucket(keys, bits):
         raw = np.frombuffer(answers[bucket], np.uint8)
@@ -348,9 +362,10 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", with_t
     ``kept`` are the bytes that are left; a removal may cut a sign of several bytes.
     """
     chunks = write_chunks(docs, key, text)
-    sizes = chunks.agg(F.sum(F.octet_length("data")).alias("n")).first()
+    sizes = chunks.agg(F.sum(F.octet_length("data")).alias("n"), F.count("*").alias("chunks")).first()
+    slots = max(1, sizes["chunks"] // SLOT_CHUNKS)
     bits = bucket_bits(sizes["n"] or 0)
-    copies = store_by_chunk(whole_copies(chunks), "copies")
+    copies = store_by_chunk(whole_copies(chunks), "copies", slots)
     rows = chunks.select("chunk", "ids", "lengths", "data")
 
     def send_samples(batches):
@@ -364,7 +379,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", with_t
                 })
 
     answered = rows.mapInArrow(send_samples, _SENT).groupBy("bucket").applyInArrow(shared_samples, _ANSWER)
-    shared = store_by_chunk(answered, "shared-samples")
+    shared = store_by_chunk(answered, "shared-samples", slots)
 
     def suffixes_of(chunk: Chunk, gone: set[int]) -> Suffixes:
         samples = sample_chunk(chunk, gone)
@@ -386,7 +401,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", with_t
                 })
 
     ordered = rows.mapInArrow(send_suffixes, _SENT).groupBy("bucket").applyInArrow(later_suffixes, _ANSWER)
-    later = store_by_chunk(ordered, "later-suffixes")
+    later = store_by_chunk(ordered, "later-suffixes", slots)
 
     def finish(batches):
         for chunk in _chunks(batches):
