@@ -5,7 +5,7 @@ written as TF-IDF rows over the terms of the benchmark. A randomised singular
 value decomposition of these rows, together with those of the benchmark items, is
 computed by Spark: a task multiplies its own rows with a random matrix and back,
 and the small products are added up. Passages and items meet in the latent space;
-what is near by cosine is checked word by word, by the longest common subsequence
+what is near by cosine is checked word by word where enough of the item's words are there, by the longest common subsequence
 with the item and by whether the item's answer, its last sentence, is there.
 
 Texts are read once: of each document the places of benchmark terms are kept,
@@ -45,14 +45,12 @@ from .common import in_pieces
 PASSAGE = 64
 STEP = PASSAGE // 2
 ITEMS = 2_000
-MAX_SHARE = 0.003
+MAX_SHARE = 0.01
 KEPT_TERMS = 12
 MIN_WEIGHT = 0.5
 RANK = 96
 OVERSAMPLE = 16
 MIN_COSINE = 0.4
-#: Share of an item passage's weighty terms that a candidate must have to be compared word by word.
-MIN_SHARED = 0.3
 #: Share of an item's words, in order, that makes a passage a copy; or, with as much of the answer, a paraphrase.
 COPY_SHARE = 0.8
 PARAPHRASE_SHARE = 0.6
@@ -342,16 +340,6 @@ def latent_space(stored: DataFrame, queries: Queries, passages: int, kept: np.nd
     return (basis @ vectors[:, best]).astype(np.float32)
 
 
-def shared_terms(rows: Rows, row: np.ndarray, of: np.ndarray, query: np.ndarray, holds: np.ndarray) -> np.ndarray:
-    """For pairs of a row (its index among ``row``) and a query, the terms both have; ``holds`` is [query, term]."""
-    starts = np.searchsorted(rows.row, row)
-    lengths = np.diff(np.append(starts, len(rows.row)))[of]
-    begin = np.cumsum(lengths) - lengths
-    entries = np.repeat(starts[of] - begin, lengths) + np.arange(int(lengths.sum()))
-    both = holds[np.repeat(query, lengths), rows.term[entries]]
-    return np.add.reduceat(both.astype(np.int64), begin) if len(begin) else np.zeros(0, np.int64)
-
-
 def latent_rows(rows: Rows, weights: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows with a term, and their unit vectors in the latent space."""
     found = [(row, block @ space[terms]) for row, terms, block in dense_blocks(rows, weights)]
@@ -399,6 +387,23 @@ class Checks:
         self.masks = [masks_of(i.terms) for i in items]
         self.answers = [masks_of(i.answer) for i in items]
 
+        self.length = np.array([len(i.terms) for i in items])
+        self.start = np.cumsum(self.length) - self.length
+        self.flat = np.concatenate([i.terms for i in items])
+        self.present = np.zeros(int(self.flat.max()) + 1, bool)
+
+    def possible(self, numbers: np.ndarray, at: np.ndarray, terms: np.ndarray, passage: int) -> np.ndarray:
+        """Which items have enough of their words about a passage, in any order, to pass ``compare``."""
+        lengths = self.length[numbers]
+        margin = max(STEP, int(lengths.max()) - STEP)
+        low, high = np.searchsorted(at, (passage * STEP - margin, passage * STEP + PASSAGE + margin))
+        self.present[terms[low:high]] = True
+        begin = np.cumsum(lengths) - lengths
+        words = self.flat[np.repeat(self.start[numbers] - begin, lengths) + np.arange(int(lengths.sum()))]
+        common = np.add.reduceat(self.present[words].astype(np.int64), begin)
+        self.present[terms[low:high]] = False
+        return common / lengths >= PARAPHRASE_SHARE
+
     def compare(self, number: int, at: np.ndarray, terms: np.ndarray, passage: int) -> tuple[float, float] | None:
         """Shares of item and answer found; None if this is neither copy nor paraphrase."""
         item = self.items[number]
@@ -422,12 +427,9 @@ _FOUND = "item int, cosine double, share double, answer double"
 def search(stored: DataFrame, queries: Queries, kept: np.ndarray, weights: np.ndarray, space: np.ndarray, key: str) -> DataFrame:
     """Rows (key, item number, cosine, shares) of documents in which an item is found."""
     own, rows, _, _ = item_rows(queries, kept, weights)
-    distinct, asked = latent_rows(rows, weights, space)
-    holds = np.zeros((len(distinct), len(kept)), bool)
-    holds[np.searchsorted(distinct, rows.row), rows.term] = True
-    needed = np.maximum(1, np.ceil(MIN_SHARED * holds.sum(axis=1)))
+    _, asked = latent_rows(rows, weights, space)
     asked = np.ascontiguousarray(asked.T)
-    size = len(kept)
+    size, items = len(kept), len(queries.items)
 
     def run(batches):
         checks = Checks(queries.items)
@@ -435,27 +437,31 @@ def search(stored: DataFrame, queries: Queries, kept: np.ndarray, weights: np.nd
         for batch in batches:
             found: list[tuple] = []
             for places in _groups(batch, 1, 2, 3, kept):
-                entries = passage_rows(places, kept, size)
-                row, vectors = latent_rows(entries, weights, space)
+                row, vectors = latent_rows(passage_rows(places, kept, size), weights, space)
                 passages = places.passages
                 firsts = np.cumsum(passages) - passages
                 best: dict[tuple[int, int], tuple] = {}
-                for part in range(0, len(row), 8192):
-                    near = vectors[part:part + 8192] @ asked
-                    where, query = np.nonzero(near >= MIN_COSINE)
-                    enough = shared_terms(entries, row, part + where, query, holds) >= needed[query]
-                    where, query = where[enough], query[enough]
-                    document = np.searchsorted(firsts, row[part + where], side="right") - 1
-                    for d, p, q, c in zip(
-                        document.tolist(), (row[part + where] - firsts[document]).tolist(),
-                        own[query].tolist(), near[where, query].tolist(),
-                    ):
-                        if len(queries.items[q].terms) < SHORT:
-                            continue
-                        span = slice(places.offsets[d], places.offsets[d + 1])
+                pairs = [np.zeros(0, np.int64)]
+                for part in range(0, len(row), 2048):
+                    where, query = np.nonzero(vectors[part:part + 2048] @ asked >= MIN_COSINE)
+                    pairs.append(np.unique(row[part + where] * items + own[query]))
+                passage, item = np.divmod(np.unique(np.concatenate(pairs)), items)
+                long = checks.length[item] >= SHORT
+                passage, item = passage[long], item[long]
+                edges = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1], [True]])) if len(passage) else [0]
+                for first, last in zip(edges[:-1], edges[1:]):
+                    at = int(passage[first])
+                    d = int(np.searchsorted(firsts, at, side="right")) - 1
+                    span, p = slice(places.offsets[d], places.offsets[d + 1]), at - int(firsts[d])
+                    numbers = item[first:last]
+                    for q in numbers[checks.possible(numbers, places.at[span], places.term[span], p)].tolist():
                         shares = checks.compare(q, places.at[span], places.term[span], p)
                         if shares:
-                            best[d, q] = max(best.get((d, q), ((0.0, 0.0), 0.0)), (shares, c))
+                            n = int(np.searchsorted(row, at))
+                            mine = slice(*np.searchsorted(own, (q, q + 1)))
+                            known = n < len(row) and row[n] == at and mine.stop > mine.start
+                            cosine = float((vectors[n] @ asked[:, mine]).max()) if known else 0.0
+                            best[d, q] = max(best.get((d, q), ((0.0, 0.0), 0.0)), (shares, cosine))
                 # Too few words for a cosine to tell: looked for everywhere.
                 for q in short:
                     for d in documents_with_sequence(queries.items[q].terms, places):

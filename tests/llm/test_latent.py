@@ -135,3 +135,38 @@ def test_short_repeated_and_missing_items(spark, odd, nothing, tables):
     assert latent.find_leaks(nothing, items).collect() == []
     assert latent.find_leaks(odd, items.limit(0)).collect() == []
     assert latent.find_leaks(odd, tables["benchmark"]).collect() == []
+
+
+def many_items(count, low, high, seed):
+    """Items over a large vocabulary of unequal frequency, and a sentence maker."""
+    draw = random.Random(seed)
+    words = [f"t{i}" for i in range(12_000)]
+    heavy = [1 / (i + 3) for i in range(len(words))]
+
+    def sentence(n):
+        return draw.choices(words, heavy, k=n)
+
+    return draw, words, [sentence(draw.randrange(low, high)) for _ in range(count)], sentence
+
+
+def leaks_of(spark, docs, items):
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string").repartition(8)
+    asked = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    return {(r.doc_id, r.item_id) for r in latent.find_leaks(docs, asked).collect()}
+
+
+def test_paraphrases_without_the_rarest_words(spark):
+    """Nine of an item's twelve rarest words changed, which leaves a copy by ``COPY_SHARE``."""
+    draw, words, items, sentence = many_items(150, 59, 60, 11)
+    docs = [(d, sentence(200)) for d in range(3_000)]
+    rank = {w: i for i, w in enumerate(words)}
+    planted = set()
+    for k, item in enumerate(items):
+        rarest = sorted(range(len(item)), key=lambda i: -rank[item[i]])[:12]
+        changed = list(item)
+        for at in draw.sample(rarest, 9):
+            changed[at] = f"unseen{draw.randrange(10**6)}"
+        docs[k] = (k, docs[k][1][:100] + changed + docs[k][1][100:])
+        planted.add((k, k))
+    found = leaks_of(spark, docs, items)
+    assert len(planted & found) == len(planted)
