@@ -5,7 +5,8 @@ written as TF-IDF rows over the terms of the benchmark. A randomised singular
 value decomposition of these rows, together with those of the benchmark items, is
 computed by Spark: a task multiplies its own rows with a random matrix and back,
 and the small products are added up. Passages and items meet in the latent space;
-what is near by cosine is checked word by word where enough of the item's words are there, by the longest common subsequence
+what is near by cosine, or has ``SEED_WORDS`` words of an item in sequence (so every
+verbatim item), is checked word by word where enough of the item's words are there, by the longest common subsequence
 with the item and by whether the item's answer, its last sentence, is there.
 
 Texts are read once: of each document the places of benchmark terms are kept,
@@ -48,7 +49,9 @@ ITEMS = 2_000
 MAX_SHARE = 0.01
 KEPT_TERMS = 12
 MIN_WEIGHT = 0.5
+#: Dimensions at least; a block of many items has one for so many items.
 RANK = 96
+ITEMS_PER_RANK = 4
 OVERSAMPLE = 16
 MIN_COSINE = 0.4
 #: Share of an item's words, in order, that makes a passage a copy; or, with as much of the answer, a paraphrase.
@@ -56,6 +59,8 @@ COPY_SHARE = 0.8
 PARAPHRASE_SHARE = 0.6
 ANSWER_SHARE = 0.8
 SHORT = 8
+#: Words of an item in sequence that make a passage a candidate whatever its cosine.
+SEED_WORDS = 4
 MIN_ANSWER = 3
 #: Row entries held at a time, and made a dense block of.
 GROUP_ENTRIES = 20_000
@@ -324,7 +329,8 @@ def latent_space(stored: DataFrame, queries: Queries, passages: int, kept: np.nd
     weighted so that together they are as heavy as all passages.
     """
     size = len(kept)
-    width = min(RANK + OVERSAMPLE, size)
+    rank = max(RANK, -(-len(queries.items) // ITEMS_PER_RANK))
+    width = min(rank + OVERSAMPLE, size)
     own, rows, _, _ = item_rows(queries, kept, weights)
     balance = np.float32(max(1.0, passages / max(len(own), 1)))
 
@@ -336,7 +342,7 @@ def latent_space(stored: DataFrame, queries: Queries, passages: int, kept: np.nd
     basis, _ = np.linalg.qr(times(probe).astype(np.float64))
     small = basis.T @ times(basis).astype(np.float64)
     values, vectors = np.linalg.eigh((small + small.T) / 2)
-    best = np.argsort(values)[::-1][: min(RANK, size)]
+    best = np.argsort(values)[::-1][: min(rank, size)]
     return (basis @ vectors[:, best]).astype(np.float32)
 
 
@@ -419,6 +425,43 @@ class Checks:
         return (share, answer) if share >= COPY_SHARE or answer >= ANSWER_SHARE else None
 
 
+class Seeds:
+    """Runs of ``SEED_WORDS`` words of items, looked for exactly."""
+
+    def __init__(self, items: list[Item]):
+        runs = [self._hashes(i.terms) for i in items]
+        hashes = np.concatenate(runs)
+        item = np.repeat(np.arange(len(items)), [len(r) for r in runs])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.item = hashes[order], item[order]
+
+    @staticmethod
+    def _hashes(terms: np.ndarray) -> np.ndarray:
+        count = max(len(terms) - SEED_WORDS + 1, 0)
+        out = np.zeros(count, np.uint64)
+        for i in range(SEED_WORDS):
+            out = (out ^ (terms[i:i + count].astype(np.uint64) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        return out
+
+    def candidates(self, places: Places, firsts: np.ndarray, items: int) -> np.ndarray:
+        """Passages over a run, by number, times ``items`` plus the item's number."""
+        hashes = self._hashes(places.term)
+        at = places.at.astype(np.int64)
+        start = np.flatnonzero(at[SEED_WORDS - 1:] - at[:len(hashes)] == SEED_WORDS - 1) if len(hashes) else np.zeros(0, np.int64)
+        low, high = (np.searchsorted(self.hashes, hashes[start], side=side) for side in ("left", "right"))
+        hit = high > low
+        start, low, counts = start[hit], low[hit], (high - low)[hit]
+        begin = np.cumsum(counts) - counts
+        item = self.item[np.repeat(low - begin, counts) + np.arange(int(counts.sum()))]
+        start = np.repeat(start, counts)
+        document = np.searchsorted(places.offsets, start, side="right") - 1
+        block, last = at[start] // STEP, places.passages[document] - 1
+        # An item about the run lies in the words that are compared with one of the two passages over it.
+        over = [firsts[document] + np.clip(p, 0, last) for p in (block - 1, block)]
+        return np.unique(np.concatenate([o * items + item for o in over]))
+
+
 # --- the search -------------------------------------------------------------
 
 _FOUND = "item int, cosine double, share double, answer double"
@@ -432,7 +475,7 @@ def search(stored: DataFrame, queries: Queries, kept: np.ndarray, weights: np.nd
     size, items = len(kept), len(queries.items)
 
     def run(batches):
-        checks = Checks(queries.items)
+        checks, seeds = Checks(queries.items), Seeds(queries.items)
         short = [q for q, item in enumerate(queries.items) if len(item.terms) < SHORT]
         for batch in batches:
             found: list[tuple] = []
@@ -441,7 +484,7 @@ def search(stored: DataFrame, queries: Queries, kept: np.ndarray, weights: np.nd
                 passages = places.passages
                 firsts = np.cumsum(passages) - passages
                 best: dict[tuple[int, int], tuple] = {}
-                pairs = [np.zeros(0, np.int64)]
+                pairs = [seeds.candidates(places, firsts, items)]
                 for part in range(0, len(row), 2048):
                     where, query = np.nonzero(vectors[part:part + 2048] @ asked >= MIN_COSINE)
                     pairs.append(np.unique(row[part + where] * items + own[query]))

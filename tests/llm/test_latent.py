@@ -170,3 +170,33 @@ def test_paraphrases_without_the_rarest_words(spark):
         planted.add((k, k))
     found = leaks_of(spark, docs, items)
     assert len(planted & found) == len(planted)
+
+
+def test_full_block_of_short_items_is_found_verbatim(spark):
+    draw, _, items, sentence = many_items(latent.ITEMS, 8, 13, 12)
+    docs = [(d, sentence(120)) for d in range(1_000)]
+    planted = set()
+    for k in range(300):
+        i = draw.randrange(len(items))
+        docs[k] = (k, docs[k][1][:70] + items[i] + docs[k][1][70:])
+        planted.add((k, i))
+    assert planted <= leaks_of(spark, docs, items)
+
+
+def test_recall_at_a_full_block(spark):
+    """Paraphrases, a fifth of the words changed, against the check of each at every passage."""
+    draw, words, items, sentence = many_items(latent.ITEMS, 15, 45, 13)
+    queries = latent.build_queries([(i, " ".join(t)) for i, t in enumerate(items)])
+    checks, number = latent.Checks(queries.items), {i: q for q, x in enumerate(queries.items) for i in x.ids}
+    docs, brute = [(d, sentence(120)) for d in range(1_000)], set()
+    for k in range(400):
+        i = draw.randrange(len(items))
+        changed = [w if draw.random() > 0.2 else draw.choice(words) for w in items[i]]
+        docs[k] = (k, docs[k][1][:50] + changed + docs[k][1][50:])
+        terms = np.array([queries.vocabulary.get(w.encode(), -1) for w in docs[k][1]])
+        at = np.flatnonzero(terms >= 0)
+        if any(checks.compare(number[i], at, terms[at], p) for p in range(-(-len(terms) // latent.STEP) - 1)):
+            brute.add((k, i))
+    found = brute & leaks_of(spark, docs, items)
+    print("recall", len(found), len(brute))
+    assert len(brute) > 150 and len(found) >= 0.98 * len(brute)
