@@ -1,18 +1,19 @@
 """Information-theoretic sanitisation of personal data.
 
-Addresses and numbers are found by pattern. Terms near them are then weighed by
-what they give away: over all documents, the pointwise mutual information of a
+Addresses and numbers are found by pattern. The terms of the documents that hold
+them are then weighed by what they give away: over all documents, the pointwise mutual information of a
 term and an entity, as a share of the entity's own information. A share of 1 says
 that who reads the term knows the entity. Terms above one threshold are
-generalised to their shape, above a higher one removed.
+generalised to their shape, above a higher one removed, wherever they stand: in
+documents without the entity as well, by the highest share with any entity.
 
-Every text is read once. What is kept of it are spans, the words near entities
-and, per task, in how many documents a word occurs; all that follows works on
-these narrow rows.
+Every text is read twice. The first time its spans are kept, the terms of documents
+with entities and, per task, in how many documents a word occurs; the second time
+the places of the terms found to disclose.
 
 Defined results: a null text is empty and has no spans; a term never covers a
 word that touches a pattern's span, and counts only if it has a letter and
-``MIN_TERM`` signs, edge punctuation aside. A term must stand near the entity in
+``MIN_TERM`` signs, edge punctuation aside. A term must stand with the entity in
 ``MIN_SUPPORT`` different texts, so copies of one text are no evidence. Entities
 in all documents carry no information and reveal nothing. Repeated rows count as
 often as they occur. Only the named columns are read, so extra columns cannot clash.
@@ -21,11 +22,14 @@ often as they occur. Only the named columns are read, so extra columns cannot cl
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +39,6 @@ from .host_rules import grouped_words
 
 # In the order in which kinds are listed.
 KINDS = ("email", "ip", "card", "phone", "term")
-CONTEXT_WORDS = 6
 MIN_TERM = 3
 MIN_SUPPORT = 2
 GENERALISE = 0.75
@@ -108,42 +111,35 @@ def as_term(word: str) -> str | None:
     return term if len(term) >= MIN_TERM and any(map(str.isalpha, term)) else None
 
 
-def near_terms(text: str, start: int, end: int, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
-    """Terms (term, start, end) among the words next to an entity, on both sides."""
-    after = [m.span() for _, m in zip(range(CONTEXT_WORDS + 1), WORD.finditer(text, end))]
-    before, at = [], start
-    while at > 0 and len(before) <= CONTEXT_WORDS:
-        stop = at
-        while stop > 0 and text[stop - 1] in " \t\n\x0b\x0c\r":
-            stop -= 1
-        at = stop
-        while at > 0 and text[at - 1] not in " \t\n\x0b\x0c\r":
-            at -= 1
-        if stop > at:
-            before.append((at, stop))
-    for first, last in before + after:
-        if any(s < last and first < e for s, _, e in spans):
+def term_spans(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """All terms (term, start, end) of a text that touch none of its spans."""
+    ends = sorted((s, e) for s, _, e in spans)
+    reach = list(accumulate((e for _, e in ends), max))
+    starts = [s for s, _ in ends]
+    for match in WORD.finditer(text):
+        first, last = match.span()
+        at = bisect_left(starts, last)
+        if at and reach[at - 1] > first:
             continue
-        word = text[first:last]
-        term = as_term(word)
+        term = as_term(match[0])
         if term:
-            lead = len(word) - len(word.lstrip(EDGES))
-            yield term, first + lead, first + lead + len(word.strip(EDGES))
+            lead = len(match[0]) - len(match[0].lstrip(EDGES))
+            yield term, first + lead, first + lead + len(match[0].strip(EDGES))
 
 
 # --- one pass over the texts ------------------------------------------------
 
 _ROWS = (
-    "tag int, row long, same long, entity string, term string, start int, stop int, n long, "
+    "tag int, row long, same long, entities array<string>, terms array<string>, term string, n long, "
     "spans array<struct<start:int,kind:int,stop:int>>"
 )
 _SPAN = pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32())])
 _TYPES = [
-    pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int64(),
+    pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string(), pa.int64(),
     pa.list_(_SPAN),
 ]
-_NAMES = [part.split()[0] for part in _ROWS.replace("start:int,kind:int,stop:int", "").split(", ")]
-DOCUMENT, NEAR, WORDS = range(3)
+_NAMES = ["tag", "row", "same", "entities", "terms", "term", "n", "spans"]
+DOCUMENT, TOGETHER, WORDS = range(3)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -168,13 +164,13 @@ def document_words(texts: list[str | None]) -> Iterator[tuple[list[str], np.ndar
 
 
 def read_texts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Rows of three kinds from (row, same, text): spans of a document, a term near an
-    entity, and in how many documents of a group a word occurs."""
+    """Rows of three kinds from (row, same, text): spans of a document, its
+    entities and terms if it has entities, and in how many documents of a group a word occurs."""
 
     def words(counts: dict[str, int]) -> pa.RecordBatch:
         columns = [pa.nulls(len(counts), t) for t in _TYPES]
         columns[0] = pa.array(np.full(len(counts), WORDS, np.int32))
-        columns[4], columns[7] = pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())
+        columns[5], columns[6] = pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())
         return pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
     def run(batches):
@@ -185,11 +181,12 @@ def read_texts(docs: DataFrame, text: str = "text") -> DataFrame:
             for row, same, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
                 spans = base_spans(body) if body else []
                 shown = [{"start": s, "kind": k, "stop": e} for s, k, e in spans]
-                rows.append((DOCUMENT, row, same, None, None, None, None, None, shown))
-                for s, _, e in spans:
-                    for term, first, last in near_terms(body, s, e, spans):
-                        rows.append((NEAR, row, same, body[s:e], term, first, last, None, None))
-                if len(rows) >= 5_000:
+                rows.append((DOCUMENT, row, same, None, None, None, None, shown))
+                if spans:
+                    entities = sorted({body[s:e] for s, _, e in spans})
+                    terms = sorted({t for t, _, _ in term_spans(body, spans)})
+                    rows.append((TOGETHER, row, same, entities, terms, None, None, None))
+                if len(rows) >= 500:
                     yield _batch(rows)
                     rows = []
             if rows:
@@ -209,17 +206,29 @@ def read_texts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def disclosures(read: DataFrame, documents: int) -> DataFrame:
     """Rows (entity, term, share) for terms with enough support whose share is large enough."""
-    near = read.where(F.col("tag") == NEAR)
-    of_entity = near.groupBy("entity", "row").agg(F.lit(1).alias("x")).groupBy("entity").agg(
-        F.count("*").alias("n_entity")
-    )
-    texts = near.groupBy("entity", "term", "same").agg(F.countDistinct("row").alias("n"))
-    pairs = texts.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("support"))
-    pairs = pairs.where(F.col("support") >= MIN_SUPPORT)
-    wanted = pairs.select("term").distinct()
-    of_term = read.where(F.col("tag") == WORDS).select("term", "n").join(wanted, "term", "left_semi").groupBy("term").agg(
-        F.sum("n").alias("n_term")
+    held = read.where(F.col("tag") == TOGETHER)
+    entities = held.select("row", "same", F.explode("entities").alias("entity"))
+    of_entity = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    # Entities of fewer texts than a term needs have no term, and other rows none to add. Where
+    # the least and the greatest text differ there are two, as MIN_SUPPORT asks.
+    often = entities.groupBy("entity").agg(F.min("same").alias("x"), F.max("same").alias("y")).where("x <> y").select("entity")
+    entities = cut(entities.join(often, "entity", "left_semi"), "private-entities")
+    bearing = entities.select("row").distinct()
+    terms = held.select("row", "terms").join(bearing, "row", "left_semi").select("row", F.explode("terms").alias("term"))
+    # A term of a single document has no support.
+    counts = cut(
+        read.where(F.col("tag") == WORDS).groupBy("term").agg(F.sum("n").alias("n_term")).where(F.col("n_term") >= MIN_SUPPORT),
+        "private-counts",
     )
+    # The largest share of a pair has the term only with the entity: above that count it is below the threshold.
+    most = of_entity.join(often, "entity", "left_semi").agg(F.max("n_entity")).first()[0] or 1
+    limit = max(documents, 1) ** (1 - GENERALISE) * most ** GENERALISE * 1.0001
+    rare = counts.where(F.col("n_term") <= limit)
+    pairs = terms.join(rare.select("term"), "term", "left_semi").join(entities, "row")
+    pairs = pairs.groupBy("entity", "term").agg(
+        F.count("*").alias("n_both"), F.min("same").alias("x"), F.max("same").alias("y")
+    ).where("x <> y")
+    of_term = rare
     total = F.lit(float(max(documents, 1)))
     own = F.log2(total / F.col("n_entity"))
     mutual = F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
@@ -228,6 +237,40 @@ def disclosures(read: DataFrame, documents: int) -> DataFrame:
     return weighed.where(F.col("share") >= GENERALISE)
 
 
+def places_of_terms(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows (row, term, start, stop) of all places of (row, text) at which a found term stands.
+
+    Tasks get the terms' hashes alone, eight bytes each; the caller joins by the term itself.
+    """
+    hashes = found.select("term").mapInArrow(_hashes, "hash long").toArrow()["hash"].to_numpy()
+    hashes = np.unique(hashes)
+
+    def run(batches):
+        for batch in in_pieces(batches, 200):
+            texts = batch.column(1).to_pylist()
+            words = {w for body in texts if body for w in WORD.findall(body)}
+            terms = list({t for t in map(as_term, words) if t})
+            mine = np.array([xxhash.xxh64_intdigest(t.encode()) for t in terms], np.uint64).view(np.int64)
+            wanted = {t for t, known in zip(terms, np.isin(mine, hashes).tolist()) if known}
+            out = []
+            for row, body in zip(batch.column(0).to_pylist(), texts):
+                if body and wanted:
+                    out += [(row, t, s, e) for t, s, e in term_spans(body, base_spans(body)) if t in wanted]
+            columns = list(zip(*out)) or [()] * 4
+            types = (pa.int64(), pa.string(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types)], names=["row", "term", "start", "stop"]
+            )
+
+    return rows.mapInArrow(run, "row long, term string, start int, stop int")
+
+
+def _hashes(batches):
+    for batch in batches:
+        values = [xxhash.xxh64_intdigest(t.encode()) for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_pydict({"hash": np.array(values, np.uint64).view(np.int64)})
+
+
 def find_private(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (row, key, spans, terms): pattern spans and term spans of every document.
 
@@ -241,12 +284,12 @@ def find_private(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     keys = cut(rows.select("row", "_key"), "private-keys")
     read = cut(read_texts(rows), "private-read")
     shares = disclosures(read, keys.count())
-    near = read.where(F.col("tag") == NEAR).select("row", "entity", "term", "start", "stop")
-    hits = near.join(shares, ["entity", "term"]).groupBy("row", "start", "stop").agg(F.max("share").alias("share"))
+    found = cut(shares.groupBy("term").agg(F.max("share").alias("share")), "private-shares")
+    hits = cut(places_of_terms(rows.select("row", "text"), found), "private-places").join(found, "term")
     span = F.struct(
         "start", F.lit(KINDS.index("term")).alias("kind"), "stop", (F.col("share") >= REMOVE).alias("remove")
     )
-    terms = hits.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("terms"))
+    terms = hits.select("row", "start", "stop", "share").groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("terms"))
     spans = read.where(F.col("tag") == DOCUMENT).select("row", "spans")
     none = F.array().cast("array<struct<start:int,kind:int,stop:int,remove:boolean>>")
     return (

@@ -128,3 +128,16 @@ def test_copies_are_no_evidence(spark):
     text = "only Zebulon wrote jane@ex.org here"
     docs = spark.createDataFrame([(i, text) for i in range(20)] + [(100 + i, "other words") for i in range(20)], "doc_id long, text string")
     assert {r.n_term for r in privacy.digest_columns(privacy.find_private(docs)).collect()} == {0}
+
+
+def test_terms_far_from_the_entity_and_without_it(spark):
+    """Terms count over whole documents, and go wherever they stand."""
+    gap = " ".join(f"filler{i}" for i in range(30))
+    rows = [(i, f"text{i} by Zebulon {gap} mail jane@ex.org, said Zebulon") for i in range(6)]
+    rows += [(i, f"text{i} about nothing {gap}") for i in range(6, 60)]
+    rows.append((60, "here Zebulon is named alone"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = privacy.find_private(docs)
+    texts = {r.doc_id: r.text for r in privacy.sanitise(docs, found).collect()}
+    assert not any("Zebulon" in t for t in texts.values()) and "filler7" in texts[0] and texts[7] == rows[7][1]
+    assert texts[60].startswith("here ") and texts[60].endswith(" is named alone")
