@@ -31,6 +31,38 @@ def crc32(text: str) -> str:
     return f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda a, b: {step}))"
 
 
+def secrets_sql() -> str:
+    """Every rule's leftmost matches, placed by the lengths of the pieces before them."""
+    from .secrets import BASE_KINDS, RULES
+
+    def quoted(pattern):
+        return "'" + pattern.replace("'", "''") + "'"
+
+    found = " UNION ALL ".join(
+        f"SELECT rid, '{r.kind}' AS kind, {rank} AS rnk, {r.min_len} AS least, "
+        f"regexp_extract_all(t, {quoted(r.pattern)}, 0) AS whole, regexp_extract_all(t, {quoted(r.pattern)}, {r.group}) AS val, "
+        f"string_split_regex(t, {quoted(r.pattern)}) AS gaps FROM d"
+        for rank, r in enumerate(RULES)
+    )
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in BASE_KINDS)
+    outs = ", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k in BASE_KINDS)
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS rid FROM documents),
+    m AS ({found}),
+    e AS (SELECT rid, kind, rnk, least, whole, val, gaps, unnest(range(1, len(whole) + 1)) AS k FROM m),
+    p AS (SELECT rid, kind, rnk, least, length(val[k]) AS vlen, length(whole[k]) AS mlen,
+                 sum(length(gaps[k]) + length(whole[k])) OVER (PARTITION BY rid, rnk ORDER BY k) AS stop FROM e),
+    s AS (SELECT rid, kind, rnk, stop - mlen AS start, stop FROM p WHERE vlen >= least),
+    a AS (SELECT rid, {counts}, count(*) AS n_spans,
+                 string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rnk) AS spans,
+                 string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rnk) FILTER (WHERE rnk < {len(BASE_KINDS)}) AS base
+          FROM s GROUP BY rid)
+    SELECT d.doc_id, {outs}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+           CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans
+    FROM d LEFT JOIN a USING (rid)
+    """
+
+
 ORACLES: dict[str, str] = {
     "op1_warc_dictionary": f"""
     WITH same AS (
@@ -169,4 +201,5 @@ ORACLES: dict[str, str] = {
         END AS position
     FROM counted
     """,
+    "op11_trigram_secrets": secrets_sql(),
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_scratch_path
-from . import host_rules, language, latent, mixing, privacy, sharding, simhash, suffix_dedup, url_filter, warc
+from . import host_rules, language, latent, mixing, privacy, secrets, sharding, simhash, suffix_dedup, url_filter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,3 +80,8 @@ def op9_curriculum_mix(spark, sf):
 @query
 def op10_disclosure(spark, sf):
     return privacy.digest_columns(privacy.find_private(table(spark, sf, "documents")))
+
+
+@query
+def op11_trigram_secrets(spark, sf):
+    return secrets.digest_columns(secrets.find_secrets(table(spark, sf, "documents")))
