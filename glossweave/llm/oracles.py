@@ -63,6 +63,49 @@ def secrets_sql() -> str:
     """
 
 
+def codebooks_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Plain k-means of every part position: all parts against all entries of their position."""
+    rounds_sql = []
+    for r in range(rounds):
+        rounds_sql.append(f"""
+    a{r} AS (SELECT p.rid, p.part, arg_min(b.entry, b.entry + {entries} * list_sum(list_transform(range(1, w + 1),
+                 lambda i: (p.pv[i] - b.c[i]) * (p.pv[i] - b.c[i])))) AS entry
+             FROM p JOIN b{r} b ON p.part = b.part GROUP BY p.rid, p.part),
+    s{r} AS (SELECT a.part, a.entry, i, CAST(floor(sum(p.pv[i]) / count(*)) AS BIGINT) AS val
+             FROM a{r} a JOIN p ON a.rid = p.rid AND a.part = p.part, range(1, (SELECT w FROM dims) + 1) t(i)
+             GROUP BY a.part, a.entry, i),
+    b{r + 1} AS (SELECT b.part, b.entry, coalesce(
+                     (SELECT list(s.val ORDER BY s.i) FROM s{r} s WHERE s.part = b.part AND s.entry = b.entry), b.c) AS c
+             FROM b{r} b),""")
+    last = f"b{rounds}"
+    return f"""
+    WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+               FROM embeddings
+               WHERE embedding IS NOT NULL
+                 AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
+    firsts AS (SELECT v FROM k ORDER BY vec_id NULLS LAST, v LIMIT {entries}),
+    dims AS (SELECT len(v) AS d, len(v) // {parts} AS w FROM firsts LIMIT 1),
+    kept AS (SELECT row_number() OVER () AS rid, vec_id, label, v FROM k, dims WHERE len(v) = dims.d),
+    p AS (SELECT rid, part, list_slice(v, part * w + 1, part * w + w) AS pv, w
+          FROM kept, dims, range(0, {parts}) t(part)),
+    e AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS entry, v
+          FROM (SELECT vec_id, v FROM k ORDER BY vec_id NULLS LAST, v LIMIT {entries})),
+    b0 AS (SELECT part, entry, list_slice(v, part * w + 1, part * w + w) AS c FROM e, dims, range(0, {parts}) t(part)),
+    {"".join(rounds_sql)}
+    fin AS (SELECT p.rid, p.part, arg_min(b.entry, b.entry + {entries} * list_sum(list_transform(range(1, w + 1),
+                lambda i: (p.pv[i] - b.c[i]) * (p.pv[i] - b.c[i])))) AS entry,
+                min(list_sum(list_transform(range(1, w + 1), lambda i: (p.pv[i] - b.c[i]) * (p.pv[i] - b.c[i])))) AS dist
+            FROM p JOIN {last} b ON p.part = b.part GROUP BY p.rid, p.part),
+    per AS (SELECT rid, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(dist) AS BIGINT) AS error
+            FROM fin GROUP BY rid),
+    book AS (SELECT sha256(coalesce(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, i), '')) AS h
+             FROM (SELECT part, entry, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM {last}))
+    SELECT kept.vec_id, per.code, per.error,
+           CAST(sum(per.error) OVER (PARTITION BY kept.label) AS BIGINT) AS label_error, book.h AS codebooks_sha256
+    FROM kept JOIN per USING (rid), book
+    """
+
+
 ORACLES: dict[str, str] = {
     "op1_warc_dictionary": f"""
     WITH same AS (
@@ -202,4 +245,5 @@ ORACLES: dict[str, str] = {
     FROM counted
     """,
     "op11_trigram_secrets": secrets_sql(),
+    "op12_hilbert_codebooks": codebooks_sql(),
 }
