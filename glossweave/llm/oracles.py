@@ -246,4 +246,32 @@ ORACLES: dict[str, str] = {
     """,
     "op11_trigram_secrets": secrets_sql(),
     "op12_hilbert_codebooks": codebooks_sql(),
+    "op13_cover_negatives": r"""
+    WITH r AS (
+        SELECT row_number() OVER () AS rid, vec_id,
+               CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+               list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE label IS NOT NULL AND embedding IS NOT NULL
+          AND coalesce(list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x))), true)),
+    a AS (SELECT * FROM r WHERE vec_id % 100 = 0),
+    s AS (
+        SELECT a.rid AS arid, a.vec_id AS aid, a.label AS alab, o.rid AS orid, o.vec_id AS oid, o.label AS olab,
+               CAST(list_sum(list_transform(range(1, least(len(a.v), len(o.v)) + 1), lambda i: a.v[i] * o.v[i])) AS BIGINT)
+                   AS score
+        FROM a, r o),
+    p AS (
+        SELECT * FROM (
+            SELECT *, row_number() OVER (PARTITION BY arid ORDER BY score DESC, oid ASC NULLS LAST, orid) AS k
+            FROM s WHERE olab = alab AND orid <> arid)
+        WHERE k <= 5),
+    n AS (
+        SELECT p.aid, p.oid AS pid, p.score AS ps, s.oid AS nid, s.score AS ns,
+               row_number() OVER (PARTITION BY p.arid, p.orid ORDER BY s.score DESC, s.oid ASC NULLS LAST, s.orid) AS rank
+        FROM p JOIN s ON s.arid = p.arid AND s.olab <> p.alab AND 80 * p.score <= 100 * s.score
+                     AND 100 * s.score <= 100 * p.score)
+    SELECT aid AS anchor_id, pid AS positive_id, CAST(rank AS INTEGER) AS rank, nid AS negative_id,
+           ps AS positive_score, ns AS negative_score
+    FROM n WHERE rank <= 5
+    """,
 }

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_scratch_path
-from . import codebooks, host_rules, language, latent, mixing, privacy, secrets, sharding, simhash, suffix_dedup, url_filter, warc
+from . import codebooks, host_rules, language, latent, mixing, negatives, privacy, secrets, sharding, simhash, suffix_dedup, url_filter, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -90,3 +90,8 @@ def op11_trigram_secrets(spark, sf):
 @query
 def op12_hilbert_codebooks(spark, sf):
     return codebooks.digest_columns(codebooks.compress(table(spark, sf, "embeddings")))
+
+
+@query
+def op13_cover_negatives(spark, sf):
+    return negatives.mine(table(spark, sf, "embeddings"))
