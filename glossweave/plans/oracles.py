@@ -213,6 +213,43 @@ SELECT page_id, 'h1', 'article', {tag_count('<h1>')} FROM pages WHERE contains(h
 UNION ALL
 SELECT page_id, 'p', 'article', {tag_count('<p>')} FROM pages WHERE contains(html, '<p>')
 """
+def _placed(tag: str, pattern: str) -> str:
+    """Every match of ``pattern`` in a page: its number, text and place (code points before it)."""
+    return f"""
+    SELECT page_id, '{tag}' AS tag, CAST(k AS INTEGER) AS ord, e,
+           CAST(sum(length(g) + length(e)) OVER (PARTITION BY page_id ORDER BY k) - length(e) AS BIGINT) AS pos
+    FROM (SELECT page_id, unnest(ms) AS e, unnest(gs[1:len(ms)]) AS g, unnest(range(1, len(ms) + 1)) AS k
+          FROM (SELECT page_id, regexp_extract_all(html, '{pattern}') AS ms, string_split_regex(html, '{pattern}') AS gs
+                FROM pages))"""
+
+
+def _spans(tag: str) -> str:
+    """Where each element of a tag that never nests opens and closes."""
+    return f"""
+    SELECT o.page_id, o.tag, o.ord, o.pos AS start, c.pos AS stop
+    FROM ({_placed(tag, f'<{tag}[ >]')}) o JOIN ({_placed(tag, f'</{tag}>')}) c ON o.page_id = c.page_id AND o.ord = c.ord"""
+
+
+_TARGETS = {"a": "<a .*?</a>", "li": "<li>.*?</li>", "h1": "<h1>.*?</h1>", "p": "<p[ >]"}
+_SPANS = " UNION ALL ".join(_spans(t) for t in ("ul", "ol", "article"))
+
+ORACLES["interval_items"] = f"""
+WITH s AS ({_SPANS}),
+     t AS ({" UNION ALL ".join(_placed(t, _TARGETS[t]) for t in ("li", "a", "h1"))})
+SELECT t.page_id, s.tag AS outer_tag, s.ord AS outer_ord, t.tag AS inner_tag, t.ord AS inner_ord, {tag_text('t.e')} AS content
+FROM t JOIN s ON t.page_id = s.page_id AND s.start < t.pos AND t.pos < s.stop
+"""
+ORACLES["any_ancestor"] = f"""
+WITH s AS ({" UNION ALL ".join(_spans(t) for t in ("ul", "article"))}),
+     t AS ({" UNION ALL ".join(_placed(t, _TARGETS[t]) for t in ("a", "li", "h1", "p"))})
+SELECT t.page_id, t.tag, t.ord,
+       (SELECT max_by(s.ord, s.start) FROM s WHERE s.tag = 'ul' AND s.page_id = t.page_id AND s.start <= t.pos AND t.pos < s.stop) AS ul,
+       (SELECT max_by(s.ord, s.start) FROM s WHERE s.tag = 'article' AND s.page_id = t.page_id AND s.start <= t.pos
+           AND t.pos < s.stop) AS article
+FROM t
+"""
+ORACLES["any_ancestor_joined"] = ORACLES["any_ancestor"]
+
 ORACLES["descendant_items"] = f"""
 SELECT page_id,
        coalesce(array_to_string(list_transform({extracted('<li>(.*?)</li>')}, lambda x: {tag_text('x')}), '|'), '') AS items,

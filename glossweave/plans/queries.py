@@ -24,6 +24,7 @@ from ..functions.scripts import (
 from ..functions.sql_names import register_functions
 from ..operators import definitions as D
 from ..operators import headwords as H
+from ..operators import intervals as I
 from ..operators import morphology as M
 from ..operators import nodes as N
 from ..operators import stats as ST
@@ -288,6 +289,49 @@ def nearest_article(spark, sf):
     return found.groupBy("page_id", "tag", "container").agg(F.count("*").alias("n"))
 
 
+@query
+def interval_items(spark, sf):
+    """J2/J3 in relational form: list items and links below lists, headings below articles."""
+    pairs = I.descendant_pairs(_nodes(spark, sf, "details"), ("ul", "ol", "article"), ("li", "a", "h1"))
+    return pairs.select(
+        "page_id", "outer_tag", "outer_ord", "inner_tag", "inner_ord", F.col("inner_content").alias("content")
+    )
+
+
+ANCESTOR_TARGETS = ("a", "li", "h1", "p")
+ANCESTOR_TAGS = ("ul", "article")
+
+
+@query
+def any_ancestor(spark, sf):
+    """J1 for tags asked at query time, two at once, by parent pointers in each page's nodes."""
+    nodes = F.col("nodes")
+
+    def numbered(tag):
+        found = F.filter(nodes, lambda n: N.has_tag(n, tag))
+        return F.map_from_arrays(F.transform(found, lambda n: n["pre"]), F.transform(found, lambda n, i: i + 1))
+
+    def targets(tag):
+        return F.transform(
+            F.filter(nodes, lambda n: N.has_tag(n, tag)),
+            lambda n, i: F.struct(
+                n["tag"].alias("tag"), (i + 1).alias("ord"),
+                *[F.element_at(numbered(t), I.nearest_with_tag(nodes, n, t)["pre"]).alias(t) for t in ANCESTOR_TAGS],
+            ),
+        )
+
+    rows = _nodes(spark, sf, "details").select(
+        "page_id", F.explode(F.flatten(F.array(*map(targets, ANCESTOR_TARGETS)))).alias("_t")
+    )
+    return rows.select("page_id", "_t.*")
+
+
+@query
+def any_ancestor_joined(spark, sf):
+    """J1 for two tags in relational form: an interval join of the node tables and the nearest per tag."""
+    return I.nearest_ancestors(_nodes(spark, sf, "details"), ANCESTOR_TARGETS, ANCESTOR_TAGS)
+
+
 @query
 def descendant_items(spark, sf):
     nodes = F.col("nodes")
