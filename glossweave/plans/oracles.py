@@ -485,6 +485,8 @@ ORACLES["framed_xdxf"] = _FRAMED_XDXF
 ORACLES["framed_dsl"] = _FRAMED_DSL
 ORACLES["written_xdxf"] = f"SELECT unnest(string_split(value, {_NL})) AS value FROM ({_FRAMED_XDXF})"
 ORACLES["written_dsl"] = f"SELECT unnest(string_split(value, {_NL})) AS value FROM ({_FRAMED_DSL})"
+ORACLES["single_file_xdxf"] = ORACLES["written_xdxf"]
+ORACLES["single_file_dsl"] = ORACLES["written_dsl"]
 _LETTER_RUNS = "regexp_extract_all(text, '\\p{L}+')"
 _RUN_WORDS = f"""
 SELECT page_id, coalesce(lower({_LETTER_RUNS}[1]), '') AS first_word, coalesce(lower({_LETTER_RUNS}[2]), '') AS second_word

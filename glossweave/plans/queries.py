@@ -42,7 +42,7 @@ from ..rule_texts import MORPHOLOGY
 from ..sources.packed import pack_pages, scan_packed
 from ..sources.pages import scan_page_dir, scan_pages, spread, stream_page_dir
 from ..sources.rules import builtin_morphology, scan_collation, scan_morphology
-from ..sources.sinks import frame_output, merge_dictionaries, write_dictionary
+from ..sources.sinks import frame_output, merge_dictionaries, write_dictionary, write_single_file
 from ..streaming.ingest import batch_stats, ingest_batches, read_outcomes
 from . import fixtures as B
 from .convert import conversion_counts as count_conversion
@@ -605,6 +605,22 @@ def written_dsl(spark, sf):
     return _written(spark, sf, DSL_PARAMS)
 
 
+def _single(spark, sf, params) -> DataFrame:
+    path = f"{new_scratch_path(spark, 'dictionary')}.{'dsl' if params.fmt == 'lingvo' else 'xdxf'}"
+    write_single_file(_entries(B.repeated_page(_rows(spark, sf))), params, path)
+    return spark.read.text(path)
+
+
+@query
+def single_file_xdxf(spark, sf):
+    return _single(spark, sf, PARAMS)
+
+
+@query
+def single_file_dsl(spark, sf):
+    return _single(spark, sf, DSL_PARAMS)
+
+
 @query
 def merged_dictionary(spark, sf):
     """Two runs over all documents, under the first and the second word of the text; words overlap in part."""

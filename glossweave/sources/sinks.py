@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from functools import reduce
+from urllib.parse import urlparse
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..constants import DSL_CHARSET, XDXF_DESCRIPTION, XDXF_DOCTYPE, XDXF_PROLOG
@@ -119,3 +122,82 @@ def merge_dictionaries(runs: list[DataFrame]) -> DataFrame:
         later = run.select("word").distinct()
         merged = merged.join(later, "word", "left_anti").select(*columns).unionByName(run.select(*columns))
     return merged
+
+
+# --- one file, written in parallel --------------------------------------------
+
+def _hadoop(spark: SparkSession, path: str):
+    jvm = spark._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()), hpath
+
+
+def _local(path: str) -> str | None:
+    """The POSIX path of a ``file:`` location, None for other stores."""
+    parsed = urlparse(path)
+    return parsed.path if parsed.scheme in ("", "file") else None
+
+
+def _put_in_place(rows) -> None:
+    """Copy each part into the one file at its offset; parts go in parallel, a task writes only its own."""
+    for row in rows:
+        fd = os.open(row.target, os.O_WRONLY)
+        try:
+            at = row.offset
+            with open(row.part, "rb") as part:
+                while chunk := part.read(1 << 22):
+                    os.pwrite(fd, chunk, at)
+                    at += len(chunk)
+            if at != row.offset + row.size:
+                raise OSError(f"part {row.part} changed while it was copied")
+        finally:
+            os.close(fd)
+
+
+def write_single_file(
+    entries: DataFrame, params: ConvertParams, path: str, stored: bool = False
+) -> None:
+    """Write the dictionary as the one file ``path``.
+
+    The ordered lines are written as parts in parallel, as by :func:`write_dictionary`.
+    The byte length of each part gives its offset in the file (a prefix sum over the
+    parts, one small row each); every part is then put at its offset by a task of its
+    own, into a file of the whole length beside the target. Only when all parts stand is
+    it moved over ``path``, so an old file stays whole until then. Stores with a
+    ``concat`` of their own (HDFS) join the parts without copying them.
+    """
+    spark = entries.sparkSession
+    staging = f"{path}.parts-{uuid.uuid4().hex}"
+    write_dictionary(entries, params, staging, stored)
+    fs, folder = _hadoop(spark, staging)
+    listed = [s for s in fs.listStatus(folder) if s.getPath().getName().startswith("part-")]
+    parts = sorted(((s.getPath().toString(), s.getLen()) for s in listed), key=lambda p: p[0].rsplit("/", 1)[1])
+    sizes = spark.createDataFrame(list(enumerate(parts)), "n int, p struct<part:string,size:long>").select(
+        "n", "p.*"
+    )
+    before = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sizes.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)).cast("long"))
+    fresh = f"{path}.new-{uuid.uuid4().hex}"
+    target_fs, target = _hadoop(spark, fresh)
+    local = _local(fresh)
+    if local is not None:
+        total = sum(size for _, size in parts)
+        with open(local, "wb") as out:
+            out.truncate(total)
+        jobs = placed.select(
+            F.regexp_replace("part", "^file:", "").alias("part"), "size", "offset", F.lit(local).alias("target")
+        )
+        jobs.repartition(max(1, len(parts)), "n").foreachPartition(_put_in_place)
+        os.replace(local, _local(path))
+    else:
+        # A store that joins files itself moves no bytes; the parts are its blocks.
+        first, rest = parts[0][0], [p for p, _ in parts[1:]]
+        jvm = spark._jvm
+        target_fs.rename(jvm.org.apache.hadoop.fs.Path(first), target)
+        if rest:
+            target_fs.concat(target, [jvm.org.apache.hadoop.fs.Path(p) for p in rest])
+        final = jvm.org.apache.hadoop.fs.Path(path)
+        if target_fs.exists(final):
+            target_fs.delete(final, False)
+        target_fs.rename(target, final)
+    fs.delete(folder, True)
