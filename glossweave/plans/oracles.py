@@ -492,6 +492,12 @@ _RUN_WORDS = f"""
 SELECT page_id, coalesce(lower({_LETTER_RUNS}[1]), '') AS first_word, coalesce(lower({_LETTER_RUNS}[2]), '') AS second_word
 FROM ({_ROWS})
 """
+ORACLES["merged_files"] = f"""
+SELECT second_word AS word, 2 AS parts FROM ({_RUN_WORDS})
+UNION ALL
+SELECT first_word, 3 FROM ({_RUN_WORDS})
+WHERE first_word NOT IN (SELECT second_word FROM ({_RUN_WORDS}))
+"""
 ORACLES["merged_dictionary"] = f"""
 SELECT page_id, second_word AS word, 2 AS parts FROM ({_RUN_WORDS})
 UNION ALL

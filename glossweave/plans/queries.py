@@ -42,6 +42,7 @@ from ..rule_texts import MORPHOLOGY
 from ..sources.packed import pack_pages, scan_packed
 from ..sources.pages import scan_page_dir, scan_pages, spread, stream_page_dir
 from ..sources.rules import builtin_morphology, scan_collation, scan_morphology
+from ..sources.dictionary_files import read_dictionary
 from ..sources.sinks import frame_output, merge_dictionaries, write_dictionary, write_single_file
 from ..streaming.ingest import batch_stats, ingest_batches, read_outcomes
 from . import fixtures as B
@@ -621,15 +622,30 @@ def single_file_dsl(spark, sf):
     return _single(spark, sf, DSL_PARAMS)
 
 
-@query
-def merged_dictionary(spark, sf):
+def _two_runs(spark, sf) -> list[DataFrame]:
     """Two runs over all documents, under the first and the second word of the text; words overlap in part."""
     letters = F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))
     words = [F.coalesce(F.lower(F.get(letters, F.lit(i))), F.lit("")) for i in range(2)]
     pages = B.several_pages(_rows(spark, sf), [B.rich_body(), B.repeated_body()], words)
     entries = cut(extract_entries(pages, PARAMS, _own_language(), keep=("page_no",)), "runs")
-    runs = [entries.where(F.col("page_no") == i) for i in range(2)]
-    return merge_dictionaries(runs).select("page_id", "word", F.size("definitions").alias("parts"))
+    return [entries.where(F.col("page_no") == i) for i in range(2)]
+
+
+@query
+def merged_dictionary(spark, sf):
+    return merge_dictionaries(_two_runs(spark, sf)).select("page_id", "word", F.size("definitions").alias("parts"))
+
+
+@query
+def merged_files(spark, sf):
+    """U4 over files: both runs written as dictionary files, read back, merged, written and read again."""
+    def written(entries):
+        path = f"{new_scratch_path(spark, 'run')}.xdxf"
+        write_single_file(entries, PARAMS, path)
+        return read_dictionary(spark, path, PARAMS.fmt)
+
+    merged = written(merge_dictionaries([written(run) for run in _two_runs(spark, sf)]))
+    return merged.select("word", F.size("definitions").alias("parts"))
 
 
 # --- the whole conversion ---------------------------------------------------
