@@ -102,55 +102,116 @@ class CoverTree:
             node.children.append(self._build(idx[members], int(np.flatnonzero(members == at)[0])))
         return node
 
-    def _bounds(self, node: Node, query_aug: np.ndarray, base: float) -> tuple[float, float]:
-        d = math.sqrt(float(((query_aug - self.aug[node.center]) ** 2).sum()))
+    def _flat(self) -> None:
+        """Nodes as arrays, for a descent of many queries at once."""
+        nodes, at = [self.root], 0
+        while at < len(nodes):
+            nodes += nodes[at].children
+            at += 1
+        ids = {id(n): i for i, n in enumerate(nodes)}
+        self.center = np.array([n.center for n in nodes], np.int64)
+        self.radius = np.array([n.radius for n in nodes], np.float64)
+        self.children = [np.array([ids[id(c)] for c in n.children], np.int64) for n in nodes]
+        self.points = [n.points for n in nodes]
+        self.xf = self.x.astype(np.float64)
+
+    def search_many(self, queries: np.ndarray, k: int, low: np.ndarray, high: np.ndarray,
+                    skip: np.ndarray, labels: np.ndarray | None = None, query_labels: np.ndarray | None = None):
+        """For every query, the first ``k`` (score, key, row) with low <= score <= high, rows of
+        another label than the query's if ``labels`` are given, never the row ``skip``.
+
+        All queries descend level by level together. A node's bounds follow from the
+        exact score of its center and its radius; nodes outside a query's window are
+        skipped, and so are nodes whose upper bound is below the k-th best score already
+        verified (of centers, which are points, and of leaves). Leaves are verified exactly."""
+        m = len(queries)
+        out: list[list] = [[] for _ in range(m)]
+        if self.root is None or k <= 0 or m == 0:
+            return out
+        if not hasattr(self, "center"):
+            self._flat()
+        qf = queries.astype(np.float64)
+        base = (qf * qf).sum(1) + self.top
         slack = 1e-9 * base + 1.0
-        high = (base - max(0.0, d - node.radius) ** 2) / 2 + slack
-        low = (base - (d + node.radius) ** 2) / 2 - slack
-        return low, high
+        best = np.full(m, -np.inf)
+        aq, an = np.arange(m), np.zeros(m, np.int64)
+        found_q, found_s, found_p = [], [], []
+
+        def allowed(qs, pts):
+            ok = self.rows[pts][None, :] != skip[qs][:, None]
+            if labels is not None:
+                ok &= labels[pts][None, :] != query_labels[qs][:, None]
+            return ok
+
+        def kth(qs, scores):
+            order = np.lexsort((-scores, qs))
+            qs, scores = qs[order], scores[order]
+            first = np.searchsorted(qs, np.arange(m))
+            count = np.bincount(qs, minlength=m)
+            out = np.full(m, -np.inf)
+            has = count >= k
+            out[has] = scores[first[has] + k - 1]
+            return out
+
+        while len(aq):
+            c = self.center[an]
+            sc = np.einsum("ij,ij->i", qf[aq], self.xf[c])
+            d = np.sqrt(np.maximum(base[aq] - 2 * sc, 0))
+            r = self.radius[an]
+            upper = (base[aq] - np.maximum(d - r, 0) ** 2) / 2 + slack[aq]
+            lower = (base[aq] - (d + r) ** 2) / 2 - slack[aq]
+            good = (sc >= low[aq]) & (sc <= high[aq]) & (self.rows[c] != skip[aq])
+            if labels is not None:
+                good &= labels[c] != query_labels[aq]
+            # Centers of one level are distinct points: k of them at a score make it a floor.
+            best = np.maximum(best, kth(aq[good], sc[good]))
+            keep = (upper >= low[aq]) & (lower <= high[aq]) & (upper >= best[aq])
+            aq, an = aq[keep], an[keep]
+            leaf = np.array([self.points[n] is not None for n in an], bool)
+            lq, ln = aq[leaf], an[leaf]
+            order = np.argsort(ln, kind="stable")
+            lq, ln = lq[order], ln[order]
+            bounds = np.flatnonzero(np.diff(ln)) + 1
+            level_q, level_s = [], []
+            for qs, nodes in zip(np.split(lq, bounds), np.split(ln, bounds)):
+                if not len(qs):
+                    continue
+                pts = self.points[nodes[0]]
+                scores = np.rint(qf[qs] @ self.xf[pts].T)
+                ok = allowed(qs, pts) & (scores >= low[qs][:, None]) & (scores <= high[qs][:, None])
+                masked = np.where(ok, scores, -np.inf)
+                floor = np.partition(masked, -k, axis=1)[:, -k] if masked.shape[1] >= k else np.full(len(qs), -np.inf)
+                take = ok & (masked >= np.maximum(floor, best[qs])[:, None])
+                i, j = np.nonzero(take)
+                found_q.append(qs[i]); found_s.append(scores[i, j]); found_p.append(pts[j])
+                level_q.append(qs[i]); level_s.append(scores[i, j])
+            if level_q:
+                best = np.maximum(best, kth(np.concatenate(level_q), np.concatenate(level_s)))
+            inner = ~leaf
+            iq, inn = aq[inner], an[inner]
+            kids = [self.children[n] for n in inn]
+            sizes = np.array([len(x) for x in kids], np.int64)
+            aq = np.repeat(iq, sizes)
+            an = np.concatenate(kids) if kids else np.zeros(0, np.int64)
+        if not found_q:
+            return out
+        q, sc, p = np.concatenate(found_q), np.concatenate(found_s), np.concatenate(found_p)
+        order = np.lexsort((self.rows[p], self.order[p], -sc, q))
+        q, sc, p = q[order], sc[order], p[order]
+        first = np.searchsorted(q, np.arange(m))
+        for i in range(m):
+            stop = first[i + 1] if i + 1 < m else len(q)
+            for at in range(first[i], min(first[i] + k, stop)):
+                out[i].append((int(sc[at]), self.keys[p[at]], int(self.rows[p[at]])))
+        return out
 
     def search(self, query: np.ndarray, k: int, low: float, high: float, skip_row: int = -1, mask=None) -> list:
-        """The first ``k`` (score, key, row) with low <= score <= high, higher score first,
-        ties by smaller key (nulls last) and row; ``mask`` selects the candidates."""
-        if self.root is None or k <= 0:
-            return []
-        q = query.astype(np.int64)
-        qaug = np.append(q.astype(np.float64), 0.0)
-        base = float((q.astype(np.float64) ** 2).sum()) + self.top
-        found: list = []  # heap of the k best: (score, -key order, -row), worst first
-        heap = [(-self._bounds(self.root, qaug, base)[1], 0, self.root)]
-        tick = 1
-        while heap:
-            neg_high, _, node = heapq.heappop(heap)
-            if -neg_high < low:
-                break
-            if len(found) == k and -neg_high < found[0][0]:
-                break
-            if node.points is not None:
-                pts = node.points
-                if mask is not None:
-                    pts = pts[mask[pts]]
-                pts = pts[self.rows[pts] != skip_row]
-                scores = self.x[pts] @ q
-                inside = (scores >= low) & (scores <= high)
-                pts, scores = pts[inside], scores[inside]
-                # A leaf of many equal points gives at most k of them.
-                best = np.lexsort((self.rows[pts], self.order[pts], -scores))[:k]
-                for at, score in zip(pts[best], scores[best]):
-                    item = (int(score), _key_order(self.keys[at]), -int(self.rows[at]), int(at))
-                    if len(found) < k:
-                        heapq.heappush(found, item)
-                    elif item[:3] > found[0][:3]:
-                        heapq.heapreplace(found, item)
-                continue
-            for child in node.children:
-                lo, hi = self._bounds(child, qaug, base)
-                if hi < low or lo > high:
-                    continue
-                heapq.heappush(heap, (-hi, tick, child))
-                tick += 1
-        ordered = sorted(found, reverse=True)
-        return [(s, self.keys[at], int(self.rows[at])) for s, _, _, at in ordered]
+        """The first ``k`` (score, key, row) of one query; see :meth:`search_many`."""
+        labels = None if mask is None else (~mask).astype(np.int64)
+        return self.search_many(
+            query[None, :], k, np.array([low], float), np.array([high], float), np.array([skip_row]),
+            labels, None if mask is None else np.array([1]),
+        )[0]
 
 
 def _key_order(key) -> tuple:
@@ -202,19 +263,26 @@ def _answer(shard_rows: pd.DataFrame, queries: pd.DataFrame, same_label: bool) -
         trees = {lab: CoverTree(x[labels == lab], keys[labels == lab], rows[labels == lab]) for lab in np.unique(labels)}
     else:
         tree = CoverTree(x, keys, rows)
-    for q in queries.itertuples(index=False):
-        vec = _padded([q.q_ints], width)[0]
-        if same_label:
-            tree_of = trees.get(q.q_label)
-            hits = tree_of.search(vec, K, -math.inf, math.inf, skip_row=q.q_row) if tree_of else []
-            out += [(q.q_row, q.p_row, None, None, key, row, s) for s, key, row in hits]
-        else:
-            if q.p_score < 0:
-                continue
-            # The least integer score with HIGH * score >= LOW * positive.
-            low = -((-LOW * int(q.p_score)) // HIGH)
-            hits = tree.search(vec, K, low, int(q.p_score), mask=labels != q.q_label)
-            out += [(q.q_row, q.p_row, q.p_key, q.p_score, key, row, s) for s, key, row in hits]
+    vecs = _padded(queries["q_ints"], width)
+    q_rows = queries["q_row"].to_numpy(np.int64)
+    q_labels = queries["q_label"].to_numpy(np.int64)
+    if same_label:
+        for lab, tree in trees.items():
+            at = np.flatnonzero(q_labels == lab)
+            found = tree.search_many(vecs[at], K, np.full(len(at), -np.inf), np.full(len(at), np.inf), q_rows[at])
+            for i, hits in zip(at, found):
+                out += [(q_rows[i], -1, None, None, key, row, s) for s, key, row in hits]
+    else:
+        p_scores = queries["p_score"].to_numpy(np.int64)
+        at = np.flatnonzero(p_scores >= 0)
+        # The least integer score with HIGH * score >= LOW * positive.
+        low = -((-LOW * p_scores[at]) // HIGH)
+        found = tree.search_many(vecs[at], K, low.astype(float), p_scores[at].astype(float), np.full(len(at), -1),
+                                 labels, q_labels[at])
+        p_rows, p_keys = queries["p_row"].to_numpy(np.int64), queries["p_key"].to_numpy()
+        for i, hits in zip(at, found):
+            out += [(q_rows[i], p_rows[i], int(p_keys[i]) if not pd.isna(p_keys[i]) else None, int(p_scores[i]), key, row, s)
+                    for s, key, row in hits]
     return pd.DataFrame(out, columns=FOUND.replace(" long", "").split(", "))
 
 
