@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glossweave.llm import language, latent, mixing, near_copies, sharding
+from glossweave.llm import language, latent, mixing, sharding, simhash
 from glossweave.session import cut
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -23,8 +23,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
-    return near_copies.one_of_each(docs)
+    """One document of each group of near copies, by op5's operator with its contract's
+    shingle length (three words) and greatest distance (two bits)."""
+    return simhash.one_of_each(docs, simhash.THRESHOLD)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,21 @@ def in_pieces(batches: Batches, rows: int = 1_000) -> Batches:
             yield batch.slice(at, rows)
 
 
+def text_pieces(texts: list, most_bytes: int = 8 << 20) -> Iterator[list]:
+    """Consecutive runs of ``texts`` of at most ``most_bytes`` characters (one text at least),
+    so that what is made of a run is bounded by its size, not by a number of rows."""
+    piece, size = [], 0
+    for t in texts:
+        n = len(t) if t else 0
+        if piece and size + n > most_bytes:
+            yield piece
+            piece, size = [], 0
+        piece.append(t)
+        size += n
+    if piece:
+        yield piece
+
+
 def held_out(key: Column, parts: int = 3, part: int = 1) -> Column:
     """Whether a row is kept from training: crc32 of the key's text, modulo ``parts``.
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, in_pieces
+from .common import held_out, in_pieces, text_pieces
 from .host_rules import grouped_words
 
 UNKNOWN = "und"
@@ -226,10 +226,23 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
 
 
 def accepted_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """Documents in some language, without the ambiguous; the columns as given."""
+    """Documents in some language, without the ambiguous; the columns as given.
+
+    The verdict is a filter by a scalar Arrow function of the text alone: only that
+    column goes to Python, in runs bounded by their size, and the rows stay in the JVM.
+    """
     model = train(docs.where(~held_out(F.col(key))), text, lang)
-    # Numbered names cannot clash with those of the prediction.
-    numbered = [f"_{i}" for i in range(len(docs.columns))]
-    judged = predict(docs.toDF(*numbered), model, numbered, numbered[docs.columns.index(text)])
-    accepted = judged.where((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous"))
-    return accepted.select(*numbered).toDF(*docs.columns)
+
+    @F.arrow_udf("boolean")
+    def accepted(texts: pa.Array) -> pa.Array:
+        out = []
+        for piece in text_pieces(texts.to_pylist()):
+            known = [bool(model.languages) and t is not None and any(map(str.isalpha, t)) for t in piece]
+            if model.languages:
+                _, _, close = decode(model, margins(model, piece))
+            else:
+                close = np.zeros(len(piece), bool)
+            out += (np.asarray(known, bool) & ~np.asarray(close, bool)).tolist()
+        return pa.array(out, pa.bool_())
+
+    return docs.where(accepted(F.col(text)))

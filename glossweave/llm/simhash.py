@@ -32,7 +32,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -219,19 +218,23 @@ def digest_columns(found: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with one of every component left, that with the least key; columns as given.
+    """The documents with one row of every component left, that with the least key; columns as given.
 
-    Of rows with the same key and fingerprint one stays. Rows without a key cannot
-    be named and stay. Removed keys are few next to the documents, so these are
-    filtered against them.
+    Rows are numbered first and components are found over the numbers, so rows with
+    equal keys or texts, or without a key, are rows of their own: of a component the row
+    with the least key stays (null keys last, then the first row). No window or join
+    goes by a key or a text that many rows may share.
     """
-    found = cut(near_duplicates(docs, threshold, key, text), "components")
-    later = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
-    again = found.where(F.col(key).isNotNull()).groupBy(key, "fp").count().where("count > 1")
-    later, again = cut(later, "later"), cut(again.select(F.col(key).alias("_again")).distinct(), "again")
-    kept = docs.join(later, docs[key] == later["_gone"], "left_anti")
-    repeated = kept.join(again, kept[key] == again["_again"], "left_semi")
-    rows = repeated.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
-    number = F.row_number().over(W.partitionBy(F.col("_doc")[key], F.xxhash64(F.col("_doc")[text])).orderBy(F.lit(0)))
-    firsts = rows.withColumn("_n", number).where("_n = 1").select("_doc.*")
-    return kept.join(again, kept[key] == again["_again"], "left_anti").unionByName(firsts)
+    numbered = cut(
+        docs.select(
+            F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+        ),
+        "numbered",
+    )
+    rows = numbered.select("_row", F.col("_doc")[text].alias("_text"))
+    found = near_duplicates(rows, threshold, "_row", "_text").select("_row", "component_id")
+    named = found.join(numbered.select("_row", F.col("_doc")[key].alias("_key")), "_row")
+    order = F.struct(F.col("_key").isNull(), F.col("_key"), F.col("_row"))
+    stays = named.groupBy("component_id").agg(F.min(order)["_row"].alias("_row"))
+    gone = cut(found.join(stays, "_row", "left_anti").select("_row"), "gone")
+    return numbered.join(gone, "_row", "left_anti").select("_doc.*")
