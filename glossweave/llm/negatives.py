@@ -56,6 +56,8 @@ LOW, HIGH = 80, 100
 #: Candidates of a shard, and queries of a block, at most on average.
 SHARD_ROWS = 20_000
 QUERY_ROWS = 4_000
+#: Queries that descend a tree together; what a level holds grows with them.
+QUERY_CHUNK = 64
 #: Points of a leaf, and children of a node, at most.
 LEAF = 48
 FAN = 8
@@ -124,6 +126,15 @@ class CoverTree:
         exact score of its center and its radius; nodes outside a query's window are
         skipped, and so are nodes whose upper bound is below the k-th best score already
         verified (of centers, which are points, and of leaves). Leaves are verified exactly."""
+        if len(queries) > QUERY_CHUNK:
+            out = []
+            for at in range(0, len(queries), QUERY_CHUNK):
+                part = slice(at, at + QUERY_CHUNK)
+                out += self.search_many(
+                    queries[part], k, low[part], high[part], skip[part], labels,
+                    None if query_labels is None else query_labels[part],
+                )
+            return out
         m = len(queries)
         out: list[list] = [[] for _ in range(m)]
         if self.root is None or k <= 0 or m == 0:
@@ -155,7 +166,9 @@ class CoverTree:
 
         while len(aq):
             c = self.center[an]
-            sc = np.einsum("ij,ij->i", qf[aq], self.xf[c])
+            # One product of the queries with the level's distinct centers, read per pair.
+            distinct, at = np.unique(c, return_inverse=True)
+            sc = (qf @ self.xf[distinct].T)[aq, at]
             d = np.sqrt(np.maximum(base[aq] - 2 * sc, 0))
             r = self.radius[an]
             upper = (base[aq] - np.maximum(d - r, 0) ** 2) / 2 + slack[aq]
