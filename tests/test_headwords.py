@@ -59,3 +59,21 @@ def test_run_stats(words):
     rows = ST.run_stats(outcomes, 1000).collect()
     assert sum(r.processed for r in rows) == 1000 and sum(r.skipped for r in rows) == 2000
     assert all(r.processed + r.skipped == 1000 for r in rows)
+
+
+@pytest.mark.parametrize("n", [1, 700, 2999, 3000, 4999])
+def test_limit_by_rounds_of_counts(words, monkeypatch, n):
+    """Ranges larger than the direct sort are cut in rounds; repeated words and rows stay exact."""
+    monkeypatch.setattr(H, "SELECT_ROWS", 40)
+    monkeypatch.setattr(H, "SAMPLE_ROWS", 30)
+    monkeypatch.setattr(H, "CUTS", 4)
+    hot = words.unionByName(words.where("page_id % 3 = 0").withColumn("word", F.lit("hot")))
+    kept = sorted(r.page_id for r in H.limit_pages(hot, n).collect())
+    order = sorted(((r.word.lower(), r.word, r.page_id) for r in hot.collect()))
+    # Rows equal to the n-th in word and page all stay.
+    assert kept == sorted(key[2] for key in order if key <= order[min(n, len(order)) - 1])
+
+
+def test_the_final_plan_sorts_nothing(words):
+    plan = H.limit_pages(words, 50)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan
