@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,19 +28,19 @@ def in_pieces(batches: Batches, rows: int = 1_000) -> Batches:
             yield batch.slice(at, rows)
 
 
-def text_pieces(texts: list, most_bytes: int = 8 << 20) -> Iterator[list]:
-    """Consecutive runs of ``texts`` of at most ``most_bytes`` characters (one text at least),
-    so that what is made of a run is bounded by its size, not by a number of rows."""
-    piece, size = [], 0
-    for t in texts:
-        n = len(t) if t else 0
-        if piece and size + n > most_bytes:
-            yield piece
-            piece, size = [], 0
-        piece.append(t)
-        size += n
-    if piece:
-        yield piece
+def text_pieces(texts: pa.Array, most_bytes: int = 2 << 20) -> Iterator[list]:
+    """Consecutive runs of an Arrow array of texts, as Python strings, of at most ``most_bytes``
+    bytes (one text at least): only a run is ever held as Python objects, so what is made of
+    it is bounded by its size, not by a number of rows."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start, held = 0, 0
+    for at, size in enumerate(sizes):
+        if at > start and held + size > most_bytes:
+            yield texts.slice(start, at - start).to_pylist()
+            start, held = at, 0
+        held += size
+    if start < len(sizes):
+        yield texts.slice(start).to_pylist()
 
 
 def held_out(key: Column, parts: int = 3, part: int = 1) -> Column:

@@ -236,7 +236,7 @@ def accepted_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
     @F.arrow_udf("boolean")
     def accepted(texts: pa.Array) -> pa.Array:
         out = []
-        for piece in text_pieces(texts.to_pylist()):
+        for piece in text_pieces(texts):
             known = [bool(model.languages) and t is not None and any(map(str.isalpha, t)) for t in piece]
             if model.languages:
                 _, _, close = decode(model, margins(model, piece))
