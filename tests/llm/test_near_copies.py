@@ -37,9 +37,10 @@ def planted(seed=3):
 
 
 def test_planted_copies_go_and_others_stay(spark):
+    """The five-word Jaccard module (no longer the pipeline's stage) on planted copies."""
     rows, copies, far = planted()
     docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in rows], COLUMNS).repartition(5)
-    out = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "")
+    out = near_copies.one_of_each(docs)
     assert out.columns == docs.columns
     left = {r.doc_id for r in out.collect()}
     assert len(copies) > 80 and not left & {c for _, c in copies}
@@ -56,3 +57,33 @@ def test_rows_of_one_key_are_told_apart(spark):
     docs = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in rows], COLUMNS)
     left = sorted(((r.doc_id, r.text) for r in near_copies.one_of_each(docs).collect()), key=str)
     assert [d for d, _ in left] == [1, 2, None] and left[2][1] == "alone here" and left[0][1] in (text, near)
+
+
+def test_the_stage_keeps_one_row_of_each_simhash_component(spark):
+    """The pipeline's stage against a brute force of op5's contract: 3-word shingles, links
+    at two bits or fewer over all pairs, the least key of each component stays."""
+    rows, _, _ = planted()
+    rows = rows[:180] + [(7000, rows[0][1]), (7001, ""), (7002, None), (None, rows[3][1])]
+    docs = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in rows], COLUMNS).repartition(4)
+    out = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "")
+    assert out.columns == docs.columns
+    fps = [simhash.fingerprint(t.encode().lower().split() if t else []) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= simhash.THRESHOLD:
+                parent[root(i)] = root(j)
+    best = {}
+    for i, (key, _) in enumerate(rows):
+        order = (key is None, key or 0, i)
+        best[root(i)] = min(best.get(root(i), order), order)
+    want = sorted((k for k, _, _ in [(None if n else v, n, i) for n, v, i in best.values()]), key=lambda k: (k is None, k or 0))
+    got = sorted((r.doc_id for r in out.collect()), key=lambda k: (k is None, k or 0))
+    assert got == want
