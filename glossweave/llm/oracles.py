@@ -41,7 +41,7 @@ def secrets_sql() -> str:
     found = " UNION ALL ".join(
         f"SELECT rid, '{r.kind}' AS kind, {rank} AS rnk, {r.min_len} AS least, "
         f"regexp_extract_all(t, {quoted(r.pattern)}, 0) AS whole, regexp_extract_all(t, {quoted(r.pattern)}, {r.group}) AS val, "
-        f"string_split_regex(t, {quoted(r.pattern)}) AS gaps FROM d"
+        f"string_split_regex(t, {quoted(r.pattern)}) AS gaps FROM d WHERE regexp_matches(t, {quoted(r.pattern)})"
         for rank, r in enumerate(RULES)
     )
     counts = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS n_{k}" for k in BASE_KINDS)
