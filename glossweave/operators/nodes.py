@@ -8,11 +8,13 @@ included, which saves walking up the tree later.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .html_tree import TEXT, pages_to_arrow
+from .html_tree import TEXT, in_pieces, pages_to_arrow
 
 NODE_TYPE = (
     "array<struct<pre:int,fin:int,parent:int,depth:int,tag:string,"
@@ -21,12 +23,15 @@ NODE_TYPE = (
 def html_nodes(html: Column, container: str = "details") -> Column:
     """Nodes of each page, null for a page without content.
 
-    A scalar Arrow UDF, so filters on other columns still reach the scan.
+    A scalar Arrow UDF, so filters on other columns still reach the scan. A batch of the
+    session, up to 10,000 large rows, is parsed and sent back in pieces of bounded size.
     """
 
     @F.arrow_udf(NODE_TYPE)
-    def parse(pages: pa.Array) -> pa.Array:
-        return pages_to_arrow(pages.to_pylist(), container)
+    def parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for pages in batches:
+            for piece in in_pieces(pages):
+                yield pages_to_arrow(piece, container)
 
     return parse(html)
 

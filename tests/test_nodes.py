@@ -3,10 +3,12 @@
 import random
 from html import escape
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from glossweave.operators import axes as A
 from glossweave.operators import nodes as N
+from glossweave.operators.html_tree import PIECE_BYTES, in_pieces
 
 TAGS = ("div", "span", "ol", "ul", "li", "details", "b", "h3", "section")
 
@@ -119,3 +121,17 @@ def test_page_parser_runs_once(spark, pages):
     frame = A.explode_elements(N.with_nodes(pages(("w", "<ol><li>x"))), "li").where("content <> ''")
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_pages_of_one_batch_are_parsed_in_pieces_of_bounded_size(spark):
+    page = "<ol><li>" + "x" * 300 + "</li></ol>"
+    batch = [page * 1_000, None, "", page, page * 9_000, page * 1_000, page]
+    sizes = [[len(p or "") for p in piece] for piece in in_pieces(pa.array(batch))]
+    assert [s for piece in sizes for s in piece] == [len(p or "") for p in batch]
+    assert len(sizes) > 1 and all(sum(s) <= PIECE_BYTES or len(s) == 1 for s in sizes)
+    assert list(in_pieces(pa.array([], pa.string()))) == []
+    rows = spark.createDataFrame(list(enumerate(batch)), "page_id long, html string").coalesce(1)
+    found = N.with_nodes(rows, required=None).selectExpr("page_id", "size(filter(nodes, n -> n.tag = 'li')) AS n")
+    assert {r.page_id: r.n for r in found.collect()} == {
+        0: 1_000, 1: None, 2: None, 3: 1, 4: 9_000, 5: 1_000, 6: 1
+    }
