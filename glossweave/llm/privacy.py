@@ -111,12 +111,16 @@ def as_term(word: str) -> str | None:
     return term if len(term) >= MIN_TERM and any(map(str.isalpha, term)) else None
 
 
-def term_spans(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
-    """All terms (term, start, end) of a text that touch none of its spans."""
+def term_spans(
+    text: str, spans: list[tuple[int, int, int]], words: set[str] | None = None
+) -> Iterator[tuple[str, int, int]]:
+    """All terms (term, start, end) of a text that touch none of its spans; of ``words`` alone, if given."""
     ends = sorted((s, e) for s, _, e in spans)
     reach = list(accumulate((e for _, e in ends), max))
     starts = [s for s, _ in ends]
     for match in WORD.finditer(text):
+        if words is not None and match[0] not in words:
+            continue
         first, last = match.span()
         at = bisect_left(starts, last)
         if at and reach[at - 1] > first:
@@ -248,14 +252,17 @@ def places_of_terms(rows: DataFrame, found: DataFrame) -> DataFrame:
     def run(batches):
         for batch in in_pieces(batches, 200):
             texts = batch.column(1).to_pylist()
-            words = {w for body in texts if body for w in WORD.findall(body)}
-            terms = list({t for t in map(as_term, words) if t})
+            words = [set(WORD.findall(body)) if body else set() for body in texts]
+            of_word = {w: as_term(w) for w in set().union(*words)}
+            terms = list({t for t in of_word.values() if t})
             mine = np.array([xxhash.xxh64_intdigest(t.encode()) for t in terms], np.uint64).view(np.int64)
             wanted = {t for t, known in zip(terms, np.isin(mine, hashes).tolist()) if known}
+            showing = {w for w, t in of_word.items() if t in wanted}
             out = []
-            for row, body in zip(batch.column(0).to_pylist(), texts):
-                if body and wanted:
-                    out += [(row, t, s, e) for t, s, e in term_spans(body, base_spans(body)) if t in wanted]
+            for row, body, own in zip(batch.column(0).to_pylist(), texts, words):
+                # A text without a wanted word has no place to look for.
+                if not showing.isdisjoint(own):
+                    out += [(row, t, s, e) for t, s, e in term_spans(body, base_spans(body), showing) if t in wanted]
             columns = list(zip(*out)) or [()] * 4
             types = (pa.int64(), pa.string(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays(

@@ -141,3 +141,14 @@ def test_terms_far_from_the_entity_and_without_it(spark):
     texts = {r.doc_id: r.text for r in privacy.sanitise(docs, found).collect()}
     assert not any("Zebulon" in t for t in texts.values()) and "filler7" in texts[0] and texts[7] == rows[7][1]
     assert texts[60].startswith("here ") and texts[60].endswith(" is named alone")
+
+
+def test_terms_are_looked_for_in_texts_with_a_wanted_word_alone():
+    from glossweave.llm import privacy
+
+    text = "Anna, met (anna) a@b.org and Bob at anna."
+    spans = privacy.base_spans(text)
+    every = list(privacy.term_spans(text, spans))
+    wanted = {"Anna,", "(anna)", "anna."}
+    assert list(privacy.term_spans(text, spans, wanted)) == [t for t in every if t[0] == "anna"]
+    assert len(every) > 3 and list(privacy.term_spans(text, spans, set())) == []
