@@ -13,6 +13,8 @@ from ..functions.text import capitalize, html_escape, language_name
 from ..operators.nodes import once
 
 LANGUAGE, NAME = "lang", "lang_name"
+# The text's list items, which several parts of a page and several pages show.
+ITEMS = "text_items"
 
 
 def _join(*parts: str | Column) -> Column:
@@ -26,7 +28,20 @@ def items(text: Column) -> Column:
 
 
 def ordered(text: Column) -> Column:
-    return _join("<ol>", items(text), "</ol>")
+    return in_list(items(text))
+
+
+def in_list(items: Column) -> Column:
+    return _join("<ol>", items, "</ol>")
+
+
+def text_list() -> Column:
+    """The whole text as a list, in bodies given to :func:`_page` and :func:`several_pages`."""
+    return in_list(F.col(ITEMS))
+
+
+def _with_items(rows: DataFrame) -> DataFrame:
+    return once(rows, ITEMS, items(F.col("text")))
 
 
 def part(level: int, heading: str | Column, body: Column | str, tag: str = "h3") -> Column:
@@ -47,7 +62,7 @@ def documents_as_words(documents: DataFrame) -> DataFrame:
 
 def _page(rows: DataFrame, body: Column) -> DataFrame:
     # Built once: the list test of the parser would repeat the expression.
-    return once(rows, "html", _html(body)).select("page_id", "word", LANGUAGE, "html")
+    return once(_with_items(rows), "html", _html(body)).select("page_id", "word", LANGUAGE, "html")
 
 
 def _other_language() -> Column:
@@ -66,7 +81,7 @@ def _language_page(heading: Column, body: Column) -> Column:
 def section_body(method: int) -> Column:
     """Body on which only the given method finds the section of the document's language."""
     code, name = F.col(LANGUAGE), F.col(NAME)
-    noun = part(3, "Noun", ordered(F.col("text")))
+    noun = part(3, "Noun", text_list())
     if method == 1:
         body = _language_page(_join('<h2><span id="', code, '">', name, "</span></h2>"), noun)
     elif method == 2:
@@ -84,7 +99,7 @@ def section_body(method: int) -> Column:
         body = _join(_other_language(), '<div><div id="title_0">t</div>', block, "</div>")
     elif method == 7:
         opened = _join('<div class="mw-parser-output" lang="', code, '"><h3>', name, "</h3>")
-        body = _join(opened, "<p>Noun</p>", ordered(F.col("text")), "</div>")
+        body = _join(opened, "<p>Noun</p>", text_list(), "</div>")
     else:
         block = _join("<details><h3>", name, "</h3>", noun, "</details>")
         body = _join(_other_language(), block)
@@ -103,7 +118,7 @@ def several_pages(rows: DataFrame, bodies: list[Column], words: list[Column] | N
     """A page per row and body, from one reading of the rows; ``page_no`` counts bodies from 0."""
     words = words or [F.col("word")] * len(bodies)
     pages = [F.struct(w.alias("word"), _html(b).alias("html")) for w, b in zip(words, bodies)]
-    exploded = rows.select("page_id", LANGUAGE, F.posexplode(F.array(*pages)).alias("page_no", "_page"))
+    exploded = _with_items(rows).select("page_id", LANGUAGE, F.posexplode(F.array(*pages)).alias("page_no", "_page"))
     return exploded.select("page_id", "_page.word", LANGUAGE, "page_no", "_page.html")
 
 
@@ -114,13 +129,13 @@ def _in_language(body: Column) -> Column:
 
 def rich_body() -> Column:
     """Sections of all levels, excluded ones, and ones that give nothing."""
-    text, source, word = F.col("text"), F.col("source"), F.col("word")
+    source, word = F.col("source"), F.col("word")
     nested = _join("<ol><li>outer<ol>", items(source), "</ol></li></ol>")
     body = _join(
         part(4, "Adjective", nested, "h4"),
         part(2, "Verb", ordered(source)),
-        part(3, "Noun ( n )", ordered(text)),
-        part(3, _join("Translations of ", word), ordered(text)),
+        part(3, "Noun ( n )", text_list()),
+        part(3, _join("Translations of ", word), text_list()),
         part(3, "Empty", "<p>nothing</p>"),
         '<details data-level="3"><ol><li>no heading</li></ol></details>',
         part(3, "Bare", "<ol></ol>"),
@@ -135,9 +150,9 @@ def rich_page(rows: DataFrame) -> DataFrame:
 
 def etymology_page(rows: DataFrame) -> DataFrame:
     """Level 4 sections, one of them excluded, inside a level 3 section."""
-    text, source, word = F.col("text"), F.col("source"), F.col("word")
+    source, word = F.col("source"), F.col("word")
     inner = _join(
-        ordered(text),
+        text_list(),
         part(4, "Noun", ordered(source), "h4"),
         part(4, "Translations", ordered(word), "h4"),
     )
@@ -147,7 +162,7 @@ def etymology_page(rows: DataFrame) -> DataFrame:
 def repeated_body() -> Column:
     """Two sections with the same heading."""
     body = _join(
-        part(3, "Noun", ordered(F.col("text"))),
+        part(3, "Noun", text_list()),
         part(3, "Verb", ordered(F.col("source"))),
         part(3, "Noun", ordered(F.col("word"))),
     )
@@ -160,10 +175,10 @@ def repeated_page(rows: DataFrame) -> DataFrame:
 
 def flat_page(rows: DataFrame) -> DataFrame:
     """Headings and lists as siblings, without containers."""
-    text, source, word, code = F.col("text"), F.col("source"), F.col("word"), F.col(LANGUAGE)
+    source, word, code = F.col("source"), F.col("word"), F.col(LANGUAGE)
     body = _join(
         '<div class="mw-parser-output" lang="', code, '">',
-        "<h3>Noun</h3><p>x</p>", ordered(text),
+        "<h3>Noun</h3><p>x</p>", text_list(),
         "<h4>Usage</h4>", ordered(source),
         "<h5>Deep</h5>", ordered(code),
         "<h3>Verb</h3>", ordered(word),

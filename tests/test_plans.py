@@ -1,8 +1,13 @@
 """Plans that must read and parse their input once, and only what they keep."""
 
+from html import escape
+
 import pytest
+from pyspark.sql import functions as F
 
 from glossweave import ConvertParams
+from glossweave.functions.text import html_escape
+from glossweave.plans import fixtures as B
 from glossweave.plans.convert import select_pages
 from glossweave.plans.queries import QUERIES
 from glossweave.sources.packed import pack_pages, scan_packed
@@ -60,3 +65,19 @@ def test_spread_is_off_by_default_and_bounded(spark, sf):
         assert spread(table, 4) is table
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_a_text_is_escaped_once_for_all_pages_of_a_document(spark, sf):
+    rows = B.documents_as_words(spark.read.parquet(f"{sf}/documents.parquet"))
+    pages = B.several_pages(rows, [B.section_body(m) for m in range(1, 9)])
+    plan = pages._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("&quot;") == 1
+    page = B.rich_page(rows)._jdf.queryExecution().optimizedPlan().toString()
+    # The text once and the source in three short lists.
+    assert page.count("&quot;") <= 4
+
+
+def test_escaping_replaces_all_signs_and_keeps_the_rest(spark):
+    texts = ["", "plain", "a & b", "<&lt;>", "\"'&'\"", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", html_escape(F.col("t")).alias("e"))
+    assert {r.t: r.e for r in rows.collect()} == {t: None if t is None else escape(t) for t in texts}
