@@ -83,3 +83,5 @@ SPACE_CLASS = (
 # Runs of white space other than one plain space: all that tidying has to touch.
 # The Unicode property is a cheaper test in Java than the list of ranges above.
 UNTIDY_SPACES = r"(?U)[\s\x1c-\x1f&&[^ ]][\s\x1c-\x1f]*| [\s\x1c-\x1f]+"
+# Any place that tidying changes: these runs, a space after "(", one before ")" or punctuation.
+UNTIDY = r"(?U)[\s\x1c-\x1f(](?:(?<=[^ (])|(?<= )[\s\x1c-\x1f),.;:!?]|(?<=\() )"

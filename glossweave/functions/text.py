@@ -10,7 +10,7 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..constants import LANGUAGE_NAMES, SPACES, UNTIDY_SPACES
+from ..constants import LANGUAGE_NAMES, SPACES, UNTIDY, UNTIDY_SPACES
 
 # Order matters: the ampersand first.
 _MARKUP = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"))
@@ -46,17 +46,22 @@ def _drop_tags(text: Column) -> Column:
     ).otherwise(text)
 
 
+def _tidy_spaces(text: Column) -> Column:
+    out = F.regexp_replace(text, UNTIDY_SPACES, " ")
+    out = _replaced(out, "( ", "(")
+    out = _replaced(out, " )", ")")
+    return F.regexp_replace(out, " (?=[,.;:!?])", "")
+
+
 def clean_text(text: Column) -> Column:
     """Strip, drop tags, tidy spaces around brackets and punctuation, unescape.
 
     White space runs become one space first; the bracket and punctuation rules
-    then each look at one character, so no input makes them slow.
+    then each look at one character, so no input makes them slow. Most texts are
+    tidy, which one search tells.
     """
     out = let(strip(text), _drop_tags)
-    out = F.regexp_replace(out, UNTIDY_SPACES, " ")
-    out = _replaced(out, "( ", "(")
-    out = _replaced(out, " )", ")")
-    out = F.regexp_replace(out, " (?=[,.;:!?])", "")
+    out = let(out, lambda t: F.when(t.rlike(UNTIDY), _tidy_spaces(t)).otherwise(t))
     return F.coalesce(html_unescape(out), F.lit(""))
 
 

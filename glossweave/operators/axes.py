@@ -33,13 +33,17 @@ def parent(nodes: Column, element: Column) -> Column:
     return F.when(element["parent"] >= 0, node_at(nodes, element["parent"]))
 
 
-def text_content(nodes: Column, element: Column) -> Column:
-    """Text below an element, text nodes joined by one space, ends stripped."""
+def _joined_text(nodes: Column, element: Column) -> Column:
     texts = F.transform(
         F.filter(span(nodes, element["pre"], element["fin"]), lambda n: has_tag(n, TEXT)),
         lambda n: n["text"],
     )
-    return strip(F.array_join(texts, " "))
+    return F.array_join(texts, " ")
+
+
+def text_content(nodes: Column, element: Column) -> Column:
+    """Text below an element, text nodes joined by one space, ends stripped."""
+    return strip(_joined_text(nodes, element))
 
 
 def list_items(nodes: Column, pre: Column, fin: Column, dedupe_nested: bool = False) -> Column:
@@ -62,7 +66,8 @@ def list_items(nodes: Column, pre: Column, fin: Column, dedupe_nested: bool = Fa
 
 
 def item_texts(nodes: Column, items: Column) -> Column:
-    return F.transform(items, lambda li: clean_text(text_content(nodes, li)))
+    # Cleaning strips the ends.
+    return F.transform(items, lambda li: clean_text(_joined_text(nodes, li)))
 
 
 def explode_elements(df: DataFrame, *tags: str, nodes: str = "nodes", keep_nodes: bool = False) -> DataFrame:

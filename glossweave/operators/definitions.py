@@ -135,19 +135,26 @@ def keep_sections(nodes: Column, headed: Column, excluded: Iterable[str]) -> Col
     return F.filter(wanted, lambda p: has_list(nodes, p))
 
 
-def with_texts(nodes: Column, kept: Column, dedupe_nested: bool = False) -> Column:
-    """Definition texts of each section; sections without items go."""
+def with_items(nodes: Column, kept: Column, dedupe_nested: bool = False) -> Column:
+    """List items of each section as ``defs``; sections without items go."""
     filled = F.transform(
         kept,
         lambda p: F.struct(
             p["ord"].alias("ord"),
             p["pos"].alias("pos"),
-            item_texts(nodes, list_items(nodes, p["pre"], p["fin"], dedupe_nested)).alias("defs"),
+            list_items(nodes, p["pre"], p["fin"], dedupe_nested).alias("defs"),
         ),
     )
     return F.filter(filled, lambda p: F.size(p["defs"]) > 0)
 
 
+def with_texts(nodes: Column, folded: Column) -> Column:
+    """Texts in place of the list items of each part of speech."""
+    return F.transform(
+        folded, lambda p: F.struct(p["pos"].alias("pos"), item_texts(nodes, p["defs"]).alias("defs"))
+    )
+
+
 def fold_last_wins(parts: Column) -> Column:
     """One element per part of speech: the last one's texts at the first one's place.
 
@@ -196,12 +203,16 @@ def extract_definitions(
     excluded = tuple(excluded)
     found = let(
         pos_sections(nodes, section, container),
-        lambda parts: fold_last_wins(
-            with_texts(
-                nodes,
-                keep_sections(nodes, headed_sections(nodes, parts), excluded),
-                dedupe_nested,
-            )
+        # Texts are taken after the fold, which drops the items of repeated parts of speech.
+        lambda parts: with_texts(
+            nodes,
+            fold_last_wins(
+                with_items(
+                    nodes,
+                    keep_sections(nodes, headed_sections(nodes, parts), excluded),
+                    dedupe_nested,
+                )
+            ),
         ),
     )
     return F.when(has_list(nodes, section), found).otherwise(

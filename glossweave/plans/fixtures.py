@@ -49,6 +49,12 @@ def part(level: int, heading: str | Column, body: Column | str, tag: str = "h3")
     return _join(f'<details data-level="{level}">', title, body, "</details>")
 
 
+def letter_run(text: Column, number: int) -> Column:
+    """A text's run of letters by its number from 0, found without looking at what follows it; empty if there is none."""
+    before = r"\p{L}++\P{L}++" * number
+    return F.regexp_extract(text, rf"\A\P{{L}}*+{before}(\p{{L}}++)", 1)
+
+
 def documents_as_words(documents: DataFrame) -> DataFrame:
     """``page_id``, ``word`` and the text columns pages are made of."""
     first = F.regexp_extract("text", r"\p{L}+", 0)

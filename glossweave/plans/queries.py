@@ -624,8 +624,7 @@ def single_file_dsl(spark, sf):
 
 def _two_runs(spark, sf) -> list[DataFrame]:
     """Two runs over all documents, under the first and the second word of the text; words overlap in part."""
-    letters = F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0))
-    words = [F.coalesce(F.lower(F.get(letters, F.lit(i))), F.lit("")) for i in range(2)]
+    words = [F.coalesce(F.lower(B.letter_run(F.col("text"), i)), F.lit("")) for i in range(2)]
     pages = B.several_pages(_rows(spark, sf), [B.rich_body(), B.repeated_body()], words)
     entries = cut(extract_entries(pages, PARAMS, _own_language(), keep=("page_no",)), "runs")
     return [entries.where(F.col("page_no") == i) for i in range(2)]
@@ -639,12 +638,13 @@ def merged_dictionary(spark, sf):
 @query
 def merged_files(spark, sf):
     """U4 over files: both runs written as dictionary files, read back, merged, written and read again."""
-    def written(entries):
+    def written(entries, stored=False):
         path = f"{new_scratch_path(spark, 'run')}.xdxf"
-        write_single_file(entries, PARAMS, path)
+        write_single_file(entries, PARAMS, path, stored)
         return read_dictionary(spark, path, PARAMS.fmt)
 
-    merged = written(merge_dictionaries([written(run) for run in _two_runs(spark, sf)]))
+    first, second = [written(run, stored=True) for run in _two_runs(spark, sf)]
+    merged = written(merge_dictionaries([first, cut(second, "read")]))
     return merged.select("word", F.size("definitions").alias("parts"))
 
 

@@ -20,8 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import html_unescape
-from ..operators.headwords import with_position
+from ..functions.text import html_unescape, let
 
 DSL_DIRECTIVES = r"^#(NAME|INDEX_LANGUAGE|CONTENTS_LANGUAGE|CHARSET) "
 
@@ -35,42 +34,44 @@ def placed_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def records(lines: DataFrame, starts: Column) -> DataFrame:
-    """file, page_id, lines (array, in file order) of every record that ``starts`` opens."""
+    """file, page_id, lines (array, in file order) of every record that ``starts`` opens.
+
+    Records are numbered by the starts before them: in their split by a running count,
+    and in all earlier splits by a sum over one small row per split.
+    """
     lines = lines.withColumn("_start", starts)
     in_split = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = lines.withColumn("_head", F.last(F.when(F.col("_start"), F.col("at")), ignorenulls=True).over(in_split))
-    # One row per split: where its last record starts, and the one it continues.
-    splits = marked.groupBy("file", "block").agg(F.max(F.when(F.col("_start"), F.col("at"))).alias("_last"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = F.last(F.when(F.col("_last").isNotNull(), F.struct(F.col("block").alias("b"), F.col("_last").alias("a"))),
-                     ignorenulls=True).over(earlier)
-    splits = splits.select("file", "block", carried.alias("_carry"))
-    keyed = marked.join(splits, ["file", "block"]).select(
-        "file", "block", "at", "line",
-        F.when(F.col("_head").isNotNull(), F.struct(F.col("block").alias("b"), F.col("_head").alias("a")))
-        .otherwise(F.col("_carry")).alias("_rec"),
-    ).where(F.col("_rec").isNotNull())
-    grouped = keyed.groupBy("file", "_rec").agg(
+    marked = lines.withColumn("_seen", F.count_if("_start").over(in_split))
+    splits = marked.groupBy("file", "block").agg(F.count_if("_start").alias("_n"))
+    earlier = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    in_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(
+        "file", "block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
+        F.coalesce(F.sum("_n").over(in_file) > 0, F.lit(False)).alias("_continues"),
+    )
+    # Lines before the first start of a split belong to the last record before it in the file, if any.
+    keyed = marked.join(splits, ["file", "block"]).where((F.col("_seen") > 0) | F.col("_continues"))
+    keyed = keyed.withColumn("page_id", (F.col("_before") + F.col("_seen") - 1).cast("long"))
+    return keyed.groupBy("file", "page_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "line"))), lambda x: x["line"]).alias("lines")
     )
-    # Records numbered in file order by a range sort of their places, not in one task.
-    return with_position(grouped, [F.col("file"), F.col("_rec.b"), F.col("_rec.a")], "page_id").drop("_rec")
 
 
 def _grouped(items: Column) -> Column:
     """(is_pos, text) items to definitions: each part of speech with the items after it."""
-    empty = F.array().cast("array<struct<pos:string,defs:array<string>>>")
-
-    def step(acc, item):
-        opened = F.array_append(acc, F.struct(item["text"].alias("pos"), F.array().cast("array<string>").alias("defs")))
-        last = F.element_at(acc, -1)
-        added = F.array_append(
-            F.slice(acc, 1, F.size(acc) - 1),
-            F.struct(last["pos"].alias("pos"), F.array_append(last["defs"], item["text"]).alias("defs")),
+
+    def group(found: Column) -> Column:
+        places = F.filter(
+            F.transform(found, lambda x, i: F.when(x["pos"] | (i == 0), i)), lambda i: i.isNotNull()
         )
-        return F.when(item["pos"] | (F.size(acc) == 0), opened).otherwise(added)
+        return let(places, lambda opened: F.transform(opened, lambda i, n: F.struct(
+            F.get(found, i)["text"].alias("pos"),
+            F.transform(
+                F.slice(found, i + 2, F.coalesce(F.get(opened, n + 1), F.size(found)) - i - 1), lambda x: x["text"]
+            ).alias("defs"),
+        )))
 
-    return F.aggregate(items, empty, step)
+    return let(items, group)
 
 
 def read_dsl(spark: SparkSession, path: str) -> DataFrame:
@@ -103,7 +104,7 @@ def read_xdxf(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_dictionary(spark: SparkSession, path: str, fmt: str) -> DataFrame:
-    """Entries of the dictionary files at ``path`` (a file or a folder of parts)."""
+    """Entries of the dictionary files at ``path`` (a file or a folder of parts), read anew by each use."""
     if fmt == "lingvo":
         return read_dsl(spark, path)
     if fmt == "xdxf":

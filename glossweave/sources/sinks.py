@@ -65,31 +65,42 @@ def footer_lines(params: ConvertParams) -> list[Column]:
     return [F.lit("</xdxf_body>"), F.lit("</xdxf>")]
 
 
-def _fixed_rows(spark: SparkSession, section: int, lines: list[Column], id_type: str) -> DataFrame:
+def _fixed_rows(spark: SparkSession, section: int, lines: list[Column], id_type: str, definitions: str) -> DataFrame:
     rows = spark.range(1).select(F.posexplode(F.array(*lines)).alias("line", "value"))
     return rows.select(
         F.lit(section).alias("section"), "line", F.lit("").alias("word"),
-        F.lit(None).cast(id_type).alias("page_id"), "value",
+        F.lit(None).cast(id_type).alias("page_id"), F.lit(None).cast(definitions).alias("definitions"), "value",
     )
 
 
-def frame_output(entries: DataFrame, params: ConvertParams) -> DataFrame:
-    """Rows of a dictionary file: ``section``, ``line``, ``word``, ``page_id``, ``value``.
-
-    Not sorted; see :func:`output_order`.
-    """
-    value = render_entry(F.col("word"), F.col("definitions"), params.fmt, params.escape_dsl)
+def _unrendered(entries: DataFrame, params: ConvertParams) -> DataFrame:
+    """Rows of a dictionary file, ``value`` only in those of header and footer."""
     body = entries.select(
-        F.lit(BODY).alias("section"), F.lit(0).alias("line"), "word", "page_id", value.alias("value"),
+        F.lit(BODY).alias("section"), F.lit(0).alias("line"), "word", "page_id", "definitions",
+        F.lit(None).cast("string").alias("value"),
     )
-    spark, id_type = entries.sparkSession, dict(entries.dtypes)["page_id"]
-    parts = [_fixed_rows(spark, HEADER, header_lines(params), id_type), body]
+    spark, types = entries.sparkSession, dict(entries.dtypes)
+    kinds = types["page_id"], types["definitions"]
+    parts = [_fixed_rows(spark, HEADER, header_lines(params), *kinds), body]
     footer = footer_lines(params)
     if footer:
-        parts.append(_fixed_rows(spark, FOOTER, footer, id_type))
+        parts.append(_fixed_rows(spark, FOOTER, footer, *kinds))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _value(params: ConvertParams) -> Column:
+    rendered = render_entry(F.col("word"), F.col("definitions"), params.fmt, params.escape_dsl)
+    return F.when(F.col("section") == BODY, rendered).otherwise(F.col("value")).alias("value")
+
+
+def frame_output(entries: DataFrame, params: ConvertParams) -> DataFrame:
+    """Rows of a dictionary file: ``section``, ``line``, ``word``, ``page_id``, ``value``.
+
+    Not sorted; see :func:`output_order`.
+    """
+    return _unrendered(entries, params).select("section", "line", "word", "page_id", _value(params))
+
+
 def output_order() -> list[Column]:
     return [F.col("section"), F.col("line"), *sort_keys()]
 
@@ -105,8 +116,9 @@ def write_dictionary(
     """
     entries = entries.select("page_id", "word", "definitions")
     stored = entries if stored else cut(entries, "entries")
-    lines = frame_output(stored, params).orderBy(*output_order())
-    lines.select("value").write.mode("overwrite").text(path)
+    # Rendered after the sort, which reads its input twice.
+    lines = _unrendered(stored, params).orderBy(*output_order())
+    lines.select(_value(params)).write.mode("overwrite").text(path)
 
 
 def merge_dictionaries(runs: list[DataFrame]) -> DataFrame:

@@ -123,3 +123,14 @@ def test_row_folds_agree(spark):
         (r.word, r.pos): (r.first_ord, r.defs) for r in D.last_per_key(frame, ["word", "pos"]).collect()
     }
     assert window == folded
+
+
+def test_texts_are_taken_after_the_fold(spark, pages):
+    """The items of a repeated heading go before their texts are joined and cleaned."""
+    html = section(part(3, "N", ol("a  b")) + part(3, "N", ol("c ,")))
+    nodes = N.with_nodes(pages(("w", html)))
+    parts = F.filter("nodes", lambda n: N.has_level(n, "3"))
+    kept = D.with_items(F.col("nodes"), D.headed_sections(F.col("nodes"), parts))
+    row = nodes.select(D.fold_last_wins(kept).alias("f"), D.with_texts(F.col("nodes"), D.fold_last_wins(kept)).alias("d")).first()
+    assert [(p.pos, len(p.defs), p.defs[0].asDict().keys()) for p in row.f] == [("N", 1, {"pre", "fin"})]
+    assert [(p.pos, list(p.defs)) for p in row.d] == [("N", ["c,"])]

@@ -61,3 +61,14 @@ def test_nothing(spark, tmp_path):
     assert read_dictionary(spark, str(tmp_path / "e"), "lingvo").count() == 0
     with pytest.raises(ValueError):
         read_dictionary(spark, str(tmp_path / "e"), "pdf")
+
+
+def test_records_are_numbered_without_a_sort_of_all_of_them(spark, tmp_path, small_splits):
+    params = ConvertParams("en", "fr", name="D")
+    for name in ("b", "a"):
+        write_single_file(entries(spark, 150), params, str(tmp_path / name))
+    read = read_dictionary(spark, str(tmp_path / "[ab]"), "xdxf")
+    assert "rangepartitioning" not in read._jdf.queryExecution().optimizedPlan().toString() + read._jdf.queryExecution().executedPlan().toString()
+    rows = read.orderBy("page_id").collect()
+    assert [r.page_id for r in rows] == list(range(300))
+    assert [r.word for r in rows[:150]] == [r.word for r in rows[150:]] == sorted(r.word for r in rows[:150])

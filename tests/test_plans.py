@@ -81,3 +81,13 @@ def test_escaping_replaces_all_signs_and_keeps_the_rest(spark):
     texts = ["", "plain", "a & b", "<&lt;>", "\"'&'\"", None]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", html_escape(F.col("t")).alias("e"))
     assert {r.t: r.e for r in rows.collect()} == {t: None if t is None else escape(t) for t in texts}
+
+
+def test_letter_runs_by_number(spark):
+    texts = ["", "a", " a", "ab cd ef", "1ab2cd3", "...", "é1\n\U0001d400x y", "a" * 200_000, None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = rows.select("text", *[B.letter_run(F.col("text"), i).alias(f"r{i}") for i in range(2)]).collect()
+    for row in got:
+        runs = [] if row.text is None else "".join(c if c.isalpha() else " " for c in row.text).split()
+        want = [None, None] if row.text is None else [*runs, "", ""][:2]
+        assert [row.r0, row.r1] == want

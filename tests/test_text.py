@@ -3,10 +3,11 @@
 import html
 import random
 import re
+from itertools import product
 
 from pyspark.sql import functions as F
 
-from glossweave.constants import SPACES
+from glossweave.constants import SPACES, UNTIDY
 from glossweave.functions import text as X
 
 PIECES = list("&#x;0123456789abcAmptlgquo <>()., \n\t!?:\x1c\x85\xa0   ​") + [
@@ -78,3 +79,12 @@ def test_large_inputs_stay_fast(spark):
     frame = spark.createDataFrame([(s,) for s in texts], "t string")
     lengths = [len(r[0]) for r in frame.select(X.clean_text(F.col("t"))).collect()]
     assert lengths == [200_000, 3, 400]
+
+
+def test_untidy_finds_every_place_that_tidying_changes(spark):
+    parts = ["", "a", " ", "(", ")", ",", "\t", "\x1c", "　", "\x85", "é"]
+    rows = [("".join(p),) for p in product(parts, repeat=4)]
+    changed = spark.createDataFrame(rows, "t string").select(
+        "t", F.col("t").rlike(UNTIDY).alias("untidy"), (X._tidy_spaces(F.col("t")) != F.col("t")).alias("changed")
+    )
+    assert changed.where("untidy != changed").collect() == []
