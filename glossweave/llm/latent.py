@@ -62,9 +62,15 @@ SHORT = 8
 #: Words of an item in sequence that make a passage a candidate whatever its cosine.
 SEED_WORDS = 4
 MIN_ANSWER = 3
+#: A term that few passages and items have, and words of an item, for which shared rare words are counted.
+RARE_SHARE = 0.05
+RARE_ITEMS = 16
+RARE_LENGTH = 4 * PASSAGE
 #: Row entries held at a time, and made a dense block of.
 GROUP_ENTRIES = 20_000
 DENSE_ENTRIES = 2_000
+#: Places about the passages of candidates that are compared with items at a time.
+PAIR_PLACES = 200_000
 #: Partial products added up by one task at a time.
 FAN_IN = 64
 
@@ -385,6 +391,12 @@ def documents_with_sequence(item: np.ndarray, places: Places) -> list[int]:
     return np.unique(document[whole]).tolist()
 
 
+def term_cells(items: list[Item]) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of items, each as its number times the items plus the item's, sorted, and how often the item has it."""
+    item = np.repeat(np.arange(len(items)), [len(i.terms) for i in items])
+    return np.unique(np.concatenate([i.terms for i in items]) * len(items) + item, return_counts=True)
+
+
 class Checks:
     """Word-by-word checks of items against the words about a passage."""
 
@@ -394,21 +406,34 @@ class Checks:
         self.answers = [masks_of(i.answer) for i in items]
 
         self.length = np.array([len(i.terms) for i in items])
-        self.start = np.cumsum(self.length) - self.length
-        self.flat = np.concatenate([i.terms for i in items])
-        self.present = np.zeros(int(self.flat.max()) + 1, bool)
-
-    def possible(self, numbers: np.ndarray, at: np.ndarray, terms: np.ndarray, passage: int) -> np.ndarray:
-        """Which items have enough of their words about a passage, in any order, to pass ``compare``."""
-        lengths = self.length[numbers]
-        margin = max(STEP, int(lengths.max()) - STEP)
-        low, high = np.searchsorted(at, (passage * STEP - margin, passage * STEP + PASSAGE + margin))
-        self.present[terms[low:high]] = True
-        begin = np.cumsum(lengths) - lengths
-        words = self.flat[np.repeat(self.start[numbers] - begin, lengths) + np.arange(int(lengths.sum()))]
-        common = np.add.reduceat(self.present[words].astype(np.int64), begin)
-        self.present[terms[low:high]] = False
-        return common / lengths >= PARAPHRASE_SHARE
+        self.cells, self.counts = term_cells(items)
+
+    def possible(self, places: Places, firsts: np.ndarray, passage: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Which pairs have enough of the item's words about the passage, in any order, to pass ``compare``."""
+        out = np.zeros(len(item), bool)
+        width, terms = int(places.words.max(initial=0)) + 1, int(places.term.max(initial=0)) + 1
+        document = np.searchsorted(firsts, passage, side="right") - 1
+        first, margin = (passage - firsts[document]) * STEP, np.maximum(STEP, self.length[item] - STEP)
+        at = np.repeat(np.arange(len(firsts)), np.diff(places.offsets)) * width + places.at
+        low, high = (np.searchsorted(at, document * width + np.clip(edge, 0, width))
+                     for edge in (first - margin, first + PASSAGE + margin))
+        ends = np.cumsum(high - low)
+        start = 0
+        while start < len(item):
+            done = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, done + PAIR_PLACES, side="right")))
+            part = slice(start, stop)
+            sizes = high[part] - low[part]
+            begin = np.cumsum(sizes) - sizes
+            term = places.term[np.repeat(low[part] - begin, sizes) + np.arange(int(sizes.sum()))]
+            pair, term = np.divmod(np.unique(np.repeat(np.arange(stop - start), sizes) * terms + term), terms)
+            wanted = term * len(self.items) + item[part][pair]
+            cell = np.minimum(np.searchsorted(self.cells, wanted), len(self.cells) - 1)
+            hit = self.cells[cell] == wanted
+            common = np.bincount(pair[hit], weights=self.counts[cell[hit]], minlength=stop - start)
+            out[part] = common / self.length[item[part]] >= PARAPHRASE_SHARE
+            start = stop
+        return out
 
     def compare(self, number: int, at: np.ndarray, terms: np.ndarray, passage: int) -> tuple[float, float] | None:
         """Shares of item and answer found; None if this is neither copy nor paraphrase."""
@@ -425,6 +450,50 @@ class Checks:
         return (share, answer) if share >= COPY_SHARE or answer >= ANSWER_SHARE else None
 
 
+class RareWords:
+    """Words of items that few passages have, counted about many passages at once.
+
+    An item that misses so many of its rare words about a passage that all its other words
+    would not make a paraphrase cannot pass :meth:`Checks.compare` there.
+    """
+
+    def __init__(self, items: list[Item], rare: np.ndarray):
+        lengths = np.array([len(i.terms) for i in items])
+        cells, counts = term_cells(items)
+        terms, item = np.divmod(cells, len(items))
+        starts = np.searchsorted(terms, np.arange(len(rare) + 1))
+        rare = rare & (np.diff(starts) <= RARE_ITEMS)
+        used = rare[terms] & (lengths[item] <= RARE_LENGTH)
+        self.starts = np.searchsorted(terms[used], np.arange(len(rare) + 1))
+        self.item, self.counts = item[used], counts[used]
+        self.lengths = lengths
+        self.others = lengths - np.bincount(self.item, weights=self.counts, minlength=len(items)).astype(np.int64)
+        counted = lengths[lengths <= RARE_LENGTH]
+        self.margin = max(STEP, int(counted.max(initial=0)) - STEP)
+
+    def possible(self, places: Places, firsts: np.ndarray, passage: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Which of the pairs, sorted by passage and item, may have enough words in common."""
+        document = np.repeat(np.arange(len(firsts)), np.diff(places.offsets))
+        chosen = self.starts[places.term + 1] > self.starts[places.term]
+        document, at, term = document[chosen], places.at[chosen].astype(np.int64), places.term[chosen].astype(np.int64)
+        # Passages whose words, with the margin, a place is among.
+        low = np.maximum((at - PASSAGE - self.margin) // STEP + 1, 0)
+        high = np.minimum((at + self.margin) // STEP + 1, places.passages[document])
+        spans = np.maximum(high - low, 0)
+        begin = np.cumsum(spans) - spans
+        near = np.repeat(firsts[document] + low - begin, spans) + np.arange(int(spans.sum()))
+        size = len(self.starts) - 1
+        near, term = np.divmod(np.unique(near * size + np.repeat(term, spans)), size)
+        many = self.starts[term + 1] - self.starts[term]
+        begin = np.cumsum(many) - many
+        at = np.repeat(self.starts[term] - begin, many) + np.arange(int(many.sum()))
+        keys, asked = np.repeat(near, many) * len(self.lengths) + self.item[at], passage * len(self.lengths) + item
+        place = np.minimum(np.searchsorted(asked, keys), max(len(asked) - 1, 0))
+        hit = asked[place] == keys if len(asked) else np.zeros(0, bool)
+        common = np.bincount(place[hit], weights=self.counts[at[hit]], minlength=len(asked)) if len(asked) else np.zeros(0)
+        return (common + self.others[item]) / self.lengths[item] >= PARAPHRASE_SHARE
+
+
 class Seeds:
     """Runs of ``SEED_WORDS`` words of items, looked for exactly."""
 
@@ -467,15 +536,17 @@ class Seeds:
 _FOUND = "item int, cosine double, share double, answer double"
 
 
-def search(stored: DataFrame, queries: Queries, kept: np.ndarray, weights: np.ndarray, space: np.ndarray, key: str) -> DataFrame:
-    """Rows (key, item number, cosine, shares) of documents in which an item is found."""
+def search(
+    stored: DataFrame, queries: Queries, kept: np.ndarray, weights: np.ndarray, space: np.ndarray, key: str, rare: np.ndarray,
+) -> DataFrame:
+    """Rows (key, item number, cosine, shares) of documents in which an item is found; ``rare`` tells the terms few passages have."""
     own, rows, _, _ = item_rows(queries, kept, weights)
     _, asked = latent_rows(rows, weights, space)
     asked = np.ascontiguousarray(asked.T)
     size, items = len(kept), len(queries.items)
 
     def run(batches):
-        checks, seeds = Checks(queries.items), Seeds(queries.items)
+        checks, seeds, words = Checks(queries.items), Seeds(queries.items), RareWords(queries.items, rare)
         short = [q for q, item in enumerate(queries.items) if len(item.terms) < SHORT]
         for batch in batches:
             found: list[tuple] = []
@@ -491,13 +562,15 @@ def search(stored: DataFrame, queries: Queries, kept: np.ndarray, weights: np.nd
                 passage, item = np.divmod(np.unique(np.concatenate(pairs)), items)
                 long = checks.length[item] >= SHORT
                 passage, item = passage[long], item[long]
+                for test in (words.possible, checks.possible):
+                    likely = test(places, firsts, passage, item)
+                    passage, item = passage[likely], item[likely]
                 edges = np.flatnonzero(np.concatenate([[True], passage[1:] != passage[:-1], [True]])) if len(passage) else [0]
                 for first, last in zip(edges[:-1], edges[1:]):
                     at = int(passage[first])
                     d = int(np.searchsorted(firsts, at, side="right")) - 1
                     span, p = slice(places.offsets[d], places.offsets[d + 1]), at - int(firsts[d])
-                    numbers = item[first:last]
-                    for q in numbers[checks.possible(numbers, places.at[span], places.term[span], p)].tolist():
+                    for q in item[first:last].tolist():
                         shares = checks.compare(q, places.at[span], places.term[span], p)
                         if shares:
                             n = int(np.searchsorted(row, at))
@@ -547,7 +620,7 @@ def _block_leaks(docs: DataFrame, queries: Queries, key: str, text: str) -> Data
     passages, with_term = passage_counts(stored, len(queries.vocabulary))
     kept, weights = term_weights(queries, passages, with_term)
     space = latent_space(stored, queries, passages, kept, weights)
-    found = search(stored, queries, kept, weights, space, key)
+    found = search(stored, queries, kept, weights, space, key, with_term <= RARE_SHARE * passages)
     # As many entries as the block has items.
     names = F.array(*[F.array(*[F.lit(i).cast("long") for i in item.ids]) for item in queries.items])
     rows = found.select(key, F.explode(F.get(names, F.col("item"))).alias("item_id"), "cosine", "share", "answer")

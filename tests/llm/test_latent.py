@@ -200,3 +200,40 @@ def test_recall_at_a_full_block(spark):
     found = brute & leaks_of(spark, docs, items)
     print("recall", len(found), len(brute))
     assert len(brute) > 150 and len(found) >= 0.98 * len(brute)
+
+
+def test_word_counts_lose_no_pair_that_the_check_accepts():
+    """Both counts over many passages at once keep all pairs ``compare`` accepts, and few others."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    words = lambda n: [vocabulary[min(int(rng.expovariate(0.002)), 2999)] for _ in range(n)]
+    items = [words(n) for n in [8, 9, 20, 30, 40, 63, 64, 65, 100, 200, 300] * 3]
+    queries = latent.build_queries([(i, " ".join(w)) for i, w in enumerate(items)])
+    bodies = [[], ["nothing"]]
+    for at in range(60):
+        body = words(rng.randrange(0, 500))
+        planted = [w if rng.random() > 0.15 else "other" for w in items[at % len(items)]]
+        place = rng.randrange(len(body) + 1)
+        bodies.append(body[:place] + planted + body[place:])
+    at = [[i for i, w in enumerate(b) if w.encode() in queries.vocabulary] for b in bodies]
+    offsets = np.cumsum([0, *map(len, at)])
+    places = latent.Places(
+        0, np.array([len(b) for b in bodies]), offsets, np.array([i for a in at for i in a], np.int32),
+        np.array([queries.vocabulary[b[i].encode()] for b, a in zip(bodies, at) for i in a], np.int32),
+    )
+    checks, n = latent.Checks(queries.items), len(queries.items)
+    firsts = np.cumsum(places.passages) - places.passages
+    passage, item = np.divmod(np.arange(int(places.passages.sum()) * n), n)
+    accepted = np.zeros(len(item), bool)
+    for pair, (p, q) in enumerate(zip(passage.tolist(), item.tolist())):
+        d = int(np.searchsorted(firsts, p, side="right")) - 1
+        span = slice(places.offsets[d], places.offsets[d + 1])
+        accepted[pair] = checks.compare(q, places.at[span], places.term[span], p - int(firsts[d])) is not None
+    share = np.bincount(places.term, minlength=len(queries.vocabulary)) / len(places.term)
+    rare = latent.RareWords(queries.items, share <= 0.008)
+    assert accepted.sum() >= 60
+    for test, most in ((rare.possible, 0.8), (checks.possible, 0.2)):
+        left = test(places, firsts, passage, item)
+        assert (left | ~accepted).all()
+        assert left.sum() < most * len(left), left.mean()
+        assert test(places, firsts, passage[:0], item[:0]).shape == (0,)
