@@ -66,9 +66,15 @@ def clean_text(text: Column) -> Column:
 
 
 def html_escape(text: Column) -> Column:
-    for char, reference in _MARKUP:
-        text = _replaced(text, char, reference)
-    return text
+    """Most texts have no such sign, which one search tells."""
+
+    def escape(t: Column) -> Column:
+        out = t
+        for char, reference in _MARKUP:
+            out = _replaced(out, char, reference)
+        return F.when(t.rlike("[&<>\"']"), out).otherwise(t)
+
+    return let(text, escape)
 
 
 @cache

@@ -207,7 +207,7 @@ def with_section(
     application = df.sparkSession.sparkContext.applicationId
     chosen = tuple(sorted(options.items()))
     tags = ("span", "h2", "h3", "div", options.get("container", "details"), options.get("content_tag", "div"))
-    df = once(df, "_candidates", F.filter("nodes", lambda n: n["tag"].isin(*dict.fromkeys(tags))))
+    df = once(df, "_candidates", F.filter("nodes", lambda n: n["text"].isNull() & n["tag"].isin(*dict.fromkeys(tags))))
     if isinstance(code, str):
         return once(df, "section", _section_column(application, code, names.get(code), only, chosen)).drop("_candidates")
     language = F.struct(code.alias("code"), F.element_at(language_names(names), code).alias("name"))

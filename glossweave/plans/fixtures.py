@@ -23,8 +23,7 @@ def _join(*parts: str | Column) -> Column:
 
 def items(text: Column) -> Column:
     """One ``li`` per line."""
-    lines = F.split(html_escape(text), "\n")
-    return F.array_join(F.transform(lines, lambda x: _join("<li>", x, "</li>")), "")
+    return _join("<li>", F.replace(html_escape(text), F.lit("\n"), F.lit("</li><li>")), "</li>")
 
 
 def ordered(text: Column) -> Column:
@@ -209,12 +208,13 @@ def write_page_files(pages: DataFrame, path: str, folders: bool = False, name: s
         system, folder = FileSystem.from_uri(target)
         system.create_dir(folder, recursive=True)
         for batch in batches:
+            # Bodies are UTF-8 already: their bytes are written as they are.
             for word, html in zip(batch.column("word"), batch.column("html")):
                 at = f"{folder}/{word.as_py()}"
                 if folders:
                     system.create_dir(at, recursive=True)
                 with system.open_output_stream(f"{at}/{name}" if folders else at, compression=None) as out:
-                    out.write(html.as_py().encode())
+                    out.write(html.as_buffer())
             yield RecordBatch.from_arrays([array([batch.num_rows], "int64")], ["written"])
 
     pages.select("word", "html").mapInArrow(write, "written long").write.format("noop").mode(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 from math import ceil
 
 import pyarrow as pa
@@ -17,6 +18,12 @@ from ..session import cut
 # Bytes and files of one task that reads page files.
 TASK_BYTES = 32 << 20
 TASK_FILES = 250
+# A slice of a stream has more files per task, up to this many, once it has so many tasks:
+# starting a task costs as much as some dozens of files.
+STREAM_TASKS = 64
+STREAM_TASK_FILES = 1000
+# Bytes of bodies that a task holds at a time.
+PIECE_BYTES = 1 << 20
 NAMES = "word string, length long"
 
 
@@ -51,14 +58,22 @@ def _with_bodies(names: DataFrame, path: str, *more: str) -> DataFrame:
     """
     folder = _uri(path)
 
+    most = PIECE_BYTES
+
     @F.arrow_udf("binary")
-    def read(words: pa.Array) -> pa.Array:
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         store, root = fs.FileSystem.from_uri(folder)
-        bodies = []
-        for word in words.to_pylist():
-            with store.open_input_stream(f"{root}/{word}", compression=None) as source:
-                bodies.append(source.read())
-        return pa.array(bodies, pa.binary())
+        for words in batches:
+            bodies, held = [], 0
+            for word in words.to_pylist():
+                with store.open_input_stream(f"{root}/{word}", compression=None) as source:
+                    bodies.append(source.read())
+                held += len(bodies[-1])
+                if held >= most:
+                    yield pa.array(bodies, pa.binary())
+                    bodies, held = [], 0
+            if bodies:
+                yield pa.array(bodies, pa.binary())
 
     return names.select(
         F.concat(F.lit(f"{path.rstrip('/')}/"), "word").alias("page_id"), "word", *more,
@@ -116,6 +131,11 @@ def scan_pages(
     return table.select(named(page_id, "page_id"), named(word, "word"), named(html, "html"))
 
 
+def _slice_tasks(files: int) -> int:
+    """Tasks of a slice: few files each, more once there are tasks enough."""
+    return min(ceil(files / TASK_FILES), max(STREAM_TASKS, ceil(files / STREAM_TASK_FILES)))
+
+
 def stream_page_dir(spark: SparkSession, path: str, files_per_batch: int, names: str) -> DataFrame:
     """The same pages as a stream that takes ``files_per_batch`` files at a time.
 
@@ -135,4 +155,4 @@ def stream_page_dir(spark: SparkSession, path: str, files_per_batch: int, names:
     slices.repartition("slice").write.mode("append").partitionBy("slice").parquet(names)
     stream = spark.readStream.schema("word string, slice long").option("maxFilesPerTrigger", 1).parquet(names)
     # A slice of names is one file; its pages are read and parsed by several tasks.
-    return _with_bodies(stream.repartition(ceil(files_per_batch / TASK_FILES)), path, "slice")
+    return _with_bodies(stream.repartition(_slice_tasks(files_per_batch)), path, "slice")
