@@ -178,7 +178,9 @@ def near_links(fps: DataFrame, threshold: int = THRESHOLD, max_home: int = MAX_H
     entries = homes.join(crowded, "anchor", "left_anti").select("anchor", F.col("fp").alias("home")).unionByName(
         crowded.select("anchor", empty)
     )
-    copies = _anchored(fps, threshold)
+    # Spark sizes the copies as if they were as few as the fingerprints, but there are about 60 of
+    # each: below its broadcast limit they would all be gathered in the driver. So both sides are sorted.
+    copies = _anchored(fps, threshold).hint("merge")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("home"))) <= threshold
     meets = (copies["anchor"] == entries["anchor"]) & (F.col("home").isNull() | (near & (F.col("fp") != F.col("home"))))
     met = cut(copies.join(entries, meets).select("fp", "home").distinct(), "met")

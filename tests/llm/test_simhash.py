@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pytest
@@ -86,6 +87,22 @@ def test_links_join_what_all_pairs_join(spark, threshold, max_home):
         assert links.count() == 0
 
 
+def test_copies_are_not_broadcast(spark, monkeypatch):
+    """There are about 60 copies of a fingerprint, of which Spark's estimate knows nothing."""
+    plans = {}
+
+    def kept(df, label, cut=simhash.cut):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return cut(df, label)
+
+    monkeypatch.setattr(simhash, "cut", kept)
+    fps = spark.createDataFrame([(i << 40,) for i in range(300)], "fp long")
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+    simhash.near_links(fps)
+    assert "MapInArrow" in plans["met"]
+    assert re.findall(r"(\w+Join) .*\bInner\b", plans["met"]) == ["SortMergeJoin"]
+
+
 def check(found, given):
     assert len(found) == len(given)
     fps = [plain_fingerprint(t) for _, t in given]
