@@ -2,7 +2,8 @@
 
 Their bodies are the Column expressions of this package, written as SQL, so they
 run in the JVM and are inlined by the optimizer. Functions that need a lambda
-have no name here, as a lambda has no SQL text of its own.
+have no name here, as a lambda has no SQL text of its own; escaping has a body
+without one.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from .collation import builtin_collation, collation_key
 # Name, parameters (all strings), body.
 FUNCTIONS: Mapping[str, tuple[tuple[str, ...], Callable[..., Column]]] = {
     "gw_strip": (("text",), X.strip),
-    "gw_html_escape": (("text",), X.html_escape),
+    "gw_html_escape": (("text",), X.html_escape_plain),
     "gw_headword": (("word",), X.headword),
     "gw_dsl_quote": (("text",), X.dsl_quote),
     "gw_capitalize": (("text",), X.capitalize),

@@ -14,6 +14,7 @@ from ..constants import LANGUAGE_NAMES, SPACES, UNTIDY, UNTIDY_SPACES
 
 # Order matters: the ampersand first.
 _MARKUP = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;"))
+_ANY_MARKUP = "[&<>\"']"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -72,11 +73,19 @@ def html_escape(text: Column) -> Column:
         out = t
         for char, reference in _MARKUP:
             out = _replaced(out, char, reference)
-        return F.when(t.rlike("[&<>\"']"), out).otherwise(t)
+        return F.when(t.rlike(_ANY_MARKUP), out).otherwise(t)
 
     return let(text, escape)
 
 
+def html_escape_plain(text: Column) -> Column:
+    """:func:`html_escape` without a lambda. Each use of ``text`` computes it anew, so it should be a plain column."""
+    out = text
+    for char, reference in _MARKUP:
+        out = F.replace(out, F.lit(char), F.lit(reference))
+    return F.when(text.rlike(_ANY_MARKUP), out).otherwise(text)
+
+
 @cache
 def _reference_tables() -> tuple[str, str, str, str]:
     """Lookup tables for character references, derived from public rules.

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from glossweave.constants import SPACES, UNTIDY
 from glossweave.functions import text as X
+from glossweave.functions.sql_names import register_functions
 
 PIECES = list("&#x;0123456789abcAmptlgquo <>()., \n\t!?:\x1c\x85\xa0   ​") + [
     "&amp;", "&lt", "&notit;", "&#x41;", "&#65", "&#128;", "&#0;", "&#13;", "&#xD800;", "&#1114112;",
@@ -53,6 +54,16 @@ def test_text_functions_on_random_strings(spark):
         assert row.stripped == row.t.strip()
 
 
+def test_sql_names_escape_like_the_column_function(spark):
+    """Of a column and of an expression; every name is created, so no body holds a lambda."""
+    assert "gw_html_escape" in register_functions(spark)
+    frame = spark.createDataFrame([(s,) for s in [None, "", "plain", "&amp;<\"'>", *samples(500)]], "t string")
+    call = "SELECT t, gw_html_escape(t) AS e, gw_html_escape(concat('<', t, upper(t))) AS of_more FROM {frame}"
+    for row in spark.sql(call, frame=frame).collect():
+        assert row.e == (None if row.t is None else html.escape(row.t)), repr(row.t)
+        assert row.of_more == (None if row.t is None else html.escape(f"<{row.t}{row.t.upper()}")), repr(row.t)
+
+
 def test_clean_text_of_nothing_is_empty(spark):
     frame = spark.createDataFrame([(None,), ("",), ("  ",)], "t string")
     assert [r[0] for r in frame.select(X.clean_text(F.col("t"))).collect()] == ["", "", ""]
